@@ -43,3 +43,69 @@ def contamination(docs, bench, n=10):
                     items |= found
         out.append((doc, len(w), len(hit), len(items), sha(",".join(sorted(map(str, items)))), bool(hit)))
     return out
+
+
+def luhn(d):
+    return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def pii(text):
+    text = text or ""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    spans = [(k, *m.span()) for k, p, ok in found for m in re.finditer(p, text) if ok(m[0])]
+    counts = tuple(sum(x[0] == k for x in spans) for k, _, _ in found)
+    return (*counts, sha(",".join(f"{k}:{s}:{e}" for k, s, e in spans)))
+
+
+def licenses(text):
+    w = ALNUM_WORD.findall(lower(text))
+    at, labels = [], set()
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        for i in range(len(w)):
+            if w[i : i + len(p)] == p:
+                at.append(i)
+                labels.add(label)
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def packing_errors(rows, docs, tokenizer, end=2, capacity=4096):
+    """What is wrong with packed rows; and the padding as a share of the tokens."""
+    import zlib
+
+    import numpy as np
+
+    wrong, by_doc, by_seq = [], {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    if by_doc.keys() != docs.keys():
+        wrong.append("documents differ")
+    for doc, text in docs.items():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+        at = 0
+        for r in sorted(by_doc[doc], key=lambda r: r.start):
+            part = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
+            if r.start != at or r.doc_tokens != len(ids) or r.ids_crc32 != zlib.crc32(part):
+                wrong.append(("piece", r))
+            at += r.length
+        if at != len(ids):
+            wrong.append(("document", doc))
+    pad = total = 0
+    for seq in by_seq.values():
+        at = 0
+        for r in sorted(seq, key=lambda r: r.offset):
+            if r.offset != at:
+                wrong.append(("offset", r))
+            at += r.length
+        if at > capacity:
+            wrong.append("too long")
+        pad += 0 if at & (at - 1) == 0 else capacity - at
+        total += at
+    return wrong, pad / max(1, total)
