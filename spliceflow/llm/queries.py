@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scans, packing, pii, secret_scans
+from . import decontamination, license_scans, near_dedup, packing, pii, secret_scans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scans, op3_benchmark_decontamination, op6_pii, op7_license_scans, op8_packing]
+    found = [op1_secret_scans, op3_benchmark_decontamination, op6_pii, op7_license_scans, op8_packing, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -109,3 +109,32 @@ def packing_errors(rows, docs, tokenizer, end=2, capacity=4096):
         pad += 0 if at & (at - 1) == 0 else capacity - at
         total += at
     return wrong, pad / max(1, total)
+
+
+def near_duplicates(docs, percent=85):
+    sets = {}
+    for doc, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets[doc] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    where = {}
+    for d, s in sets.items():
+        for g in s:
+            where.setdefault(g, []).append(d)
+    for d, s in sets.items():
+        shared = {}
+        for g in s:
+            for o in where[g]:
+                if o < d:
+                    shared[o] = shared.get(o, 0) + 1
+        for o, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[o]) - n):
+                a, b = sorted((find(o), find(d)))
+                root[b] = a
+    return [(d, len(s), find(d), find(d) == d) for d, s in sets.items()]
