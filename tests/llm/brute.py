@@ -138,3 +138,17 @@ def near_duplicates(docs, percent=85):
                 a, b = sorted((find(o), find(d)))
                 root[b] = a
     return [(d, len(s), find(d), find(d) == d) for d, s in sets.items()]
+
+
+def substring_dedup(docs, k=20):
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", text or "") for d, text in docs}
+    first = {}
+    out = []
+    for d in sorted(words):
+        w, gone = words[d], set()
+        for i in range(len(w) - k + 1):
+            if first.setdefault(tuple(w[i : i + k]), (d, i)) != (d, i):
+                gone |= set(range(i, i + k))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), sha(kept)))
+    return out
