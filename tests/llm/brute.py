@@ -152,3 +152,46 @@ def substring_dedup(docs, k=20):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), sha(kept)))
     return out
+
+
+def lm(docs):
+    """Base scores and an interpolated modified Kneser-Ney bigram model, from Counters."""
+    import math
+    import zlib
+    from collections import Counter
+
+    toks = {d: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for d, t in docs}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in toks}
+    uni, bi = Counter(), Counter()
+    for d, w in toks.items():
+        if not held[d]:
+            uni.update(w)
+            bi.update(zip(["<start>", *w], w, strict=False))
+    n, v = sum(uni.values()), len(uni)
+
+    def discounts(counts):
+        c = Counter(min(x, 5) for x in counts)
+        y = c[1] / (c[1] + 2 * c[2])
+        return [0.0] + [min(max(k - (k + 1) * y * (c[k + 1] / c[k] if c[k] else 0), 0), k) for k in (1, 2, 3)]
+
+    context, follows, seen = Counter(), {}, Counter()
+    for (u, w), c in bi.items():
+        context[u] += c
+        follows.setdefault(u, Counter())[min(c, 3)] += 1
+        seen[w] += 1
+    d2, d1 = discounts(bi.values()), discounts(seen.values())
+    rest = sum(d1[min(c, 3)] for c in seen.values()) / len(bi)
+    p1 = lambda w: (seen[w] - d1[min(seen[w], 3)]) / len(bi) + rest / (v + 1)
+
+    def p2(u, w):
+        if u not in context:
+            return p1(w)
+        c = bi[u, w]
+        return (c - d2[min(c, 3)]) / context[u] + sum(d2[k] * m for k, m in follows[u].items()) / context[u] * p1(w)
+
+    out = []
+    for d, w in toks.items():
+        base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
+        score = sum(math.log10(p2(u, x)) for u, x in zip(["<start>", *w], w, strict=False))
+        out.append((d, held[d], len(w), sum(uni[x] > 0 for x in w), n, base, score))
+    return out
