@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 N = 10
 MAX_NGRAMS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the word rule before A-Z are lowered
+WORD = r"[\p{Alnum}\P{ASCII}]+"  # digits, letters and all beyond ASCII; A-Z not yet lowered
 
 
 def lowered(c: Column) -> Column:
