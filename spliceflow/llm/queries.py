@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scans, lm_scoring, near_dedup, packing, pii, secret_scans, substring_dedup, toxicity
+from . import decontamination, embedding_dedup, license_scans, lm_scoring, near_dedup, packing, pii, secret_scans, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_lm_scoring, op5_toxicity, op6_pii, op7_license_scans, op8_packing, op10_near_dedup]
+    found = [op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_lm_scoring, op5_toxicity, op6_pii, op7_license_scans, op8_packing, op9_embedding_near_dedup, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 

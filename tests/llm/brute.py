@@ -195,3 +195,27 @@ def lm(docs):
         score = sum(math.log10(p2(u, x)) for u, x in zip(["<start>", *w], w, strict=False))
         out.append((d, held[d], len(w), sum(uni[x] > 0 for x in w), n, base, score))
     return out
+
+
+def near_vectors(rows, least=0.93):
+    """rows: (id, vector, label), all sound. (id, n_links, component, kept) by comparing all pairs of a label."""
+    import numpy as np
+
+    out = []
+    for label in {r[2] for r in rows}:
+        mine = sorted((r for r in rows if r[2] == label), key=lambda r: r[0])
+        x = np.array([r[1] for r in mine], float)
+        norm = np.sqrt((x * x).sum(1))
+        linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= least
+        np.fill_diagonal(linked, False)
+        comp = list(range(len(mine)))
+        for i in range(len(mine)):
+            if comp[i] == i:
+                stack = [i]
+                while stack:
+                    for j in np.flatnonzero(linked[stack.pop()]).tolist():
+                        if comp[j] == j and j != i:
+                            comp[j] = i
+                            stack.append(j)
+        out += [(r[0], int(linked[i].sum()), mine[comp[i]][0], comp[i] == i) for i, r in enumerate(mine)]
+    return out
