@@ -1,22 +1,38 @@
-"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame, each on one operator."""
+"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame, each by one operator, on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, near_dedup, packing, pii
+from . import toxicity as toxic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def toxicity(spark, docs, sf_dir):
-    raise NotImplementedError
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.5; it learns from the labels that are not held out."""
+    weights = toxic.train(docs.select("doc_id", "text"), toxic.learning_rows(_table(spark, sf_dir, "labels")))
+    return toxic.scored(docs, weights).where("score < 0.5").drop("score")
 
 
-near_dedup = pii = packing = toxicity
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return near_dedup.without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the benchmark's n-grams, and without documents that consist of them for the most part."""
     return decontamination.remove_contamination(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences for training: one row per piece."""
+    return packing.packed(docs)
