@@ -12,10 +12,10 @@ from spliceflow.llm.common import shared_folder
 #: (name, function): function(spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
 STAGES = [
     ("toxicity", stages.toxicity),
-    ("near_dedup", stages.near_dedup),
+    ("near_dedup", stages.near_duplicates),
     ("decontamination", stages.decontaminate),
-    ("pii", stages.pii),
-    ("packing", stages.packing),
+    ("pii", stages.redact_pii),
+    ("packing", stages.pack),
 ]
 
 #: The stages learn, hash and tokenise, which SQL can't express; tests hold run() against a plain version.
