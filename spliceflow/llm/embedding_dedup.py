@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index, verified by cosine in double precision.
 
 1. Equal vectors of a label become one class with a weight.
-2. PIVOTS reference vectors (more for large tables) are a bounded sample. Each class is described by its NEAREST nearest
+2. Reference vectors, the pivots, are spread ones of a bounded sample; larger tables get more of them. Each class is described by its NEAREST nearest
    ones, in order. It is posted in the inverted lists of some of them; two classes that share at least SHARED of their
    nearest meet in one of these lists at least.
 3. In a list, pairs with enough shared pivots are candidates, and their cosine is computed. A pair counts in the first
@@ -23,10 +23,24 @@ from .common import written
 from .components import components
 
 LEAST_COSINE = 0.93
-#: Pivots: a power of two near the root of the number of classes, within these bounds; the sample is collected.
+#: Pivots: a power of two near the root of the number of classes, within these bounds; the sample has four times as many.
 FEWEST, MOST = 64, 2048
 NEAREST, SHARED = 8, 3
 BLOCK = 1024
+#: Pivots have a cosine below this with each other.
+SPREAD = 0.6
+
+
+def _spread(sample: list[np.ndarray], size: int, wanted: int) -> list[np.ndarray]:
+    """Up to `wanted` unit vectors of the sample, none close to another, so that a large group of near copies doesn't take
+    all pivots; random directions make them FEWEST at least."""
+    out = np.empty((0, size))
+    for v in sample:
+        v = v / np.linalg.norm(v)
+        if len(out) < wanted and (not len(out) or (out @ v).max() < SPREAD):
+            out = np.vstack((out, v))
+    rest = np.random.default_rng(size).normal(size=(max(0, FEWEST - len(out)), size))
+    return [*out, *(rest / np.linalg.norm(rest, axis=1)[:, None])]
 
 
 def _described(classes: DataFrame, pivots: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -147,13 +161,11 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     classes = written(valid.groupBy("label", "v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight")))
     n = classes.count()
     wanted = min(MOST, max(FEWEST, 1 << round(math.log2(max(2.0, math.sqrt(n) / 2)))))
-    sample = classes.select("cls", "label", "v").orderBy(F.xxhash64("cls", "v"), "cls").limit(wanted).collect()  # at most MOST vectors
-    pivots = [np.array(r["v"]) / np.linalg.norm(r["v"]) for r in sample]
+    sample = classes.select("cls", "label", "v").orderBy(F.xxhash64("cls", "v"), "cls").limit(4 * wanted).collect()  # at most 4 * MOST vectors
+    pivots: list[np.ndarray] = []
+    for r in classes.select(F.size("v").alias("size")).distinct().orderBy("size").collect():
+        pivots += _spread([np.array(x["v"]) for x in sample if len(x["v"]) == r["size"]], r["size"], wanted)
     sizes = [len(p) for p in pivots]
-    # vectors of a length that the sample lacks get pivots of their own
-    more = classes.where(~F.size("v").isin(sizes)).groupBy(F.size("v").alias("size")).agg(F.min_by("v", "cls").alias("v")).limit(MOST).collect()
-    pivots += [np.array(r["v"]) / np.linalg.norm(r["v"]) for r in more]
-    sizes += [len(r["v"]) for r in more]
     found = written(_compared(_lists(_described(classes, pivots, sizes)), least))
     counts = found.groupBy("cls").agg(F.sum("n").alias("others"))
     comp = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cls")

@@ -223,10 +223,13 @@ def _by_shard(df: DataFrame, shards: int, kind: type, finish: Callable[[int, np.
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many items have counts 1 to 4."""
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many items have counts 1 to 4.
+
+    Where there are too few to tell, fixed ones: something must be left for what was not seen.
+    """
     n1, n2, n3, n4 = (float(x) for x in n[:4])
-    if not n1:
-        return 0.0, 0.0, 0.0
+    if not n1 or not n2:
+        return 0.5, 1.0, 1.5
     y = n1 / (n1 + 2 * n2)
     ratio = lambda a, b: a / b if b else 0.0
     d = (1 - 2 * y * ratio(n2, n1), 2 - 3 * y * ratio(n3, n2), 3 - 4 * y * ratio(n4, n3))

@@ -177,15 +177,16 @@ class Packer:
             yield from self._close(pieces, split=sum(p[2] for p in pieces) < self.capacity)
 
 
-def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: str | None = None, with_ids: bool = False, loss_share: str | None = None) -> DataFrame:
     """Tokenise text, end each document with END_ID and pack all ids; one row per piece.
 
-    df: doc_id, text and, if only part of a document's tokens bears loss, loss_share (0 to 1, from its end; null: all).
+    df: doc_id, text and, if only part of a document's tokens bears loss, a column that `loss_share` names (0 to 1, from
+    the end; null: all).
     Null text is empty: one token. Repeated rows are packed each. A sequence's id has its partition in the upper bits.
     with_ids adds the piece's ids.
     """
     max_loss = capacity if max_loss is None else max_loss
-    has_share = "loss_share" in df.columns
+    has_share = loss_share is not None
     field = df.schema["doc_id"]
     schema = f"doc_id {field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
 
@@ -228,5 +229,5 @@ def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGM
         if rest := list(packer.finish()):
             yield rows(rest)
 
-    cols = ["doc_id", "text"] + ["loss_share"] * has_share
-    return df.select(*[F.col(c) for c in cols]).mapInArrow(run, schema)
+    cols = [F.col("doc_id"), F.col("text")] + [F.col(c).cast("double").alias("loss_share") for c in [loss_share] if c]
+    return df.select(*cols).mapInArrow(run, schema)

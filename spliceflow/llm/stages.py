@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5; it learns from the labels that are not held out."""
     weights = toxic.train(docs.select("doc_id", "text"), toxic.learning_rows(_table(spark, sf_dir, "labels")))
-    return toxic.scored(docs, weights).where("score < 0.5").drop("score")
+    return toxic.scored(docs, weights, "__toxicity").where("__toxicity < 0.5").drop("__toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ DIMENSIONS = 1 << BITS
 #: Labelled documents learnt from, at most; a documented bound, not a share.
 SAMPLE, EPOCHS = 24_000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
+#: The bias where there is nothing to learn from: unknown texts count as clean.
+UNTAUGHT = -2.0
 #: Bytes of a word that stand for its stem: a slur with another ending keeps it.
 STEMS = (4, 5)
 
@@ -102,11 +104,15 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict[in
     seen = seen.dropDuplicates(["doc_id"]).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
     ordered = seen.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(7)), "doc_id")
     # collected: at most DIMENSIONS + 1 rows
-    return {r["i"]: r["w"] for r in ordered.select("y", "x").mapInArrow(fit, "i long, w double").collect()}
+    learnt = {r["i"]: r["w"] for r in ordered.select("y", "x").mapInArrow(fit, "i long, w double").collect()}
+    return learnt or {DIMENSIONS: UNTAUGHT}
 
 
-def scored(df: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """df with score: the probability of the label. Null and empty texts get what the bias alone says. No shuffle."""
+def scored(df: DataFrame, weights: dict[int, float], into: str = "score") -> DataFrame:
+    """df with `into`, the probability of the label, as a last column; its other columns stay.
+
+    Null and empty texts get what the bias alone says. No shuffle.
+    """
     index = np.array(sorted(weights), np.int64)
     packed = (index, np.array([weights[i] for i in index], np.float32))
     shared = df.sparkSession.sparkContext.broadcast(packed)
@@ -115,17 +121,17 @@ def scored(df: DataFrame, weights: dict[int, float]) -> DataFrame:
         w = np.zeros(DIMENSIONS + 1)
         w[shared.value[0]] = shared.value[1]
         for batch in batches:
-            yield from (_score(part, w) for part in slices(batch))
+            yield from (_score(part, w, into) for part in slices(batch))
 
-    schema = df.select("*", F.lit(None).cast("double").alias("score")).schema
+    schema = df.select("*", F.lit(None).cast("double").alias(into)).schema
     return df.mapInArrow(score, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
 
 
-def _score(batch: pa.RecordBatch, w: np.ndarray) -> pa.RecordBatch:
+def _score(batch: pa.RecordBatch, w: np.ndarray, into: str) -> pa.RecordBatch:
     values, first = features(batch.column("text"))
     total = np.concatenate(([0.0], np.cumsum(w[values])))
     s = 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + w[DIMENSIONS], -35, 35)))
-    return batch.append_column("score", pa.array(s))
+    return batch.append_column(into, pa.array(s))
 
 
 def learning_rows(labels: DataFrame) -> DataFrame:

@@ -171,6 +171,8 @@ def lm(docs):
 
     def discounts(counts):
         c = Counter(min(x, 5) for x in counts)
+        if not c[1] or not c[2]:
+            return [0.0, 0.5, 1.0, 1.5]
         y = c[1] / (c[1] + 2 * c[2])
         return [0.0] + [min(max(k - (k + 1) * y * (c[k + 1] / c[k] if c[k] else 0), 0), k) for k in (1, 2, 3)]
 
