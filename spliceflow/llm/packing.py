@@ -9,9 +9,9 @@ alone, so there is no shuffle, and a lost task is run again with the same result
 from __future__ import annotations
 
 import functools
-import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +26,43 @@ CAPACITY = 4096
 END_ID = 2
 MAX_SEGMENTS = 256
 #: Pieces that wait for a bin at a time, at most: memory and the heuristic's choice.
-WAITING = 512
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+WAITING = 128
+#: Distinct words whose ids a worker remembers: this many at least, twice as many at most.
+REMEMBERED = 500_000
 
 #: The tokenizer's own way of cutting text, for texts of plain characters only.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-įı-ſ]*\Z")
 
 
+class Memory(dict):
+    """Remembers at most twice `most` entries: when full, the older half goes, but for what is asked for meanwhile."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not remembered. Room for all keys is made first, so that all stay until the next call."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys:
+            if k not in self:
+                if k in self.old:
+                    self[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class WordTokenizer:
-    """Ids of texts. Words are looked up among those seen before; new ones go to the tokenizer together.
+    """Ids of texts. Words are looked up among those seen before; pieces of new ones go to the tokenizer together.
 
-    The tokenizer lowers case, cuts text by a pattern and encodes each piece alone, so pieces may be kept. Texts with
-    characters beyond Latin letters and common signs, or that may hold a special token, go to it whole.
+    The tokenizer lowers case, cuts text by a pattern that never crosses white space, and encodes each piece alone, so
+    words and pieces may be kept. Texts with characters beyond Latin letters and common signs, or that may hold a special
+    token, go to it whole.
     """
 
     def __init__(self, path: str | None):
@@ -47,43 +70,34 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.known: dict[str, np.ndarray] = {}
+        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 4)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+    def _learn(self, new: list[str], known: Memory) -> None:
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            cut = np.searchsorted(word, np.arange(len(part) + 1))
-            if len(word) and word[-1] != len(part) - 1 or (np.diff(cut) == 0).any():
-                for w in part:  # a piece was cut or joined: take each alone
-                    self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            for w, a, b in zip(part, cut, cut[1:], strict=False):
-                self.known[w] = ids[a:b].tobytes()
+            raw, word = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
+            cut = 4 * np.searchsorted(word, np.arange(len(part) + 1))
+            if not len(word) or word[-1] != len(part) - 1 or (np.diff(cut) == 0).any():
+                known.update((w, self._ids(w).tobytes()) for w in part)  # a piece was cut or joined: each alone
+            else:
+                cut = cut.tolist()
+                known.update((w, raw[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(_PLAIN.match(t)) and "<|" not in t for t in texts]
-        cut = [_PIECE.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        out = []
-        for pieces, ok, text in zip(cut, plain, texts, strict=True):
-            if not ok:
-                out.append(np.array(self.tokenizer.encode(unicodedata.normalize("NFC", text), add_special_tokens=False).ids, "<u4"))
-                continue
-            known = self.known
-            try:
-                raw = b"".join([known[p] for p in pieces])
-            except KeyError:
-                self._learn([p for p in dict.fromkeys(pieces) if p not in known])
-                raw = b"".join([known[p] if p in known else self._one(p) for p in pieces])
-            out.append(np.frombuffer(raw, "<u4"))
-        return out
-
-    def _one(self, piece: str) -> bytes:
-        self._learn([piece])
-        return self.known[piece]
+        """As the tokenizer gives them, without special tokens around."""
+        cut = [t.lower().split() if _PLAIN.match(t) and "<|" not in t else None for t in texts]
+        words = self.words.missing(set(chain.from_iterable(c for c in cut if c)))
+        self._learn([w for w in words if w.isalpha()], self.words)  # one piece each
+        words = [w for w in words if not w.isalpha()]
+        parts = [_PIECE.findall(w) for w in words]
+        self._learn(self.pieces.missing(set(chain.from_iterable(parts))), self.pieces)
+        self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in zip(words, parts, strict=True))
+        known = self.words.__getitem__
+        return [self._ids(t) if c is None else np.frombuffer(b"".join(map(known, c)), "<u4") for t, c in zip(texts, cut, strict=True)]
 
 
 @functools.cache
