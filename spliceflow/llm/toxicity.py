@@ -28,11 +28,11 @@ UNTAUGHT = -2.0
 STEMS = (4, 5)
 
 
-def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features(text: pa.Array, of_use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of each row, end to end, distinct within the row, and each row's first (one more than rows).
 
     Words (A-Z lowered), their stems (longer words' first bytes), pairs of neighbours, and pairs with one word between.
-    Null and empty rows have none.
+    Null and empty rows have none. of_use: by coordinate, which features to give.
     """
     raw, at = flat_text(text)
     starts, ends, first = word_spans(raw, at, ALNUM)
@@ -49,7 +49,11 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         same = row[:-gap] == row[gap:]
         parts.append(mix(a[same] * U64(2 * gap + 1) + b[same]))
         rows.append(row[:-gap][same])
-    key = np.unique((np.concatenate(rows).astype(np.int64) << BITS) | (np.concatenate(parts) & U64(DIMENSIONS - 1)).astype(np.int64))
+    place, row = (np.concatenate(parts) & U64(DIMENSIONS - 1)).astype(np.int64), np.concatenate(rows).astype(np.int64)
+    if of_use is not None:
+        keep = of_use[place]
+        place, row = place[keep], row[keep]
+    key = np.unique((row << BITS) | place)
     return key & (DIMENSIONS - 1), np.searchsorted(key >> BITS, np.arange(len(n) + 1))
 
 
@@ -128,7 +132,7 @@ def scored(df: DataFrame, weights: dict[int, float], into: str = "score") -> Dat
 
 
 def _score(batch: pa.RecordBatch, w: np.ndarray, into: str) -> pa.RecordBatch:
-    values, first = features(batch.column("text"))
+    values, first = features(batch.column("text"), w != 0)
     total = np.concatenate(([0.0], np.cumsum(w[values])))
     s = 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + w[DIMENSIONS], -35, 35)))
     return batch.append_column(into, pa.array(s))
