@@ -5,9 +5,11 @@ a prefix of DEPTH values in some order are that tree's neighbours; such a region
 
 1. Documents with equal sets become one class; the rest works on classes.
 2. Links to hubs are verified on full sets. This joins nearly all groups, at one pair per document, whatever their size.
-3. Regions that still hold several components give all pairs across components. Crowded regions go one level deeper by
-   being dealt into blocks: block pairs compare signatures, and only pairs that may reach the threshold go on.
-4. These pairs are verified on full sets too, and components are taken over all links.
+3. Regions that still hold several components give all pairs across components: small ones by a join, crowded ones
+   dealt into blocks, whose pairs are compared by signature. Pairs that may reach the threshold are verified on full
+   sets. Where a pair of blocks has very many such pairs, as with families of texts that are all somewhat alike, it is
+   verified as a whole, and gives the links that join its components, not its pairs.
+4. Components are taken over all links.
 """
 
 from __future__ import annotations
@@ -138,31 +140,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_text(both, check, f"a {kind}, b {kind}", text="text_a").distinct()
 
 
-def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs across components in crowded regions whose signatures may reach the threshold. rows: region, n, cls, comp, signature.
+_DEALT = ["region", "kind", "i", "j"]
 
-    A region's classes are dealt into blocks of about BLOCK by hash; each pair of blocks is a group of bounded size.
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Crowded regions dealt into pairs of blocks of about BLOCK classes: region, kind, i, j, cls, comp, left, right.
+
+    rows: region, cls, comp. Only pairs across components matter, and one component, the region's largest, may hold
+    nearly all of it. So its blocks (kind 0, left) meet the blocks of the rest, not each other; these also meet each
+    other (kind 1). A class is named by block as often as it has partners there.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
-    dealt = rows.select("region", "cls", "comp", "signature", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("region", "cls", "comp", "signature", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    kind = rows.schema["cls"].dataType.simpleString()
+    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("size"))
+    most = F.max(F.struct("size", "comp"))
+    sizes = sizes.groupBy("region").agg(most["comp"].alias("main"), most["size"].alias("of_main"), (F.sum("size") - most["size"]).alias("rest"))
+    sizes = sizes.select("region", "main", F.ceil(F.col("of_main") / BLOCK).cast("int").alias("n0"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("n1"))
+    rows = rows.join(sizes, "region").where("n1 > 0")
+    is_main = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("cls"), F.when(is_main, F.col("n0")).otherwise(F.col("n1")).cast("long")).cast("int")
+    rows = rows.select("region", "cls", "comp", "n0", "n1", is_main.alias("is_main"), own.alias("own"))
+    key = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    no, yes, mine = F.lit(False), F.lit(True), F.col("own")
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("n1") - 1), lambda x: key(0, mine, x, yes, no))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("n0") - 1), lambda x: key(0, x, mine, no, yes))
+    among = F.transform(F.sequence(F.lit(0), F.col("n1") - 1), lambda x: key(1, F.least(mine, x), F.greatest(mine, x), mine <= x, mine >= x))
+    return rows.select("region", "cls", "comp", F.explode(F.when(F.col("is_main"), to_rest).otherwise(F.concat(to_main, among))).alias("x")).select("region", "x.*", "cls", "comp")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    cls, comp = (table.column(c).to_numpy() for c in ("cls", "comp"))
+    left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+    return cls, comp, left, right
+
+
+def _signed_pairs(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Block pairs -> pairs (a, b) whose signatures agree in enough values; or, where these are many, the block's key."""
+    kind = classes.schema["cls"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, VALUES)
-        cls, comp, own = (table.column(c).to_numpy() for c in ("cls", "comp", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        cls, comp, left, right = _sides(table)
         a, b = [], []
         for x in left:
-            y = right[(comp[right] != comp[x]) & ((cls[right] > cls[x]) if i == j else True)]
+            y = right[(comp[right] != comp[x]) & (cls[right] != cls[x])]
             y = y[(sig[y] == sig[x]).mean(1) >= least]
             a += [cls[x]] * len(y)
             b += cls[y].tolist()
-        return pa.table({"a": pa.array(np.minimum(a, b).astype(np.int64) if a else [], table.schema.field("cls").type), "b": pa.array(np.maximum(a, b).astype(np.int64) if a else [], table.schema.field("cls").type)})
+        key = [table.column(c)[0].as_py() for c in _DEALT]
+        id_type = table.schema.field("cls").type
+        if len(a) > 2 * len(cls):
+            return pa.table({**{c: pa.array([v], table.schema.field(c).type) for c, v in zip(_DEALT, key, strict=True)}, "a": pa.nulls(1, id_type), "b": pa.nulls(1, id_type)})
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        none = {c: pa.nulls(len(a), table.schema.field(c).type) for c in _DEALT}
+        return pa.table({**none, "a": pa.array(np.minimum(a, b), id_type), "b": pa.array(np.maximum(a, b), id_type)})
+
+    return dealt.join(classes.select("cls", "signature"), "cls").groupBy(*_DEALT).applyInArrow(compare, f"region long, kind int, i int, j int, a {kind}, b {kind}")
+
 
-    return dealt.groupBy("region", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+def _linked_in_blocks(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Block pairs with full texts -> links (a, b) that join their components: a spanning forest, not all pairs."""
+    kind = dealt.schema["cls"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, comp, left, right = _sides(table)
+        values, first = shingles(table.column("text"))
+        n = np.diff(first)
+        row = np.repeat(np.arange(len(n)), n)
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count[column] > 1)
+        _, column = np.unique(column[shared], return_inverse=True)
+        row = row[shared]
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, (c, c + 4096))
+            held = np.zeros((len(n), 4096), np.float32)
+            held[row[a:b], column[a:b] - c] = 1
+            both += held[left] @ held[right].T
+        union = n[left][:, None] + n[right][None, :] - both
+        linked = (both > 0) & (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :])
+        root = {c: c for c in comp.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out: set[tuple[int, int]] = set()
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            r, s = find(int(comp[left[x]])), find(int(comp[right[y]]))
+            if r != s:
+                root[max(r, s)] = min(r, s)
+                out.add((int(min(cls[left[x]], cls[right[y]])), int(max(cls[left[x]], cls[right[y]]))))
+        pairs = sorted(out)
+        id_type = table.schema.field("cls").type
+        return pa.table({"a": pa.array([x for x, _ in pairs], id_type), "b": pa.array([y for _, y in pairs], id_type)})
+
+    return dealt.join(texts, "cls").groupBy(*_DEALT).applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -207,14 +281,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     other = few.select("region", F.col("cls").alias("cls2"), F.col("comp").alias("comp2"))
     near = few.join(other, "region").where("comp <> comp2 and cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
     near = near.join(stars, ["a", "b"], "left_anti")
-    many = rows.where(F.col("n") > REGION).join(classes.select("cls", "signature"), "cls")
-    crowded = _block_pairs(many, LEAST_SHARE).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = written(_alike(near, classes, LEAST_SHARE).unionByName(crowded).distinct())
-    if (n := pairs.count()) and n <= MAX_BROADCAST:
-        # few pairs: only their texts move
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        texts = texts.join(F.broadcast(ids), F.col("cls") == F.col("k"), "left_semi")
-    links = linked.unionByName(_verified(pairs, texts, percent)) if n else linked
+    dealt = _dealt(rows.where(F.col("n") > REGION).select("region", "cls", "comp"))
+    signed = written(_signed_pairs(dealt, classes, LEAST_SHARE))
+    pairs = signed.where("a is not null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = written(_alike(near, classes, LEAST_SHARE).unionByName(pairs).distinct())
+    dense = written(dealt.join(signed.where("a is null").select(*_DEALT), _DEALT))
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(dense.select(F.col("cls").alias("k"))).distinct())
+    if needed.count() <= MAX_BROADCAST:
+        # few texts: only these move
+        texts = texts.join(F.broadcast(needed), F.col("cls") == F.col("k"), "left_semi")
+    more = _verified(pairs, texts, percent).unionByName(_linked_in_blocks(dense, texts, percent)) if not needed.isEmpty() else pairs
+    links = linked.unionByName(more)
     found = classes.select(*key, "cls").join(components(links), F.col("cls") == F.col("node"), "left")
     return members, found.select(*key, F.coalesce("component", "cls").alias("component"))
 
