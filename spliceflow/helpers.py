@@ -7,6 +7,8 @@ through one row for each chunk.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,19 @@ CHUNK = 65_536
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint, in the folder that driver and executors share: a short plan, safe from lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/spliceflow-checkpoints"))
-    return df.checkpoint()
+    """The rows as a table in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Used where a result is read several times: plans stay short, sizes are known, and a lost executor costs no lineage.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "/tmp/spliceflow-checkpoints"
+    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_index(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "idx") -> DataFrame:
@@ -56,8 +66,8 @@ def last_before(df: DataFrame, value: Column, name: str, inclusive: bool = False
     Within chunks it is a window; from one chunk to the next, the last value of each chunk is carried over.
     """
     df = df.withColumns({"__chunk": F.floor(F.col("idx") / chunk), "__value": value})
-    lasts = df.where("__value is not null").groupBy("stream_id", "__chunk").agg(F.max_by("__value", "idx").alias("__last"))
-    chunks = df.select("stream_id", "__chunk").distinct().join(lasts, ["stream_id", "__chunk"], "left")
+    known = F.when(F.col("__value").isNotNull(), F.col("idx"))
+    chunks = df.groupBy("stream_id", "__chunk").agg(F.max_by("__value", known).alias("__last"))
     earlier = Window.partitionBy("stream_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("stream_id", "__chunk", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
     w = Window.partitionBy("stream_id", "__chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -78,7 +88,7 @@ def running_sum(df: DataFrame, value: Column, name: str, chunk: int = CHUNK) ->
 
 def runs(df: DataFrame, name: str = "run") -> DataFrame:
     """Number gap-free runs of idx within stream_id by their first idx. df: rows that passed a filter; idx has holes."""
-    marked = last_before(df, F.col("idx"), "__prev")
+    marked = last_before(cut(df), F.col("idx"), "__prev")
     new = F.col("__prev").isNull() | (F.col("idx") > F.col("__prev") + 1)
     return last_before(marked, F.when(new, F.col("idx")), name, inclusive=True).drop("__prev")
 
@@ -90,7 +100,7 @@ def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[
     the values of a key, and equal values count as one.
     """
     keys = ["stream_id"] if keys is None else keys
-    df = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    df = cut(df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)"))
     span = df.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
     width = F.col("__hi") - F.col("__lo")
     number = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1))).otherwise(0).cast("int")
@@ -108,7 +118,7 @@ def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[
     held = held.withColumn("__below", F.coalesce(F.sum("__m").over(below), F.lit(0)))
     found = hit.join(held, [*keys, "__bin"]).where("__rank - __before >= __below and __rank - __before < __below + __m")
     part = F.when(F.col("__rank") == F.floor("__at"), 1 - (F.col("__at") - F.floor("__at"))).otherwise(F.col("__at") - F.floor("__at"))
-    return found.groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == n, F.col("__v") * part)).alias(n) for n in wanted])
+    return cut(found.groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == n, F.col("__v") * part)).alias(n) for n in wanted]))
 
 
 def interval_join(points: DataFrame, spans: DataFrame, width: int, how: str = "inner") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceflow.config import Cfar
-from spliceflow.helpers import last_before, near, percentiles
+from spliceflow.helpers import cut, last_before, near, percentiles
 from spliceflow.operators.normalize import robust_minmax
 
 
@@ -140,6 +140,7 @@ def earliest_first(candidates: DataFrame, gap: float, position: str = "idx", sta
 
     Only candidates closer than gap to their predecessor depend on it, so each run of such ones is folded alone.
     """
+    candidates = cut(candidates)
     rows = _near_groups(candidates, gap, position)
     if start is not None:
         rows = rows.withColumn("__start", F.lit(float(start)))
@@ -153,6 +154,7 @@ def earliest_first(candidates: DataFrame, gap: float, position: str = "idx", sta
 
 def strongest_first(candidates: DataFrame, gap: float, score: str, position: str = "idx") -> DataFrame:
     """Greedy by score, the earlier first among equals: keep a candidate at least `gap` from all kept ones."""
+    candidates = cut(candidates)
     rows = _near_groups(candidates, gap, position)
     one = F.struct((-F.col(score)).alias("s"), F.col(position).cast("double").alias("p"), "idx")
     grouped = rows.groupBy("stream_id", "__run").agg(F.array_sort(F.collect_list(one)).alias("c"))
@@ -164,6 +166,7 @@ def strongest_first(candidates: DataFrame, gap: float, score: str, position: str
 
 def consolidated(candidates: DataFrame, window: int, score: str) -> DataFrame:
     """Of candidates that follow one another within `window`, the strongest; the earliest among equals."""
+    candidates = cut(candidates)
     rows = _near_groups(candidates, window + 1, "idx")
     best = rows.groupBy("stream_id", "__run").agg(F.min_by("idx", F.struct(-F.col(score), "idx")).alias("idx"))
     return candidates.join(best.select("stream_id", "idx"), ["stream_id", "idx"], "left_semi")
@@ -188,6 +191,7 @@ def boundaries(df: DataFrame, candidates: DataFrame, gap: float, position: str =
 
     Fewer than two candidates in a stream count as none.
     """
+    candidates = cut(candidates)
     counts = candidates.groupBy("stream_id").agg(F.count("*").alias("__n")).where("__n > 1")
     inner = earliest_first(candidates.join(counts, "stream_id", "left_semi"), gap, position)
     ends = df.groupBy("stream_id").agg(F.max(position).alias("t")).select("stream_id", F.explode(F.array(F.lit(0.0), F.col("t").cast("double"))).alias("t"))

@@ -189,7 +189,7 @@ def kmeans_1d(points: DataFrame, column: str, rounds: int = 20, margin: float =
     plans stay short.
     """
     rows = points.where(F.col(column).isNotNull()).select("stream_id", F.col(column).cast("double").alias("v"))
-    values = rows.groupBy("stream_id", "v").agg(F.count("*").alias("m")).cache()
+    values = cut(rows.groupBy("stream_id", "v").agg(F.count("*").alias("m")))
     upto = Window.partitionBy("stream_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = values.withColumn("upto", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(Window.partitionBy("stream_id")))
     first = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * (i + 1) / 4), F.col("v"))).alias(f"c{i}") for i in range(3)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceflow.config import Fusion
+from spliceflow.helpers import cut
 from spliceflow.operators.changepoint import earliest_first
 
 
@@ -15,7 +16,7 @@ def fused(events: DataFrame, difference: float, bucket: Column) -> DataFrame:
     Per chain: t (median), methods (sorted), score_sum, score_max, n. bucket: a coarse time for ordering in parallel; an
     event's predecessor is looked for within its bucket, then in the last event of the buckets before.
     """
-    e = events.withColumn("__bucket", bucket)
+    e = cut(events).withColumn("__bucket", bucket)
     lasts = e.groupBy("stream_id", "__bucket").agg(F.max("t").alias("__t"))
     before = Window.partitionBy("stream_id").orderBy("__bucket")
     lasts = lasts.withColumn("__earlier", F.lag("__t").over(before)).drop("__t")

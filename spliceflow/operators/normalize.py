@@ -17,11 +17,14 @@ def robust_minmax(df: DataFrame, columns: list[str], valid: Column | None = None
 
     valid: percentiles are taken from these rows only and applied to all. Where both are equal, values are only clipped.
     """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]))
+    long = (df if valid is None else df.where(valid)).select("stream_id", each.alias("x")).select("stream_id", "x.*")
+    bounds = percentiles(long, "v", {"lo": low, "hi": high}, ["stream_id", "name"])
+    at = lambda c, end: F.max(F.when(F.col("name") == c, F.col(end))).alias(f"__{end}_{c}")
+    df = df.join(bounds.groupBy("stream_id").agg(*[at(c, end) for c in columns for end in ("lo", "hi")]), "stream_id", "left")
     for c in columns:
-        bounds = percentiles(df if valid is None else df.where(valid), c, {"__lo": low, "__hi": high})
-        df = df.join(bounds, "stream_id", "left")
-        span = F.col("__hi") - F.col("__lo")
-        df = df.withColumn(c, clipped(F.when(span > 0, (F.col(c) - F.col("__lo")) / span).otherwise(F.col(c)))).drop("__lo", "__hi")
+        span = F.col(f"__hi_{c}") - F.col(f"__lo_{c}")
+        df = df.withColumn(c, clipped(F.when(span > 0, (F.col(c) - F.col(f"__lo_{c}")) / span).otherwise(F.col(c)))).drop(f"__lo_{c}", f"__hi_{c}")
     return df
 
 

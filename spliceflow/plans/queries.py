@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.config import CHANGE_WEIGHTS, Cfar, Fusion
 from spliceflow.functions import signal as fn
-from spliceflow.helpers import near, percentiles
+from spliceflow.helpers import cut, near, percentiles, running_sum
 from spliceflow.operators import changepoint as cp
 from spliceflow.operators import cluster, filters, frames, fusion, normalize, reconstruct, segments, silence, spectral
 from spliceflow.plans import tables as t
@@ -37,7 +37,7 @@ def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream_id, idx, x, score: robustly scaled, differenced, smoothed; 9 places, so that equal sums are equal."""
     rows = normalize.robust_minmax(t.signal(spark, sf_dir).withColumn("y", F.col("x")), ["y"])
     rows = cp.smoothed(near(rows, 1, 0, {"score": cp.first_difference("y")}), "score")
-    return rows.select("stream_id", "idx", "x", F.round("score", 9).alias("score"))
+    return cut(rows.select("stream_id", "idx", "x", F.round("score", 9).alias("score")))
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,7 @@ def _peaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _segments(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
     rows, found = _peaks(spark, sf_dir)
-    return rows, segments.as_rows(segments.segments(cp.boundaries(rows, found, 10.0), **options))
+    return rows, cut(segments.as_rows(segments.segments(cp.boundaries(rows, found, 10.0), **options)))
 
 
 @query
@@ -124,8 +124,6 @@ def rolling_median_last3(spark, sf_dir):
 
 @query
 def cumulative_sum(spark, sf_dir):
-    from spliceflow.helpers import running_sum
-
     return _rounded(running_sum(t.signal(spark, sf_dir), F.round("x", 2).cast("decimal(18,2)"), "total").select("stream_id", "idx", F.col("total").cast("double").alias("total")), "total")
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from spliceflow.helpers import with_index
 
+#: Order and line number do not name a line item alone.
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +36,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream_id, idx, six feature columns and valid, from line items in order of order and line."""
     rows = read(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("stream_id"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("centroid"), F.col("l_discount").alias("rms"), F.col("l_tax").alias("rolloff"),
+        F.col("l_returnflag").alias("stream_id"), *LINE_ORDER, F.col("l_quantity").alias("centroid"), F.col("l_discount").alias("rms"), F.col("l_tax").alias("rolloff"),
         F.col("l_extendedprice").alias("zcr"), (F.col("l_quantity") * F.col("l_discount")).alias("flux"), (F.col("l_extendedprice") * F.col("l_tax")).alias("bandwidth"), (F.col("l_quantity") >= 5).alias("valid"),
     )
-    return with_index(rows, ["stream_id"], ["l_orderkey", "l_linenumber"], F.floor(F.col("l_orderkey") / 65536)).drop("l_orderkey", "l_linenumber")
+    return with_index(rows, ["stream_id"], LINE_ORDER, F.floor(F.col("l_orderkey") / 65536)).drop(*LINE_ORDER)
 
 
 def tracks(spark: SparkSession, sf_dir: str, length: int = 400) -> DataFrame:
