@@ -17,7 +17,12 @@ def hopping(signal: DataFrame, window: int, hop: int, pad: bool = False, per_chu
     size = hop * per_chunk
     own = F.floor(F.col("idx") / size)
     over = window - hop
-    chunks = F.array(own, F.when((F.col("idx") - own * size < over) & (own > 0), own - 1)) if 0 < over <= size else F.sequence(F.greatest(F.lit(0), F.ceil((F.col("idx") - (size - hop) - window + 1) / size)).cast("bigint"), own)
+    if over <= 0:
+        chunks = F.array(own)
+    elif over <= size:
+        chunks = F.array(own, F.when((F.col("idx") - own * size < over) & (own > 0), own - 1))
+    else:
+        chunks = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("idx") - (size - hop) - window + 1) / size)).cast("bigint"), own)
     rows = signal.select("stream_id", "idx", "x", F.explode(F.filter(chunks, lambda c: c.isNotNull())).alias("chunk"))
     packed = rows.groupBy("stream_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).withColumn("x", F.col("s.x")).drop("s")
     n = F.size("x")

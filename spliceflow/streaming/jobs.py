@@ -28,9 +28,10 @@ def _run(online: Online, state: State, stream_id: str, blocks: pd.DataFrame) ->
     return out.astype({"block_id": "int64", "out_block": "Int64", "label": "int32", "n_sources": "int32", "centroid": "float64", "rms": "float64"})
 
 
-def deinterleave(blocks: DataFrame, settings: Settings, idle: str = "10 minutes") -> DataFrame:
-    """A stream of blocks (stream_id, block_id, ts, samples) -> one row per block. State ends after `idle` without blocks.
+def deinterleave(blocks: DataFrame, settings: Settings, idle: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """A stream of blocks (stream_id, block_id, ts, samples) -> one row per block.
 
+    A stream's state ends when the watermark, `late` behind the newest block of all, is `idle` past its last one.
     Micro-batches must bring a stream's blocks in order; within one they are sorted.
     """
     online = Online(settings)
@@ -42,13 +43,15 @@ def deinterleave(blocks: DataFrame, settings: Settings, idle: str = "10 minutes"
             group.remove()
             return
         state = State.from_json(group.get[0] if group.exists else None)
-        blocks = [p for p in batches if len(p)]
-        if blocks:
-            yield _run(online, state, key[0], pd.concat(blocks))
-        group.update((state.to_json(),))
-        group.setTimeoutDuration(idle_ms)
-
-    return blocks.groupBy("stream_id").applyInPandasWithState(step, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        parts = [p for p in batches if len(p)]
+        if parts:
+            arrived = pd.concat(parts)
+            yield _run(online, state, key[0], arrived)
+            group.update((state.to_json(),))
+            group.setTimeoutTimestamp(max(int(arrived["ms"].max()) + idle_ms, group.getCurrentWatermarkMs() + 1))
+
+    timed = blocks.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    return timed.groupBy("stream_id").applyInPandasWithState(step, OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(frames: DataFrame, settings: Settings | None = None) -> DataFrame:
