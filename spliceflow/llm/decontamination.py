@@ -113,8 +113,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
     w = words(F.col("text"))
     n_hit = F.aggregate("hit_spans", F.lit(0), lambda a, x: a + x["e"] - x["s"])
     gaps = F.split(F.col("text"), WORD, -1)
-    keep = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ~F.exists("hit_spans", lambda x: (x["s"] <= i) & (i < x["e"])))
-    kept = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(keep, lambda i: F.concat(F.get(w, i), F.get(gaps, i + 1))), ""))
+    # each word with what follows it; both arrays are made once, not once for each word
+    pieces = F.zip_with(w, F.slice(gaps, 2, 1 << 30), lambda word, after: F.concat(word, after))
+    keep = F.filter(pieces, lambda _, i: ~F.exists("hit_spans", lambda x: (x["s"] <= i) & (i < x["e"])))
+    kept = F.concat(F.get(gaps, F.lit(0)), F.array_join(keep, ""))
     found = found.where(F.col("hit_spans").isNull() | (n_hit < drop_share * F.size(w)))
     text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(kept)
     out = found.withColumn("__text", text)
