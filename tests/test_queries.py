@@ -14,9 +14,12 @@ TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
-def results(spark):
-    with ThreadPoolExecutor(4) as pool:
-        return {name: pool.submit(lambda q: q(spark, TABLES).toPandas(), q) for name, q in QUERIES.items()}
+def results(spark, request):
+    """Futures of the queries that were asked for; jobs of several queries share the cores."""
+    asked = {item.callspec.params.get("name") for item in request.session.items if hasattr(item, "callspec")}
+    pool = ThreadPoolExecutor(8)
+    yield {name: pool.submit(lambda q: q(spark, TABLES).toPandas(), q) for name, q in QUERIES.items() if name in asked}
+    pool.shutdown(cancel_futures=True)
 
 
 @pytest.fixture(scope="module")
