@@ -61,13 +61,20 @@ _HIDDEN = re.compile(
 )
 _DOT = re.compile(_DOT_HIDDEN, re.I)
 
-# Which texts may hold a disguise at all. A spelled run needs two digit words next to each other.
+# Which texts may hold a disguise at all. A spelled run has three digit words with nothing else than digits, separators
+# and dots between them; the pattern takes all such places, and more, in folded text.
 _ODD = re.compile("[" + "".join(sorted(INVISIBLE)) + "Ͱ-ԯᴀ-ᶿ⁰-ₜ①-⓿！-～\U0001d400-\U0001d7ff]")
-_MAY_SPELL = re.compile(rf"(?<![^\W_])(?:{'|'.join(DIGITS)})[ ,;-]{{1,2}}(?:{'|'.join(DIGITS)})[ ,;-]{{1,2}}(?:{'|'.join(DIGITS)}|dot|point)\b")
+_WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
+_MAY_SPELL = re.compile(rf"(?<![^\W\d_]){_WORD}(?:(?:[ ,;.0-9-]|dot|point)*{_WORD}){{2}}")
 
 Span = tuple[str, int, int]
 
 
+def folded(s: str) -> str:
+    """Lower case, also of the letters that patterns without case take for s and i."""
+    return s.replace("ſ", "s").replace("ı", "i").replace("İ", "i").lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -158,7 +165,7 @@ def _spelled(m: re.Match) -> list[tuple[str, int, int]]:
     if len(digits) < 4 or sum(not x["n"].isdigit() for x in digits) < 3:
         return []
     at = m.start()
-    return [("+" if x["plus"] else "." if x["dot"] else x["n"] if x["n"].isdigit() else str(DIGITS[x["n"].lower()]), at + x.start(), at + x.end()) for x in found]
+    return [("+" if x["plus"] else "." if x["dot"] else x["n"] if x["n"].isdigit() else str(DIGITS[folded(x["n"])]), at + x.start(), at + x.end()) for x in found]
 
 
 def _hidden(m: re.Match) -> list[tuple[str, int, int]]:
@@ -182,7 +189,7 @@ def _hidden(m: re.Match) -> list[tuple[str, int, int]]:
 
 def disguised_spans(text: str) -> list[Span]:
     """Identifiers that show only on the rewritten tape, as source spans."""
-    low = text.lower()
+    low = folded(text)
     odd, spell = _ODD.search(text), _MAY_SPELL.search(low)
     at_dot = "dot" in low or "[at]" in low or "(at)" in low or "_at_" in low or re.search(rf"{_OPEN}\s*(?:at|@|\.)\s*{_CLOSE}", low)
     if not (odd or spell or at_dot):

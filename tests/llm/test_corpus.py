@@ -173,6 +173,27 @@ def test_disguises(text, kind, hit):
     assert pii.redact(text) == text.replace(hit, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("plus four 9 one 5 two 0 three 4 six 7", "phone"), ("+4 nine 1 five 5 zero 1 two 3 four", "phone"), ("five five 5 one two 3 four five 6 seven", "phone"),
+        ("one dot two dot three dot four", "ip"), ("plus one ſıx 5 five 1 two three 4 fİve", "phone"),
+    ],
+)
+def test_digits_and_words_mixed(text, kind):
+    assert pii.redact(f"x: {text}!") == f"x: <{kind.upper()}>!"
+
+
+def test_spelling_gate(monkeypatch):
+    rng = random.Random(9)
+    parts = [*pii.DIGITS, *map(str, range(10)), *"0123456789", "plus", "+", "dot", "point", ".", "Two", "SIX", "ſeven", "sİx", "at", "tone"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", " ", ", ", "-", "", "  ", ". "]) for _ in range(rng.randrange(4, 30))) for _ in range(4000)]
+    gated = [pii.all_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_MAY_SPELL", pii.re.compile(""))
+    assert gated == [pii.all_spans(t) for t in texts]
+    assert sum(bool(added) for _, added in gated) > 200
+
+
 @pytest.mark.parametrize("text", ["look at this. And dot the i", "meet at noon at the dot", "one two three", "", "at dot", "Привет мир, как дела"])
 def test_no_disguise(text):
     assert pii.all_spans(text) == ([], [])
