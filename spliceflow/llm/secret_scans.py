@@ -5,7 +5,9 @@ Main path: built-in functions only, no shuffle, one pass over the rows.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits per character from which a window of a class counts as random; the most that WINDOW characters can have is 4.32.
-CLASSES = (("hex", "^[0-9A-Fa-f]+$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.6), ("base64", "", 3.8))
+#: Each window is of the narrowest class that has all its characters, whatever stands around it in the run.
+CLASSES = (("hex", "0123456789ABCDEFabcdef", 3.0), ("alnum", ALPHABET[:62], 3.6), ("base64", ALPHABET, 3.8))
 #: Strings that look random and are not secrets. Placeholders, keyboard runs, UUIDs, words and numbers joined by signs.
 ALLOW = (
     "(?i)example|sample|placeholder|change_?me|dummy|redacted|xxxx|01234567|12345678|abcdefgh|qwerty",
@@ -45,14 +48,19 @@ def _spans(text: Column, pattern: str, may: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def window_entropy(chars: Column) -> Column:
-    """The largest Shannon entropy, in bits per character, of WINDOW consecutive characters (positions in ALPHABET, from 1).
+def _least_sums(chars: Column) -> Column:
+    """For each class, the least sum of c * log2(c) over the windows of WINDOW characters that have only its characters.
 
-    One character enters and one leaves at each step. The counts change in those two places, and with them the sum of
-    c * log2(c), which gives the entropy as log2(WINDOW) - sum / WINDOW.
+    chars: positions in ALPHABET, from 1. One character enters and one leaves at each step. The counts change in those two
+    places, and with them the sum, which gives a window's entropy as log2(WINDOW) - sum / WINDOW. 1e9: no such window.
     """
     clogc = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
+    kinds = [k for k, _, _ in CLASSES]
+    #: by position, the first class that has the character, from 1
+    first = F.array(*[F.lit(1 + next(i for i, (_, held, _) in enumerate(CLASSES) if c in held)) for c in ALPHABET])
+    none = [F.lit(1e9).alias(k) for k in kinds]
+    runs = [F.lit(0).alias(f"run_{k}") for k in kinds[:-1]]
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), *runs, *none)
 
     def step(acc: Column, i: Column) -> Column:
         new, old = F.get(chars, i), F.when(i >= WINDOW, F.get(chars, i - WINDOW)).otherwise(0)
@@ -60,22 +68,33 @@ def window_entropy(chars: Column) -> Column:
         change = F.get(clogc, n_new + 1) - F.get(clogc, n_new) + F.when(old > 0, F.get(clogc, n_old - 1) - F.get(clogc, n_old)).otherwise(0.0)
         total = F.when(new == old, acc["sum"]).otherwise(acc["sum"] + change)
         counts = F.transform(acc["n"], lambda n, j: n + F.when(j + 1 == new, 1).otherwise(0) - F.when(j + 1 == old, 1).otherwise(0))
-        least = F.when(i >= WINDOW - 1, F.least(acc["least"], total)).otherwise(acc["least"])
-        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"))
+        runs = {k: F.when(F.get(first, new - 1) <= c, acc[f"run_{k}"] + 1).otherwise(0) for c, k in enumerate(kinds[:-1], 1)}
+        whole = {**{k: run >= WINDOW for k, run in runs.items()}, kinds[-1]: i >= WINDOW - 1}
+        least = [F.when(whole[k], F.least(acc[k], total)).otherwise(acc[k]).alias(k) for k in kinds]
+        return F.struct(counts.alias("n"), total.alias("sum"), *[run.alias(f"run_{k}") for k, run in runs.items()], *least)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda acc: F.struct(*[acc[k].alias(k) for k in kinds]))
+
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / WINDOW)
+def _entropy(least: Column) -> Column:
+    return F.lit(math.log2(WINDOW)) - least / WINDOW
+
+
+def window_entropy(chars: Column) -> Column:
+    """The largest Shannon entropy, in bits per character, of WINDOW consecutive characters (positions in ALPHABET, from 1)."""
+    return _entropy(_least_sums(chars)[CLASSES[-1][0]])
 
 
 def _is_secret(m: Column) -> Column:
     chars = F.transform(F.split(m, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    bar = F.lit(CLASSES[-1][2])
-    for _, pattern, bits in reversed(CLASSES[:-1]):
-        bar = F.when(m.rlike(pattern), F.lit(bits)).otherwise(bar)
+    # one element, so that the fold is written once
+    sums = F.array(_least_sums(chars))
+    random = F.exists(sums, lambda x: functools.reduce(operator.or_, (_entropy(x[k]) >= bits for k, _, bits in CLASSES)))
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | m.rlike(pattern)
     # the fold is the dear part: only where the cheap tests leave a string
-    return F.when(~m.rlike("[0-9]") | allowed, F.lit(False)).otherwise(window_entropy(chars) >= bar)
+    return F.when(~m.rlike("[0-9]") | allowed, F.lit(False)).otherwise(random)
 
 
 def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:

@@ -58,6 +58,16 @@ def test_secrets(spark):
     assert secret_scans.secret_report(table(spark, [])).count() == 0
 
 
+def test_secrets_joined_to_names(spark):
+    rng = random.Random(8)
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    joined = [(f"AUTH={key(32, '0123456789ABCDEF')}") for _ in range(40)] + [f"deploy/{key(24, '0123456789abcdef')}" for _ in range(40)] + [f"0x{key(32, '0123456789ABCDEF')}" for _ in range(40)]
+    names = ["path/to/some_long-name/2024/12/index_of_things=3", "id=3f2b8c1e-9d47-4a6b-8e15-7c0d2f9a6b34", "order=" + "12" * 15, "example=" + key(32, "0123456789ABCDEF")]
+    got = {r.doc_id: r.spans for r in secret_scans.secret_report(table(spark, list(enumerate(joined + names)))).collect()}
+    assert sum(got[i] == f"entropy:0:{len(t)}" for i, t in enumerate(joined)) >= 115
+    assert [got[len(joined) + i] for i in range(len(names)) if i != 1] == ["", "", ""]
+
+
 def test_window_entropy(spark):
     s = "abcabcdefghijklmnopqrstuvwaaaaaaaaaaaaaaaaaaaa9"
     chars = F.transform(F.split(F.lit(s), ""), lambda c: F.instr(F.lit(secret_scans.ALPHABET), c))
