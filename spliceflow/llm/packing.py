@@ -2,8 +2,8 @@
 
 Every bin (sequence) has three limits: tokens, segments and loss-bearing tokens. The open bin takes, again and again,
 the waiting piece whose vector has the largest dot product with what the bin has left. Where nothing fits, a piece is
-cut so as to fill the bin. A partition's last bin is split into powers of two, which need no padding. Partitions pack
-alone, so there is no shuffle, and a lost task is run again with the same result.
+cut so as to fill the bin. A bin that stays short of tokens, as the partition's last one or by another limit, is split
+into powers of two, which need no padding. Partitions pack alone, so there is no shuffle, and a lost task is run again with the same result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import slices
 CAPACITY = 4096
 END_ID = 2
 MAX_SEGMENTS = 256
-#: Pieces that wait for a bin at a time, at most: memory and the heuristic's choice.
+#: Pieces that wait before a bin is closed, for the heuristic's choice; more of them wait where they don't fill a bin yet.
 WAITING = 128
 #: Distinct words whose ids a worker remembers: this many at least, twice as many at most.
 REMEMBERED = 500_000
@@ -115,6 +115,7 @@ class Packer:
         self.limits = np.array([capacity, max_segments, max_loss], float)
         self.capacity, self.max_segments, self.max_loss = capacity, max_segments, max_loss
         self.waiting: list[Piece] = []
+        self.tokens = 0  # of those that wait
         self.bins = 0
 
     def add(self, doc: int, n: int, loss: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -125,8 +126,9 @@ class Packer:
             start += self.capacity
         if start < n:
             self._wait(doc, start, n - start, n, loss)
-            while len(self.waiting) >= WAITING:
-                yield from self._close(self._fill())
+            # a bin is closed by a limit, never for the number that waits
+            while len(self.waiting) >= WAITING and (self.tokens >= self.capacity or len(self.waiting) >= self.max_segments):
+                yield from self._close_filled()
 
     @staticmethod
     def _loss(start: int, length: int, n: int, loss: int) -> int:
@@ -141,6 +143,7 @@ class Packer:
                 take = max(0, n - loss - start) + self.max_loss
             bears = self._loss(start, take, n, loss)
             self.waiting.append((doc, start, take, bears))
+            self.tokens += take
             start, length = start + take, length - take
 
     def _fill(self) -> list[Piece]:
@@ -169,8 +172,13 @@ class Packer:
                     self.waiting[k] = (doc, start + take, length - take, bears - max(0, take - lead))
                 else:
                     self.waiting.pop(k)
+        self.tokens -= sum(p[2] for p in chosen)
         return chosen
 
+    def _close_filled(self) -> Iterator[tuple[int, int, int, int, int]]:
+        pieces = self._fill()
+        yield from self._close(pieces, split=sum(p[2] for p in pieces) < self.capacity)
+
     def _close(self, pieces: list[Piece], split: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
         total = sum(p[2] for p in pieces)
         room = 1 << (total.bit_length() - 1) if split else total
@@ -187,8 +195,7 @@ class Packer:
 
     def finish(self) -> Iterator[tuple[int, int, int, int, int]]:
         while self.waiting:
-            pieces = self._fill()
-            yield from self._close(pieces, split=sum(p[2] for p in pieces) < self.capacity)
+            yield from self._close_filled()
 
 
 def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, tokenizer: str | None = None, with_ids: bool = False, loss_share: str | None = None) -> DataFrame:

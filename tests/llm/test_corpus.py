@@ -263,6 +263,22 @@ def test_packing_limits():
         assert [p[0] for p in sorted(pieces)] == [sum(q[3] for q in sorted(pieces)[:i]) for i in range(len(pieces))]
 
 
+@pytest.mark.parametrize("size", [3, 10, 20, 31])
+def test_packing_of_short_items(size):
+    packer = packing.Packer(packing.CAPACITY, packing.MAX_SEGMENTS, packing.CAPACITY)
+    added = [x for d in range(3000) for x in packer.add(d, size, size)]
+    bins = {}
+    for b, offset, d, _, length in added + list(packer.finish()):
+        bins.setdefault(b, []).append((offset, length, d))
+    totals = [sum(p[1] for p in pieces) for pieces in bins.values()]
+    assert sum(totals) == 3000 * size and max(map(len, bins.values())) <= packing.MAX_SEGMENTS
+    assert sum(packing.CAPACITY - t for t in totals if t & (t - 1)) < 0.01 * sum(totals)
+    if size * packing.MAX_SEGMENTS > packing.CAPACITY:
+        assert totals[0] == packing.CAPACITY
+    else:
+        assert max(map(len, bins.values())) > packing.WAITING
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
