@@ -1,7 +1,7 @@
-"""Near-duplicate documents by an LSH forest over MinHash signatures, verified on full shingle sets.
+"""Near-duplicate documents by banded LSH over MinHash signatures, verified on full shingle sets.
 
-A signature's values, taken in TREES different orders, give as many sorted orders of the documents. Documents that share
-a prefix of DEPTH values in some order are that tree's neighbours; such a region has a hub, its smallest document.
+A signature's values are cut into TREES bands of DEPTH values. Documents that share a band are neighbours; such a region
+has a hub, its smallest document.
 
 1. Documents with equal sets become one class; the rest works on classes.
 2. Links to hubs are verified on full sets. This joins nearly all groups, at one pair per document, whatever their size.
@@ -97,12 +97,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _orders() -> np.ndarray:
-    """TREES orders of the values, of which the first DEPTH are different ones as long as there are enough."""
+    """The values of each band: TREES times DEPTH, different ones as long as there are enough."""
     return (np.arange(TREES)[:, None] * DEPTH + np.arange(DEPTH)[None, :]) % VALUES
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(region, cls): for each tree, the class's label prefix of DEPTH values."""
+    """(region, cls): for each band, a hash of the class's values in it."""
     orders = _orders()
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
