@@ -558,8 +558,10 @@ def interleave_fixed(spark, sf_dir):
 
 @query
 def interleave_random(spark, sf_dir):
-    rounds = reconstruct.random_rounds(spark, 120, 7, 19, 1)
-    return reconstruct.interleaved_by(t.tracks(spark, sf_dir, 120), 3, rounds)
+    """Over the shortest track's length, with the last round cut short."""
+    rows = t.tracks(spark, sf_dir, None)
+    shortest = rows.groupBy("track").count().agg(F.min("count")).first()[0] or 0
+    return reconstruct.interleaved_by(rows, 3, reconstruct.random_rounds(spark, shortest, 7, 19, 1))
 
 
 @query

@@ -42,8 +42,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_index(rows, ["stream_id"], LINE_ORDER, F.floor(F.col("l_orderkey") / 65536)).drop(*LINE_ORDER)
 
 
-def tracks(spark: SparkSession, sf_dir: str, length: int = 400) -> DataFrame:
-    """track (0 to 2), idx, x: prices of orders by status, `length` samples each."""
+def tracks(spark: SparkSession, sf_dir: str, length: int | None = 400) -> DataFrame:
+    """track (0 to 2), idx, x: prices of orders by status, `length` samples each (None: all)."""
     rows = read(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O', 'P')").select("o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("x"))
-    rows = with_index(rows, ["o_orderstatus"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536)).where(F.col("idx") < length)
+    rows = with_index(rows, ["o_orderstatus"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536))
+    if length is not None:
+        rows = rows.where(F.col("idx") < length)
     return rows.select((F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)).alias("track"), "idx", "x")

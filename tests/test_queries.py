@@ -46,3 +46,10 @@ def test_same_as_sql(results, duck, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_runs(results, name):
     assert len(results[name].result())
+
+
+def test_random_interleaving_of_whole_tracks(spark, duck):
+    got = QUERIES["interleave_random"](spark, TABLES).toPandas()
+    shortest = duck.execute("SELECT min(n) FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus)").fetchone()[0]
+    assert sorted(got["out_idx"]) == list(range(3 * shortest))
+    assert all(sorted(x) == list(range(shortest)) for _, x in got.groupby("track")["idx"])
