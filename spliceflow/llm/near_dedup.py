@@ -14,6 +14,7 @@ has a hub, its smallest document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ PERCENT = 85
 VALUES, TREES, DEPTH = 80, 20, 4
 #: Classes in a region up to which it is paired by a plain join; larger ones by blocks of this size.
 REGION, BLOCK = 24, 256
-#: Signatures agreeing in fewer values belong, but for one pair in 10^7, to sets below the threshold (6 standard deviations).
-LEAST_SHARE = 0.6
+#: Signatures agreeing in fewer values than this many standard deviations below the threshold belong to sets below it, but
+#: for one pair in 10^7.
+DEVIATIONS = 6
 
 #: Pairs whose ids may be broadcast, to move fewer texts.
 MAX_BROADCAST = 500_000
@@ -40,6 +42,12 @@ _FACTORS = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) |
 _SHIFTS = mix(np.arange(101, VALUES + 101, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
+def least_share(percent: int) -> float:
+    """The share of values in which signatures of a pair at the threshold agree at least; 0.6 for 85."""
+    p = percent / 100
+    return max(0, math.floor(VALUES * p - DEVIATIONS * math.sqrt(VALUES * p * (1 - p)))) / VALUES
+
+
 def shingles(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, end to end, and each row's first (one more than rows)."""
     raw, at = flat_text(text)
@@ -263,6 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     """
     slim = docs.select("doc_id", "text")
     key = ["k1", "k2", "n_shingles"]
+    least = least_share(percent)
     members = written(signatures(slim))
     classes = members.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("cls"), F.first("signature").alias("signature"))
     classes = written(classes)
@@ -271,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     crowd = written(forest.join(hubs, "region").select("region", "n", "hub", "cls"))
     stars = written(crowd.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
     texts = slim.select(F.col("doc_id").alias("cls"), "text").where("cls is not null")
-    likely = _alike(stars, classes, LEAST_SHARE)
+    likely = _alike(stars, classes, least)
     linked = written(_verified(likely, texts, percent))
     joined = components(linked).withColumnsRenamed({"node": "k", "component": "comp"})
     rows = crowd.join(joined, F.col("cls") == F.col("k"), "left").select("region", "n", "cls", F.coalesce("comp", "cls").alias("comp"))
@@ -282,9 +291,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     near = few.join(other, "region").where("comp <> comp2 and cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
     near = near.join(stars, ["a", "b"], "left_anti")
     dealt = _dealt(rows.where(F.col("n") > REGION).select("region", "cls", "comp"))
-    signed = written(_signed_pairs(dealt, classes, LEAST_SHARE))
+    signed = written(_signed_pairs(dealt, classes, least))
     pairs = signed.where("a is not null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = written(_alike(near, classes, LEAST_SHARE).unionByName(pairs).distinct())
+    pairs = written(_alike(near, classes, least).unionByName(pairs).distinct())
     dense = written(dealt.join(signed.where("a is null").select(*_DEALT), _DEALT))
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("k")).unionByName(dense.select(F.col("cls").alias("k"))).distinct())
     if needed.count() <= MAX_BROADCAST:

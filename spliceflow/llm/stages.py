@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, near_dedup, packing, pii
 from . import toxicity as toxic
 
+#: Near-duplicates of the pipeline share 0.8 of their shingles or more; the 85 of near_dedup is op10's contract.
+NEAR_PERCENT = 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return near_dedup.without_near_duplicates(docs)
+    return near_dedup.without_near_duplicates(docs, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

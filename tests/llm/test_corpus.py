@@ -349,3 +349,15 @@ def test_stages_keep_columns(spark, tmp_path):
         assert out.columns == docs.columns and out.count() > 10
     assert stages.near_duplicates(spark, docs, str(tmp_path)).where("doc_id in (5, 7, 8, 13)").count() == 0
     assert stages.pack(spark, docs, str(tmp_path)).where("length < 1").count() == 0
+
+
+def test_stage_joins_near_duplicates_from_80_percent(spark):
+    rng = random.Random(10)
+    docs = []
+    for i in range(60):
+        w = [f"w{rng.random()}" for _ in range(49)]
+        docs += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w[:24], "new", *w[25:]])), (3 * i + 2, " ".join([*w[:20], "a", *w[21:30], "b", *w[31:]]))]
+    # 40 of 50 shingles shared is 0.8, 35 of 55 is less
+    exp = {r[0] for r in brute.near_duplicates(docs, 80) if r[3]}
+    assert len(exp) == 120
+    assert {r.doc_id for r in stages.near_duplicates(spark, table(spark, docs), "").collect()} == exp
