@@ -9,11 +9,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes over bytes and over words.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
+#: Bytes of text that are worked on at a time (work arrays take some 40 times as much), and of a batch between Spark and
+#: its Python workers.
+SLICE, BATCH = 256 << 10, 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _SPACE = bytes(range(0x09, 0x0E)) + b" "
 #: Byte tables: which bytes of UTF-8 text belong to a word, for the two word rules in use.
 NON_SPACE = np.ones(256, bool)
@@ -35,30 +41,15 @@ _LOWER = _SYMBOL.copy()
 _LOWER[65:91] = _SYMBOL[97:123]
 
 
-class _Powers:
-    """base**i and its inverse for i below the longest length asked for so far."""
-
-    def __init__(self, base: int):
-        self.base, self.n = base, 0
-        self.up = self.down = np.empty(0, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            up = np.full(self.n, self.base, U64)
-            down = np.full(self.n, pow(self.base, -1, 1 << 64), U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-        return self.up[:n], self.down[:n]
-
-
-_BYTE, _WORD = _Powers(BYTE_BASE), _Powers(WORD_BASE)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[0] = 1
+    return np.cumprod(out, dtype=U64)
 
 
-def _prefix(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x) + 1, U64)
-    np.cumsum(x, out=out[1:], dtype=U64)
-    return out
+#: Bytes that are hashed at a time, and a word's length from which its hash is another one (the sum is weak on long words).
+HASHED, LONG_WORD = 1 << 16, 500
+_UP, _DOWN = _powers(BYTE_BASE, HASHED), _powers(pow(BYTE_BASE, -1, 1 << 64), HASHED)
 
 
 def flat_text(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,22 +66,36 @@ def flat_text(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_spans(raw: np.ndarray, at: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the index of each row's first word (one more than rows)."""
-    inside = in_word[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[at] = True
-    before = np.concatenate(([False], inside))
-    after = np.concatenate((inside, [False]))
-    starts = np.flatnonzero(after & (~before | cut))
-    ends = np.flatnonzero(before & (~after | cut))
+    inside = np.zeros(len(raw) + 2, bool)  # with a byte outside of words at both ends
+    inside[1:-1] = in_word[raw]
+    starts, ends = [], []
+    for a in range(0, len(raw) + 1, 1 << 20):
+        b = min(a + (1 << 20), len(raw) + 1)
+        before, after = inside[a:b], inside[a + 1 : b + 1]
+        starts.append(np.flatnonzero(after & (~before | cut[a:b])) + a)
+        ends.append(np.flatnonzero(before & (~after | cut[a:b])) + a)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(starts, at)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    up, _ = _BYTE.get(len(raw) + 1)
-    total = _prefix((_LOWER if lower else _SYMBOL)[raw] * up[: len(raw)])
-    out = mix((total[ends] - total[starts]) * _BYTE.down[starts])
-    for i in np.flatnonzero(ends - starts > 500):  # the sum is weak on very long words
+    """A 64-bit hash of each word; with lower, A-Z count as a-z. Words are taken in runs of at most HASHED bytes."""
+    symbols = _LOWER if lower else _SYMBOL
+    out = np.empty(len(starts), U64)
+    a = 0
+    while a < len(starts):
+        lo = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, lo + HASHED - 1, side="right")))
+        n = ends[b - 1] - lo
+        if n < HASHED:
+            total = np.zeros(n + 1, U64)
+            np.cumsum(symbols[raw[lo : lo + n]] * _UP[:n], out=total[1:])
+            s = starts[a:b] - lo
+            out[a:b] = mix((total[ends[a:b] - lo] - total[s]) * _DOWN[s])
+        a = b
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
         word = raw[starts[i] : ends[i]].tobytes()
         out[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
     return out
@@ -100,19 +105,26 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of words[p:p+k] for every p at which k words are left, whatever rows they belong to."""
     if len(words) < k:
         return np.empty(0, U64)
-    up, down = _WORD.get(len(words) + 1)
-    total = _prefix(words * up[: len(words)])
-    return mix((total[k:] - total[:-k]) * down[: len(words) - k + 1])
+    h, n = words, 1  # polynomials over n words; n grows to k bit by bit
+    for bit in bin(k)[3:]:
+        h = h[:-n] + h[n:] * U64(pow(WORD_BASE, n, 1 << 64))
+        n *= 2
+        if bit == "1":
+            h = h[:-1] + words[n:] * U64(pow(WORD_BASE, n, 1 << 64))
+            n += 1
+    return mix(h)
 
 
 def span_hashes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of words[first:end] for each pair."""
-    up, down = _WORD.get(len(words) + 1)
-    total = _prefix(words * up[: len(words)])
-    return mix((total[end] - total[first]) * down[first])
+    """A 64-bit hash of words[first:end] for each pair, of a few words each."""
+    n, out = end - first, np.zeros(len(first), U64)
+    for j in range(int(n.max(initial=0))):
+        has = n > j
+        out[has] += words[first[has] + j] * U64(pow(WORD_BASE, j, 1 << 64))
+    return mix(out)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about `most` bytes of text, so that work arrays stay small."""
     at = flat_text(batch.column(text))[1]
     row = 0
@@ -122,15 +134,25 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
         row = end
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
-    """Apply fn to runs of rows of bounded text size, inside Spark's tasks."""
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(fn, schema); a session whose batches may have more than BATCH bytes gets that bound."""
+    conf = df.sparkSession.conf
+    bound = (conf.get(BATCH_CONF) or "").rstrip("b")
+    if bound.isdigit() and int(bound) > BATCH:
+        conf.set(BATCH_CONF, f"{BATCH}b")
+    return df.mapInArrow(fn, schema)
+
+
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text") -> DataFrame:
+    """Apply fn to runs of rows of bounded text size, inside Spark's tasks. Only a single text may be larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 yield fn(part)
+            pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -149,3 +171,11 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that written() made, once nothing reads it any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

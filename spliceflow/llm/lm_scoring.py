@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import NON_SPACE, U64, flat_text, map_text, shared_folder, slices, word_hashes, word_spans, written
+from .common import NON_SPACE, U64, flat_text, in_arrow, map_text, shared_folder, slices, word_hashes, word_spans, written
 
 #: Stands for the end of a text among word hashes.
 END = U64(0xE5D1A3B7C9F24680)
 #: Bigrams that a task merges before it sends them on, and those for which a shard is meant.
-RUN, SHARD = 3_000_000, 2_000_000
+RUN, SHARD = 1_500_000, 2_000_000
 _LOW = U64(0xFFFFFFFF)
 #: What a shard of bigrams, and of words, has to say.
 _RUN = pa.struct([("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -194,7 +194,7 @@ def _runs(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
         if waiting:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "shard long, keys binary, counts binary")
+    return in_arrow(docs.select("text"), run, "shard long, keys binary, counts binary")
 
 
 def _by_shard(df: DataFrame, shards: int, kind: type, finish: Callable[[int, np.ndarray, np.ndarray], dict], schema: pa.Schema) -> DataFrame:

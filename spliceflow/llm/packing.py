@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -28,7 +28,7 @@ MAX_SEGMENTS = 256
 #: Pieces that wait before a bin is closed, for the heuristic's choice; more of them wait where they don't fill a bin yet.
 WAITING = 128
 #: Distinct words whose ids a worker remembers: this many at least, twice as many at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 #: The tokenizer's own way of cutting text, for texts of plain characters only.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -70,7 +70,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 4)
+        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 2)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -247,8 +247,9 @@ def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGM
                     n_docs += 1
                 if done:
                     yield rows(done)
+            pa.default_memory_pool().release_unused()
         if rest := list(packer.finish()):
             yield rows(rest)
 
     cols = [F.col("doc_id"), F.col("text")] + [F.col(c).cast("double").alias("loss_share") for c in [loss_share] if c]
-    return df.select(*cols).mapInArrow(run, schema)
+    return in_arrow(df.select(*cols), run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, flat_text, map_text, mix, slices, word_hashes, word_spans
+from .common import ALNUM, U64, flat_text, in_arrow, map_text, mix, slices, word_hashes, word_spans
 
 BITS = 20
 DIMENSIONS = 1 << BITS
@@ -39,21 +39,24 @@ def features(text: pa.Array, of_use: np.ndarray | None = None) -> tuple[np.ndarr
     h = word_hashes(raw, starts, ends, lower=True)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    parts, rows = [h], [row]
+    keys = []  # row and coordinate in one number
+
+    def add(hashed: np.ndarray, of: np.ndarray) -> None:
+        place = (hashed & U64(DIMENSIONS - 1)).astype(np.int64)
+        if of_use is not None:
+            keep = of_use[place]
+            place, of = place[keep], of[keep]
+        keys.append((of << BITS) | place)
+
+    add(h, row)
     for size in STEMS:
         longer = np.flatnonzero(ends - starts > size)
-        parts.append(mix(word_hashes(raw, starts[longer], starts[longer] + size, lower=True) + U64(size)))
-        rows.append(row[longer])
+        add(mix(word_hashes(raw, starts[longer], starts[longer] + size, lower=True) + U64(size)), row[longer])
     for gap in (1, 2):
         a, b = h[:-gap], h[gap:]
         same = row[:-gap] == row[gap:]
-        parts.append(mix(a[same] * U64(2 * gap + 1) + b[same]))
-        rows.append(row[:-gap][same])
-    place, row = (np.concatenate(parts) & U64(DIMENSIONS - 1)).astype(np.int64), np.concatenate(rows).astype(np.int64)
-    if of_use is not None:
-        keep = of_use[place]
-        place, row = place[keep], row[keep]
-    key = np.unique((row << BITS) | place)
+        add(mix(a[same] * U64(2 * gap + 1) + b[same]), row[:-gap][same])
+    key = np.unique(np.concatenate(keys))
     return key & (DIMENSIONS - 1), np.searchsorted(key >> BITS, np.arange(len(n) + 1))
 
 
@@ -80,8 +83,10 @@ class Ftrl:
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
     """Weights by coordinate. labelled: doc_id, y (0 or 1). Rows with null ids, labels or texts teach nothing.
 
-    Texts become features where they are read. One task learns from the sample, as FTRL is sequential; it streams the
-    rows, in a fixed order and once for each epoch, so its memory is that of the model.
+    Of rows that repeat a doc_id one teaches: that of the smallest features, so that the weights don't depend on the run;
+    an id that has both labels counts as 1. Texts become features where they are read. One task learns from the sample,
+    as FTRL is sequential; it streams the rows, in a fixed order and once for each epoch, so its memory is that of the
+    model.
     """
     chosen = labelled.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id")
@@ -105,17 +110,19 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> dict[in
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["i", "w"])
 
     seen = map_text(rows, extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<int>")
-    seen = seen.dropDuplicates(["doc_id"]).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    ordered = seen.repartition(1).sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    seen = seen.groupBy("doc_id", "y").agg(F.min("x").alias("x")).repartition(1)
+    seen = seen.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    ordered = seen.sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(7)), "doc_id")
     # collected: at most DIMENSIONS + 1 rows
-    learnt = {r["i"]: r["w"] for r in ordered.select("y", "x").mapInArrow(fit, "i long, w double").collect()}
+    learnt = {r["i"]: r["w"] for r in in_arrow(ordered.select("y", "x"), fit, "i long, w double").collect()}
     return learnt or {DIMENSIONS: UNTAUGHT}
 
 
 def scored(df: DataFrame, weights: dict[int, float], into: str = "score") -> DataFrame:
     """df with `into`, the probability of the label, as a last column; its other columns stay.
 
-    Null and empty texts get what the bias alone says. No shuffle.
+    Null and empty texts get what the bias alone says, and repeated rows equal scores. A long text costs work arrays of
+    some 100 bytes a word. A column that is called like `into` is not allowed. No shuffle.
     """
     index = np.array(sorted(weights), np.int64)
     packed = (index, np.array([weights[i] for i in index], np.float32))
@@ -126,9 +133,10 @@ def scored(df: DataFrame, weights: dict[int, float], into: str = "score") -> Dat
         w[shared.value[0]] = shared.value[1]
         for batch in batches:
             yield from (_score(part, w, into) for part in slices(batch))
+            pa.default_memory_pool().release_unused()
 
     schema = df.select("*", F.lit(None).cast("double").alias(into)).schema
-    return df.mapInArrow(score, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
+    return in_arrow(df, score, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema]))
 
 
 def _score(batch: pa.RecordBatch, w: np.ndarray, into: str) -> pa.RecordBatch:
@@ -144,7 +152,10 @@ def learning_rows(labels: DataFrame) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: held_out, score and predicted. A null doc_id is not held out."""
+    """One row per document: held_out, score and predicted; other columns of docs and labels don't matter.
+
+    A null doc_id is not held out. Null and empty texts get the bias's score. Without labels all texts count as clean.
+    """
     weights = train(docs.select("doc_id", "text"), learning_rows(labels))
     out = scored(docs.select("doc_id", "text"), weights)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
