@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _step(edges: DataFrame) -> DataFrame:
@@ -19,20 +19,21 @@ def _step(edges: DataFrame) -> DataFrame:
     return to_lowest.unionByName(lowest.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable. links: a, b of one type.
 
-    Each round's links are a table in the shared folder. The steps never gather a component: a node's smallest neighbour
-    is a pre-aggregated minimum, and hot nodes meet in sort-merge joins that Spark may split.
+    Steps go on until the links don't change; that takes a number of rounds that grows with the logarithm of a component's
+    size. Each round's links are a table in the shared folder. The steps never gather a component: a node's smallest
+    neighbour is a pre-aggregated minimum, and hot nodes meet in sort-merge joins that Spark may split. No links give no
+    rows; links of a node to itself and null links count for nothing; repeated ones count once.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = written(edges)
-    for _ in range(most_rounds):
-        new = written(_step(edges))
-        mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark(new) == mark(edges):
+    edges = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges, mark = written(edges), None
+    while True:
+        new_mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if new_mark == mark:
             break
-        edges = new
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        old, mark = edges, new_mark
+        edges = written(_step(old))
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
