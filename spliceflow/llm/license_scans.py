@@ -6,6 +6,7 @@ through it word by word; runs without enough licence words never enter.
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import numpy as np
@@ -26,13 +27,18 @@ TEMPLATES = (
     ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("bsd", "licensed under the bsd license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "licensed under the gnu general public license"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "shared under cc by 4 0"),
@@ -123,8 +129,12 @@ def _built() -> tuple[dict[bytes, int], list[list[int]], SuffixAutomaton, int]:
     return vocabulary, sequences, SuffixAutomaton(sequences), min(MIN_MATCH, *map(len, sequences))
 
 
-def chains(doc: list[bytes]) -> dict[int, tuple[float, int, int]]:
-    """Template -> share of its words that the best chain covers, and the chain's word span in the document."""
+def chains(doc: list[bytes]) -> list[tuple[int, float, int, int]]:
+    """(template, share of its words that the chain covers, and the chain's word span), of one template without overlaps.
+
+    Matches are chained in order of both texts with gaps of at most MAX_GAP words. Chains with more words go first; a
+    place where a template stands again gives another chain.
+    """
     vocabulary, sequences, automaton, least = _built()
     ids = np.fromiter((vocabulary.get(w, -1) for w in doc), np.int32, len(doc))
     known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).astype(np.int8), [0]))))
@@ -137,23 +147,26 @@ def chains(doc: list[bytes]) -> dict[int, tuple[float, int, int]]:
                 for t, i in automaton.ends[state]:
                     if n >= min(MIN_MATCH, len(sequences[t])):
                         anchors.setdefault(t, []).append((a + end - n, i - n + 1, n))
-    best: dict[int, tuple[float, int, int]] = {}
+    out = []
     for t, found in anchors.items():
         found.sort()
-        done: list[tuple[int, int, int, int, int]] = []  # document end, template end, covered, document start, document start of the anchor
+        done: list[tuple[int, int, int, int]] = []  # document end, template end, covered, document start of the chain
         for d, p, n in found:
             covered, first = n, d
-            for d_end, p_end, c, f, _ in reversed(done):
+            for d_end, p_end, c, f in reversed(done):
                 if d - d_end > MAX_GAP + len(sequences[t]):
                     break
                 over = max(0, d_end - d, p_end - p)
                 if over < n and p + over >= p_end and d + over >= d_end and max(d - d_end, p - p_end) <= MAX_GAP and c + n - over > covered:
                     covered, first = c + n - over, f
-            done.append((d + n, p + n, covered, first, d))
-            share = min(1.0, covered / len(sequences[t]))
-            if share > best.get(t, (0.0,))[0]:
-                best[t] = (share, first, d + n)
-    return best
+            done.append((d + n, p + n, covered, first))
+        taken: list[tuple[int, int]] = []
+        for end, _, covered, first in sorted(done, key=lambda x: (-x[2], x[3], x[0])):
+            i = bisect.bisect(taken, (first, end))
+            if (not i or taken[i - 1][1] <= first) and (i == len(taken) or taken[i][0] >= end):
+                taken.insert(i, (first, end))
+                out.append((t, min(1.0, covered / len(sequences[t])), first, end))
+    return out
 
 
 def scan(text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[str], float, list[tuple[str, int, int]]]:
@@ -163,14 +176,16 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, list[str],
     places: list[int] = []
     base = set()
     for phrase, label in PHRASES:
+        word = last = 0
         at = joined.find(b" " + phrase + b" ")
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word, last = word + joined.count(b" ", last, at), at
+            places.append(word)
             base.add(label)
             at = joined.find(b" " + phrase + b" ", at + 1)
-    best = chains(doc) if len(doc) else {}
-    spans = sorted((TEMPLATES[t][0], s, e) for t, (share, s, e) in best.items() if share >= ENOUGH)
-    score = max([1.0 * bool(base), *(share for share, _, _ in best.values())])
+    found = chains(doc) if doc else []
+    spans = sorted((TEMPLATES[t][0], s, e) for t, share, s, e in found if share >= ENOUGH)
+    score = max([1.0 * bool(base), *(share for _, share, _, _ in found)])
     return len(doc), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(base | {x[0] for x in spans}), score, spans
 
 
@@ -178,7 +193,8 @@ def license_report(df: DataFrame) -> DataFrame:
     """One row per document: places of the base phrases, labels, and as score the best share of a licence text found.
 
     Null and empty texts have no words and score 0. Rows are judged alone, so repeated rows get equal results. The
-    spans column lists label:start:end in words. No shuffle.
+    spans column lists label:start:end in words, for each copy of a licence text. Time and memory grow with a text's
+    length (some 100 bytes a word). Other columns don't matter. No shuffle.
     """
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -361,3 +361,44 @@ def test_stage_joins_near_duplicates_from_80_percent(spark):
     exp = {r[0] for r in brute.near_duplicates(docs, 80) if r[3]}
     assert len(exp) == 120
     assert {r.doc_id for r in stages.near_duplicates(spark, table(spark, docs), "").collect()} == exp
+
+
+@pytest.mark.parametrize("text", ["contact me at noon dot and then", "look at main dot py", "error at line dot two", "arrive at rue dot fr"])
+def test_prose_with_at_and_dot(text):
+    assert pii.all_spans(text) == ([], [])
+    assert pii.redact(text) == text
+
+
+@pytest.mark.parametrize(
+    ("text", "hit"),
+    [
+        ("x john dot doe at mail dot host dot com y", "john dot doe at mail dot host dot com"), ("me_at_host_dot_org", "me_at_host_dot_org"), ("a@b [at] host.fr!", "b [at] host.fr"),
+        ("write jo {at} site (dot) fr.", "jo {at} site (dot) fr"), ("ann at shop dot co dot uk", "ann at shop dot co dot uk"), ("bo @ home dot net", "bo @ home dot net"),
+    ],
+)
+def test_addresses(text, hit):
+    assert [text[s:e] for _, s, e in pii.all_spans(text)[1]] == [hit]
+
+
+@pytest.mark.parametrize("scan", [lambda t: pii.all_spans(t), lambda t: pii.redact(t), license_scans.scan])
+@pytest.mark.parametrize("unit", ["x dot ", "a at b dot ", "a_at_", "a [at] b.com ", "one two ", "cc by ", "1.2.3.4 ", "the software is provided as is ", "plus - ", "at ", " ", "@ "])
+def test_time_grows_with_length(scan, unit):
+    """Twenty times the text takes about twenty times as long: far from the hundreds of a quadratic scan."""
+    import time
+
+    def took(n):
+        text, least = unit * (n // len(unit)), 1e9
+        for _ in range(2):
+            began = time.perf_counter()
+            scan(text)
+            least = min(least, time.perf_counter() - began)
+        return least
+
+    assert took(400_000) < 80 * took(20_000) + 0.2
+
+
+def test_each_copy_of_a_licence():
+    mit = license_scans.TEMPLATES[0][1]
+    n = len(mit.split())
+    *_, score, spans = license_scans.scan(f"{mit} and again {mit}")
+    assert score == 1.0 and spans == [("mit", 0, n), ("mit", n + 2, 2 * n + 2)]
