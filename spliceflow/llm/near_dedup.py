@@ -214,10 +214,12 @@ def _sides_of(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
     An `a` that stands in very many pairs is dealt into `parts` by b, so that no task gets all of its pairs.
     """
-    right = table.select(F.col("cls").alias("b"), F.col(column).alias(f"{column}_b"))
-    left = pairs.groupBy("a").agg(F.max("parts").alias("parts")).join(table.select(F.col("cls").alias("a"), column), "a")
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(column).alias(f"{column}_a"))
-    return pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int")).join(right, "b").join(left, ["a", "part"])
+    table = table.select("cls", column)  # both joins read one exchange of it
+    left = pairs.groupBy("a").agg(F.max("parts").alias("most")).join(table, F.col("a") == F.col("cls"))
+    left = left.select(F.col("a").alias("a2"), F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("part2"), F.col(column).alias(f"{column}_a"))
+    right = pairs.join(table, F.col("b") == F.col("cls")).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int"))
+    right = right.withColumnRenamed(column, f"{column}_b")
+    return right.join(left, (F.col("a") == F.col("a2")) & (F.col("part") == F.col("part2"))).drop("cls", "part", "a2", "part2")
 
 
 def _some(texts: DataFrame, ids: DataFrame) -> DataFrame:
