@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 U64 = np.uint64
@@ -179,3 +180,28 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Hot keys that may be broadcast; more of them are met in so many salted tasks each.
+MAX_HOT, SALTS = 100_000, 64
+
+
+def joined_with_hot_keys(rows: DataFrame, table: DataFrame, key: str, spread: Column, hot: int) -> DataFrame:
+    """rows.join(table, key) where a key may hold a large share of rows. table: key, places (its rows), and other columns.
+
+    Keys of more than `hot` places are few for their number of rows; their columns come by broadcast where they are at
+    most MAX_HOT, else from salted tasks. All others come by a join in which the rows of hot keys, matched already, are
+    dealt out by `spread` (a long).
+    """
+    others = [c for c in table.columns if c != key]
+    often = written(table.where(F.col("places") > hot))
+    often = often.select(key, F.struct(*others).alias("__hot"))
+    if often.count() <= MAX_HOT:
+        marked = rows.join(F.broadcast(often), key, "left")
+    else:
+        salted = often.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn("__salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
+    marked = marked.withColumn("__spread", F.when(F.col("__hot").isNotNull(), F.pmod(spread, F.lit(1024)) + 1).otherwise(0))
+    cold = table.where(F.col("places") <= hot).select(key, F.lit(0).cast("long").alias("__spread"), F.struct(*others).alias("__cold"))
+    found = marked.join(cold, [key, "__spread"], "left").withColumn("__cold", F.coalesce("__hot", "__cold")).where("__cold is not null")
+    return found.select(*rows.columns, *[F.col("__cold")[c].alias(c) for c in others])

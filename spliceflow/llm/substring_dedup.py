@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, flat_text, map_text, window_hashes, word_hashes, word_spans, written
+from .common import NON_SPACE, flat_text, in_arrow, joined_with_hot_keys, map_text, window_hashes, word_hashes, word_spans, written
 
 K, SEED = 20, 5
 #: Places of a seed from which its windows take the way for hot keys.
@@ -148,17 +148,18 @@ def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(docs: DataFrame) -> DataFrame:
     """uid, spans: the words of each document that windows with an earlier equal cover. docs: as keyed() gives them."""
     seeds = _seeds(docs)
-    counts = seeds.groupBy("seed").agg(F.count("*").alias("places")).where("places > 1")
-    marks = seeds.join(counts, "seed").groupBy("uid").agg(F.collect_list((F.col("pos") * 2 + (F.col("places") > HOT).cast("int"))).alias("marks"))
+    counts = written(seeds.groupBy("seed").agg(F.count("*").alias("places")).where("places > 1"))
+    placed = joined_with_hot_keys(seeds, counts, "seed", F.col("uid"), HOT)
+    marks = placed.groupBy("uid").agg(F.collect_list((F.col("pos") * 2 + (F.col("places") > HOT).cast("int"))).alias("marks"))
     edges = _edges(docs.join(marks, "uid").select("uid", "doc_id", "text", "marks"))
     salt = F.when(F.col("hot"), F.pmod(F.col("uid"), F.lit(1024))).otherwise(0)
     dealt = edges.repartition("seed", salt)
-    runs = dealt.where("not hot").sortWithinPartitions("seed", "doc_id", "uid", "p1").mapInArrow(_runs, f"uid long, {_SPAN}")
+    runs = in_arrow(dealt.where("not hot").sortWithinPartitions("seed", "doc_id", "uid", "p1"), _runs, f"uid long, {_SPAN}")
     hot = dealt.where("hot").select("doc_id", "uid", "p1", F.posexplode("hashes").alias("i", "h")).select("doc_id", "uid", (F.col("p1") + F.col("i")).cast("long").alias("p"), "h")
-    firsts = hot.groupBy("h").agg(F.min(F.struct("doc_id", "uid", "p")).alias("f"), F.count("*").alias("places")).where("places > 1")
-    later = hot.join(firsts, "h").where("uid <> f.uid or p <> f.p").select("uid", F.col("p").alias("start"), F.lit(1).cast("long").alias("n"), F.col("f.uid").alias("src"), F.col("f.p").alias("src_start"))
+    firsts = written(hot.groupBy("h").agg(F.min(F.struct("doc_id", "uid", "p")).alias("f"), F.count("*").alias("places")).where("places > 1"))
+    later = joined_with_hot_keys(hot, firsts, "h", F.col("uid"), HOT).where("uid <> f.uid or p <> f.p").select("uid", F.col("p").alias("start"), F.lit(1).cast("long").alias("n"), F.col("f.uid").alias("src"), F.col("f.p").alias("src_start"))
     per_doc = runs.unionByName(later).groupBy("uid").agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("runs"))
-    return per_doc.mapInArrow(_compacted, f"uid long, spans array<struct<start:long,n:long,src:long,src_start:long>>")
+    return in_arrow(per_doc, _compacted, "uid long, spans array<struct<start:long,n:long,src:long,src_start:long>>")
 
 
 def _cut(words: list[bytes], found: list[dict]) -> list[bytes]:

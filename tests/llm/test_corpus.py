@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spliceflow.llm import decontamination, embedding_dedup, license_scans, lm_scoring, near_dedup, packing, pii, secret_scans, stages, substring_dedup, toxicity
+from spliceflow.llm import common, decontamination, embedding_dedup, license_scans, lm_scoring, near_dedup, packing, pii, secret_scans, stages, substring_dedup, toxicity
 
 from . import brute
 
@@ -99,9 +99,10 @@ def test_removal_of_contamination(spark):
     assert decontamination.remove_contamination(table(spark, docs), bench).columns == table(spark).columns
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_substring_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "most"), [(20_000, 100_000), (1, 100_000), (1, 0)])
+def test_substring_dedup(spark, monkeypatch, hot, most):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(common, "MAX_HOT", most)
     docs = [(d, t) for d, t in documents() if d is not None]
     exp = dict((r[0], r) for r in brute.substring_dedup(docs))
     assert rows(substring_dedup.without_repeats(table(spark, docs))) == ordered(exp[d] for d, _ in docs)
