@@ -61,3 +61,13 @@ def to_int16(x: Column) -> Column:
 
 def from_int16(x: Column) -> Column:
     return x / F.lit(32768.0)
+
+
+def raw_to_int16(x: Column) -> Column:
+    """Raw sample values clipped to 16 bits, cut towards 0."""
+    return F.least(F.greatest(x, F.lit(-32768.0)), F.lit(32767.0)).cast("smallint")
+
+
+def stereo(x: Column) -> Column:
+    """A sample for both channels of a device."""
+    return F.array(x, x)

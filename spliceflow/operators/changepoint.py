@@ -104,11 +104,19 @@ def noise_cells(df: DataFrame, column: str, cfar: Cfar) -> DataFrame:
 
 
 def cfar_sweep(df: DataFrame, column: str, grid: DataFrame, cfar: Cfar) -> DataFrame:
-    """Per stream and (alpha, k_fraction) of grid: how many cells exceed their OS threshold. The grid is a few hundred rows."""
-    rows = noise_cells(df, column, cfar).crossJoin(F.broadcast(grid))
+    """Per stream and (alpha, k_fraction) of grid: how many cells exceed their OS threshold. The grid is a few hundred rows.
+
+    A cell gives one row for each k_fraction: the factor up to which it exceeds its noise. Alphas are compared within it.
+    """
+    alphas = grid.groupBy("k_fraction").agg(F.array_sort(F.collect_list("alpha")).alias("alphas"))
+    rows = noise_cells(df, column, cfar).select("stream_id", column, "cells").crossJoin(F.broadcast(alphas))
     k = F.greatest(F.lit(0), F.least(F.floor(F.size("cells") * F.col("k_fraction")).cast("int"), F.size("cells") - 1))
-    above = F.col(column) > F.col("alpha") * F.coalesce(F.get("cells", k), F.lit(0.0))
-    return rows.groupBy("stream_id", "alpha", "k_fraction").agg(F.count_if(above).alias("n_above"), F.count("*").alias("n_cells"))
+    rows = rows.withColumn("noise", F.coalesce(F.get("cells", k), F.lit(0.0)))
+    # equal rows by which alphas are exceeded count as one before alphas are listed
+    over = F.transform("alphas", lambda a: F.col(column) > a * F.col("noise"))
+    counts = rows.groupBy("stream_id", "k_fraction", over.alias("over")).agg(F.first("alphas").alias("alphas"), F.count("*").alias("n"))
+    each = counts.select("stream_id", "k_fraction", "n", F.explode(F.arrays_zip("alphas", "over")).alias("x"))
+    return each.groupBy("stream_id", F.col("x.alphas").alias("alpha"), "k_fraction").agg(F.coalesce(F.sum(F.when(F.col("x.over"), F.col("n"))), F.lit(0)).alias("n_above"), F.sum("n").alias("n_cells"))
 
 
 def peaks(df: DataFrame, column: str, reach: int = 1, open_ends: bool = False) -> DataFrame:

@@ -66,6 +66,12 @@ def kmeans_labels(x: np.ndarray, clusters: int | None = None) -> np.ndarray:
     return _by_mean(_lloyd(scaled, np.array(centers), 100), x[:, 0])
 
 
+def choose_clusters(segs: DataFrame, wide: float = 3000.0, noisy: float = 0.1) -> DataFrame:
+    """Per stream: 3 clusters if centroids span more than `wide` or zero crossings more than `noisy`, else 2."""
+    span = lambda c: F.max(c) - F.min(c)
+    return segs.groupBy("stream_id").agg(F.when((span("centroid") > wide) | (span("zcr") > noisy), 3).otherwise(2).alias("k"))
+
+
 def kmeans_pp(segs: DataFrame, columns: list[str] | None = None, clusters: int | None = None) -> DataFrame:
     """Add label. segs: stream_id, seg_id and the feature columns."""
     names = columns or FEATURES

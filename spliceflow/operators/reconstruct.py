@@ -14,8 +14,7 @@ from spliceflow.operators.silence import regions, renumbered
 
 def masked(signal: DataFrame, segs: DataFrame, labels: list[int]) -> DataFrame:
     """stream_id, idx, label, x: for each label the whole stream, 0 outside its segments. segs: seg_id, i0, i1, label."""
-    named = segs.select("stream_id", "seg_id", "label")
-    own = within(signal, segs, how="left").join(named, ["stream_id", "seg_id"], "left").withColumnRenamed("label", "__own")
+    own = interval_join(signal, segs.select("stream_id", "seg_id", "i0", "i1", F.col("label").alias("__own")), 4096, "left")
     rows = own.withColumn("label", F.explode(F.array(*[F.lit(v) for v in labels])))
     return rows.select("stream_id", "idx", "label", F.when(F.col("__own") == F.col("label"), F.col("x")).otherwise(0.0).alias("x"))
 
@@ -24,7 +23,7 @@ def concatenated(signal: DataFrame, segs: DataFrame) -> DataFrame:
     """stream_id, label, out_idx, x: each label's segments one after the other."""
     w = Window.partitionBy("stream_id", "label").orderBy("i0").rowsBetween(Window.unboundedPreceding, -1)
     placed = segs.withColumn("offset", F.coalesce(F.sum(F.col("i1") - F.col("i0")).over(w), F.lit(0)))
-    rows = within(signal, segs).join(placed.select("stream_id", "seg_id", "label", "offset"), ["stream_id", "seg_id"])
+    rows = interval_join(signal, placed.select("stream_id", "seg_id", "i0", "i1", "label", "offset"), 4096)
     return rows.select("stream_id", "label", (F.col("offset") + F.col("idx") - F.col("i0")).cast("long").alias("out_idx"), "x")
 
 
@@ -64,7 +63,7 @@ def crossfaded(signal: DataFrame, segs: DataFrame, fade: int, curve: str = "line
     placed = placed.withColumn("f_out", F.when(F.col("after").isNull(), 0).otherwise(F.least(half(F.col("after")), half(F.col("n")))))
     before = F.sum(F.col("n") - F.col("f_out")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("offset", F.coalesce(before, F.lit(0)))
-    rows = within(signal, segs).join(placed.select("stream_id", "seg_id", "label", "n", "f_in", "f_out", "offset"), ["stream_id", "seg_id"])
+    rows = interval_join(signal, placed.select("stream_id", "seg_id", "i0", "i1", "label", "n", "f_in", "f_out", "offset"), 4096)
     at = F.col("idx") - F.col("i0")
     gain = F.when(at < F.col("f_in"), ramp(at, F.col("f_in"), curve)).otherwise(1.0)
     gain = gain * F.when(at >= F.col("n") - F.col("f_out"), fall(at - (F.col("n") - F.col("f_out")), F.col("f_out"), curve)).otherwise(1.0)
@@ -90,12 +89,13 @@ def loop_to(signal: DataFrame, lengths: DataFrame, wanted: int) -> DataFrame:
     return rows.select("stream_id", (F.col("idx") + F.col("__turn") * F.col("n")).cast("long").alias("idx"), "x")
 
 
-def interleaved(tracks: DataFrame, n_tracks: int, block: int) -> DataFrame:
-    """track (0 ..), idx, x -> out_idx, track, idx, x: block after block of each track in turn. Tracks are of one length,
-    a multiple of block."""
+def interleaved(tracks: DataFrame, n_tracks: int, block: int, total: int) -> DataFrame:
+    """track (0 ..), idx, x -> out_idx, track, idx, x: block after block of each track in turn, over the first `total`
+    samples of each (the shortest track's length); the last turn is cut short."""
     turn = F.floor(F.col("idx") / block)
-    place = turn * (block * n_tracks) + F.col("track") * block + F.col("idx") - turn * block
-    return tracks.select(place.cast("long").alias("out_idx"), "track", "idx", "x")
+    size = F.least(F.lit(block), F.lit(total) - turn * block)
+    place = turn * (block * n_tracks) + F.col("track") * size + F.col("idx") - turn * block
+    return tracks.where(F.col("idx") < total).select(place.cast("long").alias("out_idx"), "track", "idx", "x")
 
 
 def interleaved_by(tracks: DataFrame, n_tracks: int, rounds: DataFrame) -> DataFrame:
@@ -106,9 +106,18 @@ def interleaved_by(tracks: DataFrame, n_tracks: int, rounds: DataFrame) -> DataF
     return rows.select(place.cast("long").alias("out_idx"), "track", "idx", "x")
 
 
-def random_rounds(spark, total: int, low: int, high: int, seed: int) -> DataFrame:
-    """round, i0, i1: block lengths from low to high by a seeded hash of the round, up to `total`; the last is cut."""
-    length = F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(high - low + 1))
-    rows = spark.range(-(-total // low)).select(F.lit("all").alias("stream_id"), F.col("id").alias("idx"), length.alias("len"))
+def _rounds(spark, total: int, least: int, length: Column) -> DataFrame:
+    """round, i0, i1 up to `total`, of the lengths that `length` gives by id; the last is cut. least: the shortest."""
+    rows = spark.range(-(-total // least)).select(F.lit("all").alias("stream_id"), F.col("id").alias("idx"), length.alias("len"))
     rows = running_sum(rows, F.col("len"), "end").select(F.col("idx").alias("round"), (F.col("end") - F.col("len")).alias("i0"), F.least("end", F.lit(total)).alias("i1"))
     return rows.where(F.col("i0") < total)
+
+
+def random_rounds(spark, total: int, low: int, high: int, seed: int) -> DataFrame:
+    """Block lengths from low to high by a seeded congruence of the round, which SQL can repeat."""
+    return _rounds(spark, total, low, F.lit(low) + (((F.col("id") % 1_000_003) * 7919 + seed * 104_729) % 1_000_003 * 31_337) % 1_000_033 % (high - low + 1))
+
+
+def cycled_rounds(spark, total: int, lengths: list[int]) -> DataFrame:
+    """The given block lengths again and again."""
+    return _rounds(spark, total, min(lengths), F.get(F.array(*[F.lit(n).cast("long") for n in lengths]), (F.col("id") % len(lengths)).cast("int")))

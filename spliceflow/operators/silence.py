@@ -51,6 +51,6 @@ def renumbered(kept: DataFrame) -> DataFrame:
 
 def without_silence(signal: DataFrame, limit: float, shortest: int) -> DataFrame:
     """The samples outside silent regions, moved together: stream_id, idx, x, out_idx."""
-    found = silent_regions(signal, limit, shortest).withColumn("seg_id", F.col("i0"))
-    inside = interval_join(signal.select("stream_id", "idx"), found.select("stream_id", "seg_id", "i0", "i1"), 4096).select("stream_id", "idx")
-    return renumbered(signal.join(inside, ["stream_id", "idx"], "left_anti"))
+    found = silent_regions(signal, limit, shortest).withColumn("__silent", F.lit(True))
+    inside = interval_join(signal, found, 4096, "left").where("__silent is null")
+    return renumbered(inside.select("stream_id", "idx", "x"))

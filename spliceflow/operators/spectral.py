@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceflow.functions.signal import rms, zero_crossings
-from spliceflow.helpers import last_before
+from spliceflow.helpers import interval_join, last_before
 from spliceflow.operators.frames import taper
 
 #: Share of the energy below the roll-off frequency; borders of the four bands in Hz.
@@ -90,6 +90,63 @@ def frame_features(frames: DataFrame, rate: float, hop: int, min_amplitude: floa
     return out.withColumn("t", F.col("frame_id") * hop / F.lit(float(rate)))
 
 
+def segment_features(signal: DataFrame, segs: DataFrame, rate: float, quiet: float = 0.0, least: int = 10) -> DataFrame:
+    """stream_id, seg_id, centroid, rms, rolloff, zcr, power_std, bandwidth of each segment (seg_id, i0, i1).
+
+    The spectrum is that of the whole tapered segment. Segments of fewer than `least` samples, or of an rms below `quiet`,
+    have zeros.
+    """
+    inside = interval_join(signal, segs.select("stream_id", "seg_id", "i0", "i1"), 4096)
+    packed = inside.groupBy("stream_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).select("stream_id", "seg_id", F.col("s.x").alias("samples"))
+    packed = packed.withColumn("rms", rms(F.col("samples"))).where((F.size("samples") >= least) & (F.col("rms") >= quiet))
+    out = with_spectrum(packed, rate)
+    power = F.transform("spectrum", lambda m: m * m)
+    mean = F.aggregate(power, F.lit(0.0), lambda a, v: a + v) / F.size("spectrum")
+    power_std = F.sqrt(F.aggregate(power, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size("spectrum"))
+    out = out.select("stream_id", "seg_id", "centroid", "rms", "rolloff", zero_crossings(F.col("samples")).alias("zcr"), power_std.alias("power_std"), "bandwidth")
+    return segs.select("stream_id", "seg_id").join(out, ["stream_id", "seg_id"], "left").na.fill(0.0)
+
+
+def block_features(frames: DataFrame, rate: float, window: int, kind: str = "hann") -> DataFrame:
+    """stream_id, frame_id, centroid, rms, rolloff, bandwidth of blocks, each filled up with zeros or cut to `window` samples."""
+    n = F.size("samples")
+    fitted = F.when(n >= window, F.slice("samples", 1, window)).otherwise(F.concat("samples", F.array_repeat(F.lit(0.0), F.greatest(F.lit(window) - n, F.lit(0)))))
+    out = with_spectrum(frames.select("stream_id", "frame_id", fitted.alias("samples")), rate, kind)
+    return out.select("stream_id", "frame_id", "centroid", rms(F.col("samples")).alias("rms"), "rolloff", "bandwidth")
+
+
+def centroid_eps(power: Column, hz: Column, eps: float = 1e-12) -> Column:
+    """Power-weighted mean frequency over arrays, with eps in the denominator instead of a test for silence."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+    return total(F.zip_with(power, hz, lambda p, f: p * f)) / (total(power) + eps)
+
+
+def display_spectrum(frames: DataFrame, rate: float, n: int, upto: float) -> DataFrame:
+    """stream_id, frame_id, shown (spectrum by half the length, smoothed over five bins; zeros beyond its ends), and peak,
+    its largest value in the bins below `upto` Hz. For frames of n samples."""
+    half, bins = n / 2, n // 2 + 1
+    out = with_spectrum(frames.select("stream_id", "frame_id", "samples"), rate)
+    at = lambda i: F.coalesce(F.get("spectrum", i), F.lit(0.0))
+    shown = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: sum((F.when(i + d >= 0, at(F.greatest(i + d, F.lit(0)))).otherwise(0.0) for d in (-2, -1, 0, 1, 2)), F.lit(0.0)) / (5 * half))
+    out = out.select("stream_id", "frame_id", shown.alias("shown"))
+    return out.withColumn("peak", F.array_max(F.slice("shown", 1, max(1, min(bins, int(upto * bins / (rate / 2)))))))
+
+
+def whole_spectrum(signal: DataFrame, rate: float, low: float, high: float) -> DataFrame:
+    """stream_id, k, hz, magnitude: the transform of each whole stream (N samples) in the bins k * rate / N from low to high.
+
+    Sums of products per bin, combined before they are shuffled: a stream's length doesn't matter to a task, the number of
+    bins asked for does.
+    """
+    n = signal.groupBy("stream_id").agg(F.count("*").alias("n"))
+    top = F.least(F.floor(F.lit(min(high, rate / 2)) * F.col("n") / rate), F.floor(F.col("n") / 2))
+    wanted = n.withColumn("ks", F.when(F.ceil(F.lit(low) * F.col("n") / rate) <= top, F.sequence(F.ceil(F.lit(low) * F.col("n") / rate), top)))
+    rows = signal.join(wanted, "stream_id").select("stream_id", "idx", "x", "n", F.explode("ks").alias("k"))
+    angle = 2 * math.pi * ((F.col("k") * F.col("idx")) % F.col("n")) / F.col("n")
+    sums = rows.groupBy("stream_id", "n", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
+    return sums.select("stream_id", "k", (F.col("k") * rate / F.col("n")).alias("hz"), F.hypot("re", "im").alias("magnitude"))
+
+
 def dft_power(frames: DataFrame, n: int) -> DataFrame:
     """stream_id, frame_id, k, power: sums over a table of n * (n / 2 + 1) cosines and sines."""
     spark = frames.sparkSession

@@ -11,6 +11,7 @@ _STEPS = {
         l_tax AS rolloff, l_extendedprice AS zcr, l_quantity * l_discount AS flux, l_extendedprice * l_tax AS bandwidth, l_quantity >= 5 AS valid FROM lineitem""",
     "trk": """SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS track, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS BIGINT) AS idx, o_totalprice AS x
         FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+    "short": "SELECT min(c) AS n FROM (SELECT count(*) AS c FROM trk GROUP BY track)",
     "len": "SELECT stream_id, count(*) AS n FROM sig GROUP BY 1",
     "lim": "SELECT stream_id, quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi FROM sig GROUP BY 1",
     "scl": "SELECT stream_id, idx, x, least(greatest(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE x END, 0.0), 1.0) AS y FROM sig JOIN lim USING (stream_id)",
@@ -108,8 +109,8 @@ ORACLES: dict[str, str] = {
     "choose_k": sql(_MEANS, f"SELECT stream_id, {r6('spread')}, CASE WHEN spread > 60 THEN 3 ELSE 2 END AS k FROM (SELECT stream_id, quantile_cont(mean_x, 0.9) - quantile_cont(mean_x, 0.1) AS spread FROM mean GROUP BY 1)"),
     "frame_hop": sql("sig", f"SELECT a.stream_id, a.idx // 22 AS frame_id, CAST(88 AS BIGINT) AS n, {r6('a.x', 'first')}, {r6('b.x', 'last')} FROM sig a JOIN sig b ON a.stream_id = b.stream_id AND b.idx = a.idx + 87 WHERE a.idx % 22 = 0"),
     "frame_tumbling": sql("sig", f"SELECT a.stream_id, a.idx // 64 AS frame_id, {r6('a.x', 'first')}, {r6('b.x', 'last')} FROM sig a JOIN sig b ON a.stream_id = b.stream_id AND b.idx = a.idx + 63 WHERE a.idx % 64 = 0"),
-    "frame_padded": sql("sig", f"""SELECT a.stream_id, a.idx // 64 AS frame_id, {r6('a.x', 'first')}, {r6('b.x', 'last')} FROM sig a JOIN sig b ON a.stream_id = b.stream_id AND b.idx = a.idx + 63
-        WHERE a.idx % 64 = 0 AND a.stream_id = 'click' UNION ALL SELECT stream_id, CAST(0 AS BIGINT), {r6('x', 'first')}, 0.0::DOUBLE FROM sig WHERE idx = 0 AND stream_id <> 'click'"""),
+    "frame_padded": f"""WITH q AS (SELECT CAST(l_orderkey AS VARCHAR) AS stream_id, l_quantity AS x, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS idx FROM lineitem)
+        SELECT a.stream_id, a.idx // 4 AS frame_id, {r6('a.x', 'first')}, {r6('coalesce(b.x, 0)', 'last')} FROM q a LEFT JOIN q b ON a.stream_id = b.stream_id AND b.idx = a.idx + 3 WHERE a.idx % 4 = 0 AND (a.idx = 0 OR b.x IS NOT NULL)""",
     "taper": sql("frm ex", f"""SELECT stream_id, frame_id, {r6('sqrt(avg(pow(x * (0.5 - 0.5 * cos(2 * pi() * p / 63)), 2)))', 'rms_hann')}, {r6('sqrt(avg(pow(x * (0.54 - 0.46 * cos(2 * pi() * p / 63)), 2)))', 'rms_hamming')} FROM ex GROUP BY 1, 2"""),
     "dft_power": sql("frm ex dft", f"SELECT stream_id, frame_id, k, {r6('power')} FROM dft"),
     "fft_power": sql("frm ex dft", f"SELECT stream_id, frame_id, k, {r6('power')} FROM dft"),
@@ -199,9 +200,13 @@ ORACLES: dict[str, str] = {
           FROM o JOIN sco p ON o.stream_id = p.stream_id AND p.idx >= i0 AND p.idx < i1)
         SELECT stream_id, label, out_idx, {r6('sum(y)', 'x')} FROM g GROUP BY 1, 2, 3""",
     "compact_masked": sql("sig", f"SELECT stream_id, idx, {r6('x')}, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS out_idx FROM sig WHERE x > 45"),
-    "interleave_fixed": sql("trk", "SELECT row_number() OVER (ORDER BY idx // 10, track, idx) - 1 AS out_idx, track, idx, x FROM trk WHERE idx < 120"),
-    "interleave_rounds": sql("trk", """SELECT row_number() OVER (ORDER BY i0, track, idx) - 1 AS out_idx, track, idx, x FROM trk JOIN (VALUES (0, 13), (13, 20), (20, 55), (55, 100), (100, 120)) v(i0, i1) ON idx >= i0 AND idx < i1"""),
-    "loop_to_length": sql("trk", """SELECT CAST(track AS VARCHAR) AS stream_id, o AS idx, x FROM (SELECT *, count(*) OVER (PARTITION BY track) AS n FROM trk WHERE idx < 90 AND idx < 30 * (track + 1)) JOIN range(75) r(o) ON o % n = idx"""),
+    "interleave_fixed": sql("trk short", "SELECT row_number() OVER (ORDER BY idx // 10, track, idx) - 1 AS out_idx, track, idx, x FROM trk, short WHERE idx < n"),
+    "interleave_rounds": sql("trk short", """SELECT row_number() OVER (ORDER BY i0, track, idx) - 1 AS out_idx, track, idx, x FROM (SELECT track, idx, x, 120 * (idx // 120) + CASE WHEN idx % 120 < 13 THEN 0 WHEN idx % 120 < 20 THEN 13
+        WHEN idx % 120 < 55 THEN 20 WHEN idx % 120 < 100 THEN 55 ELSE 100 END AS i0 FROM trk, short WHERE idx < n)"""),
+    "interleave_random": sql("trk short", """SELECT row_number() OVER (ORDER BY round, track, idx) - 1 AS out_idx, track, idx, x FROM (SELECT * FROM trk, short WHERE idx < n) ASOF JOIN (
+        SELECT round, sum(len) OVER (ORDER BY round) - len AS i0 FROM (SELECT round, 7 + (((round % 1000003) * 7919 + 104729) % 1000003 * 31337) % 1000033 % 13 AS len FROM short, range(n // 7 + 1) r(round))) ON idx >= i0"""),
+    "loop_to_length": sql("trk", """SELECT CAST(track AS VARCHAR) AS stream_id, o AS idx, x FROM (SELECT *, count(*) OVER (PARTITION BY track) AS n FROM trk)
+        JOIN range((SELECT max(c) FROM (SELECT count(*) AS c FROM trk GROUP BY track))) r(o) ON o % n = idx"""),
     "int16_round_trip": sql("sig", f"""SELECT stream_id, idx, CAST(i AS INTEGER) AS i, {r6('i / 32768', 'y')} FROM (SELECT stream_id, idx, trunc(least(greatest(2 * ((x - min(x) OVER p) / (max(x) OVER p - min(x) OVER p)) - 1, -1.0), 1.0) * 32767) AS i
         FROM sig WINDOW p AS (PARTITION BY stream_id))"""),
     "stream_sessions": """WITH e AS (SELECT event_type AS stream_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events),

@@ -271,8 +271,9 @@ def frame_tumbling(spark, sf_dir):
 
 @query
 def frame_padded(spark, sf_dir):
-    out = frames.hopping(t.signal(spark, sf_dir).where("idx < 50 or stream_id = 'click'"), 64, 64, pad=True)
-    return out.select("stream_id", "frame_id", r6(F.get("samples", F.lit(0))).alias("first"), r6(F.get("samples", F.lit(63))).alias("last"))
+    """Frames of 4 line items of each order; orders of fewer are filled up."""
+    out = frames.hopping(t.padded(spark, sf_dir), 4, 4, pad=True)
+    return out.select("stream_id", "frame_id", r6(F.get("samples", F.lit(0))).alias("first"), r6(F.get("samples", F.lit(3))).alias("last"))
 
 
 @query
@@ -347,15 +348,8 @@ def frame_features(spark, sf_dir):
 @query
 def segment_features(spark, sf_dir):
     """Segments of the event signal, six features each, from frames of the segment's samples."""
-    rows, segs = _segments(spark, sf_dir)
-    inside = segments.within(t.centred(spark, sf_dir), segs)
-    packed = inside.groupBy("stream_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).select("stream_id", F.col("seg_id").alias("frame_id"), F.col("s.x").alias("samples"))
-    out = spectral.with_spectrum(packed.where(F.size("samples") >= 10), 44100)
-    std = F.transform("spectrum", lambda m: m * m)
-    mean = F.aggregate(std, F.lit(0.0), lambda a, v: a + v) / F.size("spectrum")
-    power_std = F.sqrt(F.aggregate(std, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size("spectrum"))
-    out = out.select("stream_id", F.col("frame_id").alias("seg_id"), "centroid", fn.rms(F.col("samples")).alias("rms"), "rolloff", fn.zero_crossings(F.col("samples")).alias("zcr"), power_std.alias("power_std"), "bandwidth")
-    out = segs.select("stream_id", "seg_id").join(out, ["stream_id", "seg_id"], "left").na.fill(0.0)
+    _, segs = _segments(spark, sf_dir)
+    out = spectral.segment_features(t.centred(spark, sf_dir), segs, 44100)
     return _rounded(out, *cluster.FEATURES)
 
 
@@ -553,27 +547,28 @@ def compact_masked(spark, sf_dir):
 
 @query
 def interleave_fixed(spark, sf_dir):
-    return reconstruct.interleaved(t.tracks(spark, sf_dir, 120), 3, 10)
+    rows = t.tracks(spark, sf_dir)
+    return reconstruct.interleaved(rows, 3, 10, t.track_length(rows))
 
 
 @query
 def interleave_random(spark, sf_dir):
-    """Over the shortest track's length, with the last round cut short."""
-    rows = t.tracks(spark, sf_dir, None)
-    shortest = rows.groupBy("track").count().agg(F.min("count")).first()[0] or 0
-    return reconstruct.interleaved_by(rows, 3, reconstruct.random_rounds(spark, shortest, 7, 19, 1))
+    rows = t.tracks(spark, sf_dir)
+    return reconstruct.interleaved_by(rows, 3, reconstruct.random_rounds(spark, t.track_length(rows), 7, 19, 1))
 
 
 @query
 def interleave_rounds(spark, sf_dir):
-    rounds = spark.createDataFrame([(0, 0, 13), (1, 13, 20), (2, 20, 55), (3, 55, 100), (4, 100, 120)], "round long, i0 long, i1 long")
-    return reconstruct.interleaved_by(t.tracks(spark, sf_dir, 120), 3, rounds)
+    rows = t.tracks(spark, sf_dir)
+    return reconstruct.interleaved_by(rows, 3, reconstruct.cycled_rounds(spark, t.track_length(rows), [13, 7, 35, 45, 20]))
 
 
 @query
 def loop_to_length(spark, sf_dir):
-    rows = t.tracks(spark, sf_dir, 90).where("idx < 30 * (track + 1)").select(F.col("track").cast("string").alias("stream_id"), "idx", "x")
-    return reconstruct.loop_to(rows, _lengths(rows), 75)
+    """Every track as long as the longest."""
+    tracks = t.tracks(spark, sf_dir)
+    rows = tracks.select(F.col("track").cast("string").alias("stream_id"), "idx", "x")
+    return reconstruct.loop_to(rows, _lengths(rows), t.track_length(tracks, longest=True))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spliceflow.helpers import with_index
@@ -42,10 +42,19 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_index(rows, ["stream_id"], LINE_ORDER, F.floor(F.col("l_orderkey") / 65536)).drop(*LINE_ORDER)
 
 
-def tracks(spark: SparkSession, sf_dir: str, length: int | None = 400) -> DataFrame:
-    """track (0 to 2), idx, x: prices of orders by status, `length` samples each (None: all)."""
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track (0 to 2), idx, x: prices of orders by status."""
     rows = read(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O', 'P')").select("o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("x"))
     rows = with_index(rows, ["o_orderstatus"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 65536))
-    if length is not None:
-        rows = rows.where(F.col("idx") < length)
     return rows.select((F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)).alias("track"), "idx", "x")
+
+
+def track_length(tracks: DataFrame, longest: bool = False) -> int:
+    """Of the shortest track, or the longest."""
+    return tracks.groupBy("track").count().agg((F.max if longest else F.min)("count")).first()[0] or 0
+
+
+def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of all lengths, from one sample on: the line items of each order by line, a stream for each order."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("stream_id"), *LINE_ORDER, F.col("l_quantity").alias("x"))
+    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy("stream_id").orderBy(*LINE_ORDER)) - 1).cast("long")).select("stream_id", "idx", "x")
