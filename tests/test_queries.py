@@ -7,8 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spliceflow.plans.oracles import ORACLES
-from spliceflow.plans.queries import QUERIES
+from spliceflow.plans.registry import ORACLES, QUERIES
 
 TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
