@@ -49,16 +49,16 @@ def frame_segments(rows: DataFrame, cfar: Cfar | None = None) -> DataFrame:
     return cut(segments.valid_ratio(points, segs, F.col("valid")))
 
 
-def labelled_segments(signal: DataFrame, cfar: Cfar | None = None) -> DataFrame:
+def labelled_segments(signal: DataFrame, cfar: Cfar | None = None, quiet: float = QUIET) -> DataFrame:
     """stream_id, seg_id, i0, i1, label: sources by k-means over six features of each segment."""
-    segs = frame_segments(frame_rows(signal), cfar)
-    found = cluster.kmeans_pp(spectral.segment_features(signal, segs, RATE, QUIET))
+    segs = frame_segments(frame_rows(signal, quiet), cfar)
+    found = cluster.kmeans_pp(spectral.segment_features(signal, segs, RATE, quiet))
     return cut(segs.select("stream_id", "seg_id", "i0", "i1").join(found.select("stream_id", "seg_id", "label"), ["stream_id", "seg_id"]))
 
 
-def deinterleaved(signal: DataFrame, cfar: Cfar | None = None) -> DataFrame:
+def deinterleaved(signal: DataFrame, cfar: Cfar | None = None, quiet: float = QUIET) -> DataFrame:
     """stream_id, idx, label, x: for each source the whole stream, 0 where others sound."""
-    return reconstruct.masked(signal, labelled_segments(signal, cfar), [0, 1, 2])
+    return reconstruct.masked(signal, labelled_segments(signal, cfar, quiet), [0, 1, 2])
 
 
 @query

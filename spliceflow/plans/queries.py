@@ -608,4 +608,4 @@ def stream_gate(spark, sf_dir):
 @query
 def stream_deinterleave(spark, sf_dir):
     """The online processor over blocks of the event signal, as a batch replay."""
-    return jobs.replay(frames.tumbling(t.signal(spark, sf_dir), 64))
+    return jobs.replay(frames.tumbling(t.signal(spark, sf_dir), 64)).drop("out")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spliceflow.helpers import cut
+
 CHUNK_SCHEMA = "stream_id string, chunk_id long, start_idx long, rate int, samples array<float>"
 #: Samples per chunk: a few hundred kilobytes.
 CHUNK = 1 << 16
@@ -29,14 +33,23 @@ def decode(raw: bytes) -> tuple[np.ndarray, int]:
     return (x.reshape(-1, channels).mean(1) if channels > 1 else x).astype(np.float32), rate
 
 
+def _writer(target: str | io.BytesIO, rate: int) -> wave.Wave_write:
+    w = wave.open(target, "wb")
+    w.setnchannels(1)
+    w.setsampwidth(2)
+    w.setframerate(rate)
+    return w
+
+
+def _pcm(x: np.ndarray) -> bytes:
+    return (np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()
+
+
 def encode(x: np.ndarray, rate: int) -> bytes:
     """16-bit mono: clipped to -1..1, times 32767, cut towards 0."""
     out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    with _writer(out, rate) as w:
+        w.writeframes(_pcm(x))
     return out.getvalue()
 
 
@@ -80,12 +93,34 @@ def as_chunks(signal: DataFrame, rate: int, size: int = CHUNK) -> DataFrame:
     return rows.select("stream_id", "chunk_id", F.get("s", F.lit(0))["idx"].alias("start_idx"), F.lit(rate).alias("rate"), F.col("s.x").alias("samples"))
 
 
-def to_wav(chunks: DataFrame) -> DataFrame:
-    """stream_id, content: each stream as a WAV file's bytes. A file is one value, so streams must fit a task."""
+def write_wav(chunks: DataFrame, folder: str) -> DataFrame:
+    """Write each stream as folder/stream_id.wav (16-bit mono) and give stream_id, path, n_samples.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk_id")
-        x = table.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"stream_id": table.column("stream_id").slice(0, 1), "content": pa.array([encode(x, table.column("rate")[0].as_py())], pa.binary())})
+    A file is written in order by one task, chunk by chunk, aside, and then renamed: a task that runs twice leaves one
+    whole file. folder must be mounted where tasks run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, n, aside = None, None, 0, ""
 
-    return chunks.groupBy("stream_id").applyInArrow(run, "stream_id string, content binary")
+        def done() -> pa.RecordBatch:
+            out.close()
+            os.replace(aside, f"{folder}/{name}.wav")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{folder}/{name}.wav"]), pa.array([n])], names=["stream_id", "path", "n_samples"])
+
+        for batch in batches:
+            for stream, rate, x in zip(batch.column("stream_id").to_pylist(), batch.column("rate").to_pylist(), batch.column("samples"), strict=True):
+                if stream != name:
+                    if out:
+                        yield done()
+                    name, n, aside = stream, 0, f"{folder}/.{uuid.uuid4().hex}"
+                    out = _writer(aside, rate)
+                values = x.values.to_numpy(zero_copy_only=False)
+                out.writeframes(_pcm(values))
+                n += len(values)
+        if out:
+            yield done()
+
+    os.makedirs(folder, exist_ok=True)
+    ordered = chunks.select("stream_id", "chunk_id", "rate", "samples").repartition("stream_id").sortWithinPartitions("stream_id", "chunk_id")
+    return cut(ordered.mapInArrow(run, "stream_id string, path string, n_samples long"))

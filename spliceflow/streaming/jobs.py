@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spliceflow.functions.signal import stereo
 from spliceflow.streaming.online import Online, Settings, State
 
 OUT = T.StructType([
     T.StructField("stream_id", T.StringType()), T.StructField("block_id", T.LongType()), T.StructField("present", T.BooleanType()), T.StructField("centroid", T.DoubleType()),
-    T.StructField("rms", T.DoubleType()), T.StructField("changed", T.BooleanType()), T.StructField("label", T.IntegerType()), T.StructField("out_block", T.LongType()), T.StructField("n_sources", T.IntegerType()),
+    T.StructField("rms", T.DoubleType()), T.StructField("changed", T.BooleanType()), T.StructField("label", T.IntegerType()), T.StructField("out_block", T.LongType()), T.StructField("n_sources", T.IntegerType()), T.StructField("out", T.ArrayType(T.DoubleType())),
 ])
 BLOCKS = "stream_id string, block_id long, ts timestamp, samples array<float>"
 
@@ -29,7 +30,7 @@ def _run(online: Online, state: State, stream_id: str, blocks: pd.DataFrame) ->
 
 
 def deinterleave(blocks: DataFrame, settings: Settings, idle: str = "10 minutes", late: str = "1 minute") -> DataFrame:
-    """A stream of blocks (stream_id, block_id, ts, samples) -> one row per block.
+    """A stream of blocks (stream_id, block_id, ts, samples) -> one row per block; `out` is the sound put out then.
 
     A stream's state ends when the watermark, `late` behind the newest block of all, is `idle` past its last one.
     Micro-batches must bring a stream's blocks in order; within one they are sorted.
@@ -85,3 +86,20 @@ def latest(blocks: DataFrame, seconds: float = 0.2) -> DataFrame:
     """The samples of the last `seconds` of each stream, for a display: stream_id, block_id, samples."""
     last = blocks.groupBy("stream_id").agg(F.max("ts").alias("__last"))
     return blocks.join(last, "stream_id").where(F.col("ts").cast("double") > F.col("__last").cast("double") - seconds).drop("__last")
+
+
+def save(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Write what a stream gives as Parquet files under path, until all that is there has been read. checkpoint: a shared
+    folder; a run that is started again goes on where the last one ended."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stats(decided: DataFrame, every: int = 100) -> DataFrame:
+    """Every so many blocks of a stream: blocks, those with a source, changes and mean level. decided: as deinterleave gives."""
+    turn = F.floor(F.col("block_id") / every).alias("turn")
+    return decided.groupBy("stream_id", turn).agg(F.count("*").alias("n_blocks"), F.count_if(F.col("label") >= 0).alias("n_labelled"), F.count_if("changed").alias("n_changes"), F.avg("rms").alias("mean_rms"))
+
+
+def sound(decided: DataFrame) -> DataFrame:
+    """stream_id, block_id, samples (both channels of each) of a finished run: what was put out when each block came in."""
+    return decided.where(F.size("out") > 0).select("stream_id", "block_id", F.transform("out", stereo).alias("samples"))

@@ -23,6 +23,7 @@ class Settings:
     order: int = 4
     gate_db: float = -40.0
     window_ms: float = 50.0
+    delay_ms: float = 50.0
     min_segment_ms: float = 10.0
     silence_ms: float = 200.0
     quiet: float = 0.001
@@ -39,7 +40,7 @@ class State:
     filter: list = field(default_factory=list)
     present: bool = False
     tail: list = field(default_factory=list)
-    waiting: list = field(default_factory=list)  # blocks written and not yet put out
+    waiting: list = field(default_factory=list)  # blocks (id, filtered samples) written and not yet put out
     filled: int = 0
     centroids: list = field(default_factory=list)
     levels: list = field(default_factory=list)
@@ -101,12 +102,15 @@ class Online:
         return out
 
     def block(self, st: State, block_id: int, samples: np.ndarray) -> dict:
-        """Take one block; returns what is known after it and which block is put out now (null: silence)."""
+        """Take one block; returns what is known after it and which block is put out now (null: silence), with its samples.
+
+        Blocks come out delay_ms after they came in, or as soon as a window is full where that is later.
+        """
         state = np.array(st.filter) if st.filter else steady_state(self.sos)
         y, state = run_sections(self.sos, samples, state)
         st.filter = state.tolist()
         st.clock += len(y)
-        out = {"block_id": block_id, "present": st.present, "centroid": None, "rms": None, "changed": False, "label": st.label, "out_block": None, "n_sources": len(st.profiles)}
+        out = {"block_id": block_id, "present": st.present, "centroid": None, "rms": None, "changed": False, "label": st.label, "out_block": None, "n_sources": len(st.profiles), "out": []}
         if not st.present:
             st.present = bool(np.sqrt(np.mean(y**2)) > 10 ** (self.s.gate_db / 20))
             if not st.present:
@@ -116,18 +120,19 @@ class Online:
         fresh = not st.waiting and not st.filled
         st.tail = [*st.tail, *y.tolist()][-window:]
         st.filled += len(y)
-        st.waiting.append(block_id)
-        if fresh or st.filled < window:
+        st.waiting.append([block_id, y.tolist()])
+        if fresh or st.filled < max(window, int(self.s.delay_ms * self.s.rate / 1000)):
             return out
         centroid, level = centroid_and_level(np.array(st.tail), self.s.rate)
         change = self.changed(st, centroid, level)
         if change:
             st.label = self.classify(st, centroid, level)
-        shown = st.waiting.pop(0)
-        out |= {"centroid": centroid, "rms": level, "changed": change, "label": st.label, "n_sources": len(st.profiles), "out_block": shown if st.label == self.s.target else None}
+        shown, samples = st.waiting.pop(0)
+        audible = st.label == self.s.target
+        out |= {"out": samples if audible else [0.0] * len(samples), "centroid": centroid, "rms": level, "changed": change, "label": st.label, "n_sources": len(st.profiles), "out_block": shown if audible else None}
         st.silent_blocks = st.silent_blocks + 1 if level < self.s.quiet else 0
         if st.silent_blocks * len(y) * 1000 > self.s.silence_ms * self.s.rate:
             # the session ends: all is forgotten but the clock
             st.__dict__.update(State(clock=st.clock).__dict__)
-            out["out_block"] = None
+            out |= {"out_block": None, "out": [0.0] * len(samples)}
         return out

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spliceflow import helpers
 from spliceflow.config import Cfar, Frames
 from spliceflow.operators import changepoint as cp
-from spliceflow.operators import cluster, filters, frames, normalize, reconstruct, segments, silence
+from spliceflow.operators import cluster, filters, frames, normalize, reconstruct, segments, silence, spectral
+from spliceflow.plans import pipelines
 from spliceflow.sources import wav
 from spliceflow.streaming import jobs
 from spliceflow.streaming.online import Settings
@@ -196,7 +197,10 @@ def test_wav_files(spark, tmp_path):
     signal = wav.as_signal(chunks)
     got = {s: by_idx(signal.where(F.col("stream_id") == s), "x") for s in ("a", "b")}
     assert np.allclose(got["a"], x, atol=1e-4) and len(got["b"]) == 100
-    assert {r.stream_id: wav.decode(bytes(r.content))[0].size for r in wav.to_wav(wav.as_chunks(signal, 8000)).collect()} == {"a": 3000, "b": 100}
+    wrote = {r.stream_id: r for r in wav.write_wav(wav.as_chunks(signal, 8000, 700), f"{tmp_path}-out").collect()}
+    assert {k: r.n_samples for k, r in wrote.items()} == {"a": 3000, "b": 100}
+    again, rate = wav.decode(open(wrote["a"].path, "rb").read())
+    assert rate == 8000 and np.allclose(again, x, atol=2e-4)
     assert wav.read_wav(spark, str(tmp_path), 4000).agg(F.sum(F.size("samples"))).first()[0] == 1550
 
 
@@ -209,9 +213,73 @@ def test_stream_equals_replay(spark, tmp_path):
     for i in range(4):
         table.where(f"block_id div 20 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     settings = Settings(rate=rate, low=100.0, high=3000.0)
-    query = jobs.deinterleave(jobs.read_blocks(spark, f"{tmp_path}/in", 1), settings).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
+    jobs.save(jobs.deinterleave(jobs.read_blocks(spark, f"{tmp_path}/in", 1), settings), f"{tmp_path}/out", f"{tmp_path}/cp")
     live = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select([f.name for f in jobs.OUT]).collect()), key=lambda r: r[1])
     replay = sorted(map(tuple, jobs.replay(table.withColumnRenamed("block_id", "frame_id"), settings).collect()), key=lambda r: r[1])
     assert live == replay and len(live) == 80
     assert {0, 1} <= {r[6] for r in live[20:]}
+    decided = spark.read.parquet(f"{tmp_path}/out")
+    heard = {r.block_id: r.samples for r in jobs.sound(decided).collect()}
+    shown = [r for r in live if r[7] is not None]
+    assert shown and all(len(heard[r[1]]) == block and heard[r[1]][0][0] == heard[r[1]][0][1] for r in shown)
+    quiet = [b for b, samples in heard.items() if b not in {r[1] for r in shown}]
+    assert all(not np.any(heard[b]) for b in quiet) and any(np.any(heard[r[1]]) for r in shown)
+    told = {r.turn: r for r in jobs.stats(decided, 20).collect()}
+    assert [told[k].n_blocks for k in range(4)] == [20] * 4 and sum(r.n_changes for r in told.values()) == sum(r[5] for r in live)
+
+
+def test_delay_of_the_online_processor(spark):
+    x = np.sin(2 * np.pi * 300 * np.arange(8000) / 8000)
+    rows = [("s", i, x[i * 200 : (i + 1) * 200].tolist()) for i in range(40)]
+    frames_ = spark.createDataFrame(rows, "stream_id string, frame_id long, samples array<double>")
+    first = {}
+    for delay in (50.0, 200.0):
+        got = jobs.replay(frames_, Settings(rate=8000, low=100.0, high=3000.0, delay_ms=delay)).where("size(out) > 0").agg(F.min("block_id")).first()[0]
+        first[delay] = got
+    assert first[200.0] - first[50.0] == 6  # 150 ms in blocks of 25 ms
+
+
+def spliced(rng, rate=44100, blocks=24):
+    """Blocks of a low and a high tone by turns, and the borders between them."""
+    x, owner = [], []
+    for i in range(blocks):
+        n = int(rng.integers(1500, 3000))
+        tone = np.sin(2 * np.pi * (600, 7000)[i % 2] * np.arange(n) / rate) * (0.8, 0.5)[i % 2]
+        x.append(tone + rng.normal(size=n) * 0.01)
+        owner.append(np.full(n, i % 2))
+    return np.concatenate(x), np.concatenate(owner)
+
+
+@pytest.mark.parametrize("fused", [False, True])
+def test_deinterleaving_of_known_splices(spark, fused):
+    """Recall and precision of borders, and the share of samples whose label is their source's."""
+    x, owner = spliced(np.random.default_rng(6))
+    signal = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "stream_id string, idx long, x double").repartition(4)
+    truth = np.flatnonzero(np.diff(owner)) + 1
+    if fused:
+        rows = pipelines.detector_rows(signal)
+        found = np.array([r.t for r in pipelines.fused_boundaries(rows, 0.95).collect()]) * pipelines.WINDOW
+    else:
+        segs = pipelines.labelled_segments(signal, None, 0.01).toPandas()
+        found = np.concatenate((segs["i0"], segs["i1"]))
+        label = np.full(len(x), -1)
+        for r in segs.itertuples():
+            label[r.i0 : r.i1] = r.label
+        share = sum(np.bincount(owner[label == k], minlength=2).max() for k in set(label[label >= 0])) / len(x)
+        assert share > 0.95
+        tracks = pipelines.deinterleaved(signal, None, 0.01).groupBy("idx").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+        assert tracks.where("n <> 3").isEmpty()
+    hit = [np.abs(found - t).min() <= 220 for t in truth]
+    assert np.mean(hit) >= 0.9
+    inner = [t for t in set(found.tolist()) if 0 < t < len(x) - 200]
+    # a percentile of all frames marks a fixed share of them, so one detector alone is not precise
+    assert np.mean([np.abs(truth - t).min() <= 220 for t in inner]) >= (0.5 if fused else 0.25)
+
+
+def test_whole_spectrum_is_the_transform(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=997)  # a prime length
+    signal = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "stream_id string, idx long, x double").repartition(3)
+    got = {r.k: r.magnitude for r in spectral.whole_spectrum(signal, 997.0, 100.0, 300.0).collect()}
+    plain = np.abs(np.fft.rfft(x))
+    assert sorted(got) == list(range(100, 301)) and np.allclose([got[k] for k in sorted(got)], plain[100:301])
