@@ -13,6 +13,7 @@ What is collected is one row for each shard.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -30,6 +31,8 @@ END = U64(0xE5D1A3B7C9F24680)
 #: Bigrams that a task merges before it sends them on, and those for which a shard is meant.
 RUN, SHARD = 1_500_000, 2_000_000
 _LOW = U64(0xFFFFFFFF)
+#: A bigram's key holds two word ids of 32 bits, and one id stands for the start: beyond that, learning refuses to go on.
+MAX_WORDS = (1 << 32) - 2
 #: What a shard of bigrams, and of words, has to say.
 _RUN = pa.struct([("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 MERGED = pa.schema([("n", pa.int64()), ("classes", pa.list_(pa.int64())), ("runs", pa.list_(_RUN))])
@@ -66,7 +69,7 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
 
 def _save(path: str, x: np.ndarray) -> None:
     """Written aside and renamed: a task that runs twice leaves one whole file."""
-    temporary = f"{path}.{os.getpid()}.tmp"
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(temporary, "wb") as f:
         np.save(f, x)
     os.replace(temporary, path)
@@ -170,7 +173,7 @@ def _of_shard(ids: np.ndarray, shards: int, size: int) -> np.ndarray:
 def _emit(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(keys) else []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield int(shard[a]), _planes(keys[a:b]), _planes(counts[a:b].astype(np.uint32))
+        yield int(shard[a]), _planes(keys[a:b]), _planes(counts[a:b].astype(np.int64))
 
 
 def _runs(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
@@ -213,7 +216,7 @@ def _by_shard(df: DataFrame, shards: int, kind: type, finish: Callable[[int, np.
                     yield done()
                     waiting.clear()
                 at = shard
-                waiting.append((_from_planes(k, kind), _from_planes(n, np.uint32).astype(np.int64)))
+                waiting.append((_from_planes(k, kind), _from_planes(n, np.int64)))
                 if len(waiting) > 1 and sum(len(k) for k, _ in waiting[1:]) > max(SHARD, len(waiting[0][0])):
                     waiting[:] = [_counted(*(np.concatenate(x) for x in zip(*waiting, strict=True)))]
         if waiting:
@@ -303,6 +306,8 @@ def train(docs: DataFrame) -> Model:
     folder = _local(shared_folder(docs.sparkSession))
     vocabulary = _vocabulary(docs, f"{folder}/vocabulary")
     size = vocabulary.size
+    if size >= MAX_WORDS:
+        raise ValueError(f"{size} distinct words: word ids have 32 bits")
     shards = max(1, -(-vocabulary.total // SHARD))
     ranges = max(1, -(-size // SHARD))
     os.makedirs(f"{folder}/model", exist_ok=True)
@@ -311,7 +316,7 @@ def train(docs: DataFrame) -> Model:
         context = (keys >> U64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         stats = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
-        small = counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32)
+        small = counts.astype(next(t for t in (np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(t).max))
         for name, x in (("key", keys), ("count", small), ("context", context[first]), ("stats", stats)):
             _save(f"{folder}/model/{name}-{shard:05d}.npy", x)
         words, seen = _counted((keys & _LOW).astype(np.int64))
@@ -324,7 +329,7 @@ def train(docs: DataFrame) -> Model:
 
     def finish_words(part: int, words: np.ndarray, seen: np.ndarray) -> dict:
         _save(f"{folder}/model/word-{part:05d}.npy", words.astype(np.int64))
-        _save(f"{folder}/model/seen-{part:05d}.npy", seen.astype(np.uint32))
+        _save(f"{folder}/model/seen-{part:05d}.npy", seen)
         return {"classes": _classes(seen).tolist(), "more": int((seen > 2).sum())}
 
     parts = merged.select(F.explode("runs").alias("r")).select("r.*")

@@ -221,3 +221,47 @@ def near_vectors(rows, least=0.93):
                             stack.append(j)
         out += [(r[0], int(linked[i].sum()), mine[comp[i]][0], comp[i] == i) for i, r in enumerate(mine)]
     return out
+
+
+def ftrl(rows, dims, alpha, beta, l1, l2, epochs):
+    """FTRL-proximal from its formulas, one coordinate at a time. rows: (features, y) in order of learning."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(i):
+        penalty = 0.0 if i == dims else l1
+        if abs(z.get(i, 0.0)) <= penalty:
+            return 0.0
+        return -(z[i] - math.copysign(penalty, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, y in rows:
+            at = [*features, dims]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for i in at:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def decontaminated(docs, bench, n=10, drop_share=0.8):
+    """(doc, text) without hit words and what follows them; without documents that consist of them for the most part."""
+    grams = set()
+    for _, text in bench:
+        w = ALNUM_WORD.findall(lower(text))
+        grams |= {tuple(w[i : i + n]) for i in range(len(w) - min(n, len(w)) + 1)} if w else set()
+    sizes = {len(g) for g in grams}
+    out = []
+    for doc, text in docs:
+        spans = [m.span() for m in ALNUM_WORD.finditer(text or "")]
+        w = [lower(text[a:b]) for a, b in spans]
+        hit = {j for i in range(len(w)) for size in sizes if i + size <= len(w) and tuple(w[i : i + size]) in grams for j in range(i, i + size)}
+        if not hit:
+            out.append((doc, text))
+        elif len(hit) < drop_share * len(w):
+            ends = [a for a, _ in spans[1:]] + [len(text)]
+            out.append((doc, text[: spans[0][0]] + "".join(text[a:e] for i, ((a, _), e) in enumerate(zip(spans, ends, strict=True)) if i not in hit)))
+    return out

@@ -1,9 +1,13 @@
 """The corpus operators against plain versions, on tables with nulls, empties, ties, repeats and clashing names."""
 
 import random
+import subprocess
+import sys
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -403,3 +407,109 @@ def test_each_copy_of_a_licence():
     n = len(mit.split())
     *_, score, spans = license_scans.scan(f"{mit} and again {mit}")
     assert score == 1.0 and spans == [("mit", 0, n), ("mit", n + 2, 2 * n + 2)]
+
+
+def toxic_rows(n=300, seed=3):
+    rng = random.Random(seed)
+    plain = ["the", "of", "river", "stone", "light", "wind", "tree", "road", "night", "day"] + [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(plain) for _ in range(40)) + (" you vile moron" if i % 4 == 0 else "")) for i in range(n)]
+    return docs, [(i, 1, int(i % 4 == 0)) for i in range(n)]
+
+
+def plain_weights(spark, docs, labels):
+    """The order of learning is a hash of the id that Spark computes; all else is plain."""
+    kept = {d: y for d, _, y in labels if zlib.crc32(str(d).encode()) % 5}
+    ids = spark.createDataFrame([(d,) for d in kept], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").collect()
+    texts = {d: toxicity.features(pa.array([t]))[0].tolist() for d, t in docs if d in kept}
+    rows = [(texts[r.doc_id], kept[r.doc_id]) for r in ids if r.doc_id in texts]
+    return brute.ftrl(rows, toxicity.DIMENSIONS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2, toxicity.EPOCHS)
+
+
+def test_weights_are_those_of_plain_ftrl(spark):
+    docs, labels = toxic_rows()
+    got = toxicity.train(table(spark, docs), toxicity.learning_rows(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    plain = plain_weights(spark, docs, labels)
+    assert got.keys() == plain.keys() and len(got) < 3000
+    assert np.allclose([got[i] for i in sorted(got)], [plain[i] for i in sorted(plain)])
+
+
+def test_repeated_ids_teach_the_same_whatever_the_order(spark):
+    docs, labels = toxic_rows(60)
+    docs += [(d, "another text of the same id") for d, _ in docs[:20]]
+    rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = toxicity.train(table(spark, docs).orderBy("text"), toxicity.learning_rows(rows))
+    two = toxicity.train(table(spark, docs).orderBy(F.desc("text")).repartition(5), toxicity.learning_rows(rows))
+    assert one == two
+
+
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = toxic_rows()
+    rng = random.Random(1)
+    near = " ".join(f"n{rng.random()}" for _ in range(60))
+    docs += [(1000, near), (1001, near + " tail"), (1002, f"Keep ({BENCH[0][1]}) and the rest of this text, word by word, as it is."), (1003, "one two three four five six seven eight nine ten"),
+             (1004, "mail a.b@c.de or jane at host dot org, card 4111 1111-1111 1111"), (1005, None), (1006, ""), (1007, "late " * 9000)]
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    w = plain_weights(spark, docs, labels)
+    clean = [(d, t) for d, t in docs if sum(w.get(i, 0.0) for i in toxicity.features(pa.array([t], pa.string()))[0].tolist()) + w.get(toxicity.DIMENSIONS, 0.0) < 0]
+    kept = {r[0] for r in brute.near_duplicates(clean, stages.NEAR_PERCENT) if r[3]}
+    left = brute.decontaminated([(d, t) for d, t in clean if d in kept], BENCH)
+    exp = {d: None if t is None else pii.redact(t) for d, t in left}
+    assert 1001 not in exp and 1003 not in exp and "<EMAIL>" in exp[1004] and "one two" not in exp[1002] and len(exp) < 0.8 * len(docs)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    wrong, padding = brute.packing_errors(got, exp, Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    assert not wrong and padding < 0.01
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, [])
+    for stage in (stages.toxicity, stages.near_duplicates, stages.decontaminate, stages.redact_pii):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert stages.pack(spark, docs, str(tmp_path)).count() == 0
+    assert license_scans.license_report(docs).count() == 0
+
+
+def test_null_ids_in_substring_dedup(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    got = {(r.doc_id, r.n_removed) for r in substring_dedup.without_repeats(table(spark, [(None, passage), (1, passage), (None, None)])).collect()}
+    assert got == {(None, 0), (1, 30)}  # null stands before all ids
+
+
+def test_loss_share_in_spark(spark):
+    docs = table(spark, [(i, "alpha beta gamma " * (40 + i)) for i in range(200)]).withColumn("share", F.when(F.col("doc_id") % 3 > 0, F.lit(0.25)))
+    got = packing.packed(docs, capacity=512, max_loss=200, loss_share="share", with_ids=True).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    loss, ids = {}, {}
+    for r in got:
+        n = r.doc_tokens
+        bearing = n if r.doc_id % 3 == 0 else round(0.25 * n)
+        loss[r.sequence_id] = loss.get(r.sequence_id, 0) + packing.Packer._loss(r.start, r.length, n, bearing)
+        ids.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert max(loss.values()) <= 200
+    for d, parts in ids.items():
+        assert sum((p for _, p in sorted(parts)), []) == [*tokenizer.encode("alpha beta gamma " * (40 + d), add_special_tokens=False).ids, packing.END_ID]
+
+
+@pytest.mark.parametrize("what", ["near_dedup.shingles(t)", "toxicity.features(t)", "substring_dedup._windows(t)", "lm_scoring.tokens(t)", "packing.WordTokenizer(None).encode(t.to_pylist())"])
+def test_memory_of_a_long_text(what):
+    """One text of 20 MB in a process of its own: no more than 1.3 GB at its peak."""
+    code = f"""
+import resource, random
+import pyarrow as pa
+from spliceflow.llm import lm_scoring, near_dedup, packing, substring_dedup, toxicity
+rng = random.Random(1)
+words = ["w%d" % i for i in range(50000)]
+t = pa.array([" ".join(rng.choices(words, k=3_300_000))])
+assert len(t[0].as_py()) > 20_000_000
+{what}
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1300
