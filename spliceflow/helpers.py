@@ -45,6 +45,11 @@ def with_index(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return df.join(counts, [*keys, "__bucket"]).withColumn(name, (F.col("__before") + own - 1).cast("long")).drop("__bucket", "__before")
 
 
+def in_line(df: DataFrame, position: str, *then: str) -> DataFrame:
+    """Number rows as idx from 0 by position (a sample or a time; then by other columns), in parallel within a stream."""
+    return with_index(cut(df), ["stream_id"], [position, *then], F.floor(F.col(position) / CHUNK))
+
+
 def near(df: DataFrame, before: int, after: int, columns: dict[str, object], chunk: int = CHUNK) -> DataFrame:
     """Add columns that look at most `before` rows back and `after` rows on, in order of idx within stream_id.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceflow.config import Fusion
-from spliceflow.helpers import cut
+from spliceflow.helpers import cut, in_line, near
 from spliceflow.operators.changepoint import earliest_first
 
 
@@ -47,8 +47,7 @@ def boundary_list(ends: DataFrame, inner: DataFrame, shortest: float, eps: float
     end = ends.select("stream_id", F.col("t").alias("__end"))
     rows = inner.select("stream_id", "t").join(end, "stream_id").where("t >= 0 and t <= __end")
     rows = rows.unionByName(end.select("stream_id", F.explode(F.array(F.lit(0.0), F.col("__end"))).alias("t"), "__end")).distinct()
-    w = Window.partitionBy("stream_id").orderBy("t")
-    rows = rows.withColumn("__p", F.lag("t").over(w)).where(F.col("__p").isNull() | (F.col("t") - F.col("__p") > eps))
-    rows = rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    rows = near(in_line(rows.select("stream_id", "t"), "t"), 1, 0, {"__p": lambda w: F.lag("t").over(w)})
+    rows = in_line(rows.where(F.col("__p").isNull() | (F.col("t") - F.col("__p") > eps)).select("stream_id", "t"), "t")
     kept = earliest_first(rows, shortest, "t", start=None)
     return kept.select("stream_id", "t").unionByName(end.select("stream_id", F.col("__end").alias("t"))).distinct()

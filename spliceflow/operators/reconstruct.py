@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.helpers import interval_join, running_sum
+from spliceflow.helpers import in_line, interval_join, near, running_sum
 from spliceflow.operators.segments import within
 from spliceflow.operators.silence import regions, renumbered
 
@@ -19,10 +20,16 @@ def masked(signal: DataFrame, segs: DataFrame, labels: list[int]) -> DataFrame:
     return rows.select("stream_id", "idx", "label", F.when(F.col("__own") == F.col("label"), F.col("x")).otherwise(0.0).alias("x"))
 
 
+def _by_label(segs: DataFrame, place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """segs with the columns that place() adds to each label's segments in line, as though a label were a stream."""
+    rows = in_line(segs.withColumn("stream_id", F.struct("stream_id", "label")), "i0")
+    return place(rows).withColumn("stream_id", F.col("stream_id.stream_id")).drop("idx")
+
+
 def concatenated(signal: DataFrame, segs: DataFrame) -> DataFrame:
     """stream_id, label, out_idx, x: each label's segments one after the other."""
-    w = Window.partitionBy("stream_id", "label").orderBy("i0").rowsBetween(Window.unboundedPreceding, -1)
-    placed = segs.withColumn("offset", F.coalesce(F.sum(F.col("i1") - F.col("i0")).over(w), F.lit(0)))
+    n = F.col("i1") - F.col("i0")
+    placed = _by_label(segs, lambda rows: running_sum(rows, n, "offset").withColumn("offset", F.col("offset") - n))
     rows = interval_join(signal, placed.select("stream_id", "seg_id", "i0", "i1", "label", "offset"), 4096)
     return rows.select("stream_id", "label", (F.col("offset") + F.col("idx") - F.col("i0")).cast("long").alias("out_idx"), "x")
 
@@ -55,14 +62,17 @@ def crossfaded(signal: DataFrame, segs: DataFrame, fade: int, curve: str = "line
     A join takes no more samples than either segment can give: a segment gives at most half of itself to each side, so
     that gains never meet twice. Each sample is added at its place in the sum of all segments.
     """
-    w = Window.partitionBy("stream_id", "label").orderBy("i0")
     n = F.col("i1") - F.col("i0")
     half = lambda size: F.when(size >= 2 * fade, F.lit(fade)).otherwise(F.floor(size / 2))
-    placed = segs.select("*", n.alias("n")).withColumns({"before": F.lag("n").over(w), "after": F.lead("n").over(w)})
-    placed = placed.withColumn("f_in", F.when(F.col("before").isNull(), 0).otherwise(F.least(half(F.col("before")), half(F.col("n")))))
-    placed = placed.withColumn("f_out", F.when(F.col("after").isNull(), 0).otherwise(F.least(half(F.col("after")), half(F.col("n")))))
-    before = F.sum(F.col("n") - F.col("f_out")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("offset", F.coalesce(before, F.lit(0)))
+
+    def place(rows: DataFrame) -> DataFrame:
+        rows = near(rows.withColumn("n", n), 1, 1, {"before": lambda w: F.lag("n").over(w), "after": lambda w: F.lead("n").over(w)})
+        rows = rows.withColumn("f_in", F.when(F.col("before").isNull(), 0).otherwise(F.least(half(F.col("before")), half(F.col("n")))))
+        rows = rows.withColumn("f_out", F.when(F.col("after").isNull(), 0).otherwise(F.least(half(F.col("after")), half(F.col("n")))))
+        own = F.col("n") - F.col("f_out")
+        return running_sum(rows, own, "offset").withColumn("offset", F.col("offset") - own)
+
+    placed = _by_label(segs, place)
     rows = interval_join(signal, placed.select("stream_id", "seg_id", "i0", "i1", "label", "n", "f_in", "f_out", "offset"), 4096)
     at = F.col("idx") - F.col("i0")
     gain = F.when(at < F.col("f_in"), ramp(at, F.col("f_in"), curve)).otherwise(1.0)

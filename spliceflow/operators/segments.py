@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.helpers import interval_join, percentiles
+from spliceflow.helpers import in_line, interval_join, near, percentiles
 
 
 def segments(bounds: DataFrame, dead_zone: float = 0.0, shortest: float = 0.0) -> DataFrame:
     """Neighbouring boundaries (stream_id, t) as seg_id, t0, t1. dead_zone is cut off at inner edges; empty and short go."""
-    w = Window.partitionBy("stream_id").orderBy("t")
-    rows = bounds.select("stream_id", "t", F.lead("t").over(w).alias("t1"), (F.row_number().over(w) - 1).alias("seg_id"), F.count("*").over(Window.partitionBy("stream_id")).alias("n"))
-    rows = rows.where("t1 is not null")
+    rows = in_line(bounds.select("stream_id", "t"), "t")
+    n = rows.groupBy("stream_id").agg(F.count("*").alias("n"))
+    rows = near(rows, 0, 1, {"t1": lambda w: F.lead("t").over(w)}).join(n, "stream_id").withColumnRenamed("idx", "seg_id").where("t1 is not null")
     t0 = F.when(F.col("seg_id") > 0, F.col("t") + dead_zone).otherwise(F.col("t"))
     t1 = F.when(F.col("seg_id") < F.col("n") - 2, F.col("t1") - dead_zone).otherwise(F.col("t1"))
     rows = rows.select("stream_id", F.col("seg_id").cast("long").alias("seg_id"), t0.alias("t0"), t1.alias("t1")).where("t1 > t0")

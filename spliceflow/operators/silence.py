@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.helpers import interval_join, running_sum, runs
+from spliceflow.helpers import in_line, interval_join, near, running_sum, runs
 
 
 def is_silent(x: Column, limit: float) -> Column:
@@ -30,8 +30,8 @@ def silent_regions(signal: DataFrame, limit: float, shortest: int) -> DataFrame:
 def complement(found: DataFrame, lengths: DataFrame) -> DataFrame:
     """What the regions (stream_id, i0, i1) leave of streams of length n (stream_id, n)."""
     ends = found.unionByName(lengths.select("stream_id", F.col("n").alias("i0"), F.col("n").alias("i1")))
-    w = Window.partitionBy("stream_id").orderBy("i0", "i1")
-    out = ends.select("stream_id", F.coalesce(F.lag("i1").over(w), F.lit(0)).cast("long").alias("a"), F.col("i0").alias("b"))
+    rows = near(in_line(ends, "i0", "i1"), 1, 0, {"__before": lambda w: F.lag("i1").over(w)})
+    out = rows.select("stream_id", F.coalesce("__before", F.lit(0)).cast("long").alias("a"), F.col("i0").alias("b"))
     return out.where("b > a").select("stream_id", F.col("a").alias("i0"), F.col("b").alias("i1"))
 
 

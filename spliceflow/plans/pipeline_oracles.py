@@ -50,7 +50,7 @@ _FUSED = """ev1 AS (SELECT stream_id, idx, method, score, CASE method WHEN 'cent
     c AS (SELECT DISTINCT f.stream_id, f.t FROM fus f JOIN e USING (stream_id) WHERE strong AND n_methods >= 2 AND f.t BETWEEN 0 AND e.t UNION SELECT * FROM e),
     r AS (SELECT stream_id, 0.0::DOUBLE AS t FROM e UNION ALL SELECT r.stream_id, min(c.t) FROM r JOIN c ON c.stream_id = r.stream_id AND c.t >= r.t + 3 GROUP BY 1)"""
 _CENTROID = f"""thr AS (SELECT stream_id, idx, idx AS pos, true AS valid, hz, centroid AS score, quantile_cont(centroid, 0.8) OVER (PARTITION BY stream_id) AS threshold FROM det),
-    {_GREEDY.replace('66', '3')}, mean AS (SELECT s.stream_id, s.seg_id, s.i0, s.i1, round(avg(d.hz), 3) AS mean_x FROM seg s JOIN det d ON d.stream_id = s.stream_id AND d.idx >= s.i0 AND d.idx < s.i1 GROUP BY ALL)"""
+    {_GREEDY.replace('t1 - t >= 66', 't1 > t').replace('66', '3')}, mean AS (SELECT s.stream_id, s.seg_id, s.i0, s.i1, round(avg(d.hz), 3) AS mean_x FROM seg s JOIN det d ON d.stream_id = s.stream_id AND d.idx >= s.i0 AND d.idx < s.i1 GROUP BY ALL)"""
 
 # blocks of 16 samples in windows of 12
 _BLOCKS = f"""{', '.join(f'{s} AS ({o._STEPS[s]})' for s in ('sig', 'cen'))}, b16 AS (SELECT stream_id, idx // 16 AS frame_id, idx % 16 AS p, x FROM cen QUALIFY count(*) OVER (PARTITION BY stream_id, idx // 16) = 16),
