@@ -513,3 +513,15 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout) < 1300
+
+
+@pytest.mark.parametrize("wanted", [None, 1024])
+def test_recall_of_shared_pivots(spark, wanted):
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(1200, 64)), 4, 0) + rng.normal(size=(4800, 64)) * np.repeat(rng.uniform(0.1, 0.35, 1200), 4)[:, None]
+    sound = [(i, v.astype(np.float32).tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(sound, "vec_id long, embedding array<float>, label int").withColumns({"v": F.lit("x"), "cls": F.lit(1)})
+    got = rows(embedding_dedup.near_vectors(df, wanted=wanted))
+    exp = ordered(brute.near_vectors(sound))
+    assert all(a[1] <= b[1] for a, b in zip(got, exp, strict=True))
+    assert sum(a[1] for a in got) >= 0.98 * sum(b[1] for b in exp) > 1000
