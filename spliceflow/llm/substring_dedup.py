@@ -30,6 +30,8 @@ from .common import NON_SPACE, flat_text, in_arrow, joined_with_hot_keys, map_te
 K, SEED = 20, 5
 #: Places of a seed from which its windows take the way for hot keys.
 HOT = 20_000
+#: Copies of a hot window's first source, each for a part of its places.
+COPIES = 16
 
 _SPAN = "start long, n long, src long, src_start long"
 
@@ -149,16 +151,21 @@ def spans(docs: DataFrame) -> DataFrame:
     """uid, spans: the words of each document that windows with an earlier equal cover. docs: as keyed() gives them."""
     seeds = _seeds(docs)
     counts = written(seeds.groupBy("seed").agg(F.count("*").alias("places")).where("places > 1"))
-    placed = joined_with_hot_keys(seeds, counts, "seed", F.col("uid"), HOT)
+    has_hot = not counts.where(F.col("places") > HOT).isEmpty()
+    placed = joined_with_hot_keys(seeds, counts, "seed", F.col("uid"), HOT) if has_hot else seeds.join(counts, "seed")
     marks = placed.groupBy("uid").agg(F.collect_list((F.col("pos") * 2 + (F.col("places") > HOT).cast("int"))).alias("marks"))
     edges = _edges(docs.join(marks, "uid").select("uid", "doc_id", "text", "marks"))
     salt = F.when(F.col("hot"), F.pmod(F.col("uid"), F.lit(1024))).otherwise(0)
     dealt = edges.repartition("seed", salt)
     runs = in_arrow(dealt.where("not hot").sortWithinPartitions("seed", "doc_id", "uid", "p1"), _runs, f"uid long, {_SPAN}")
-    hot = dealt.where("hot").select("doc_id", "uid", "p1", F.posexplode("hashes").alias("i", "h")).select("doc_id", "uid", (F.col("p1") + F.col("i")).cast("long").alias("p"), "h")
-    firsts = written(hot.groupBy("h").agg(F.min(F.struct("doc_id", "uid", "p")).alias("f"), F.count("*").alias("places")).where("places > 1"))
-    later = joined_with_hot_keys(hot, firsts, "h", F.col("uid"), HOT).where("uid <> f.uid or p <> f.p").select("uid", F.col("p").alias("start"), F.lit(1).cast("long").alias("n"), F.col("f.uid").alias("src"), F.col("f.p").alias("src_start"))
-    per_doc = runs.unionByName(later).groupBy("uid").agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("runs"))
+    if has_hot:
+        hot = dealt.where("hot").select("doc_id", "uid", "p1", F.posexplode("hashes").alias("i", "h")).select("doc_id", "uid", (F.col("p1") + F.col("i")).cast("long").alias("p"), "h")
+        firsts = hot.groupBy("h").agg(F.min(F.struct("doc_id", "uid", "p")).alias("f"), F.count("*").alias("places")).where("places > 1")
+        # a window's rows are many where its first source is one row: that one is copied
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        later = hot.withColumn("salt", F.pmod(F.col("uid"), F.lit(COPIES)).cast("int")).join(firsts, ["h", "salt"]).where("uid <> f.uid or p <> f.p").select("uid", F.col("p").alias("start"), F.lit(1).cast("long").alias("n"), F.col("f.uid").alias("src"), F.col("f.p").alias("src_start"))
+        runs = runs.unionByName(later)
+    per_doc = runs.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("runs"))
     return in_arrow(per_doc, _compacted, "uid long, spans array<struct<start:long,n:long,src:long,src_start:long>>")
 
 
