@@ -3,11 +3,12 @@
 1. Words are counted by hash; the sorted hashes are the vocabulary, and a word's place among them is its id.
 2. Bigrams become 64-bit keys (context id, word id). Tasks merge their own, then send sorted runs to shards by context,
    where they are merged; a shard holds all successors of its contexts, so it knows their totals and how many followed
-   once, twice, more often. Shards pass on in how many contexts each word was seen, the lower order's counts.
+   once, twice, more often. A context that is frequent enough to fill a shard has several of its own, by the second word,
+   and what these know of it is added up. Shards pass on in how many contexts each word was seen, the lower order's counts.
 3. Shards are NumPy files in the shared folder. Workers map them, so a model larger than memory costs page cache only.
    The folder (spark.checkpoint.dir) must be a mounted one (file:) for that.
 
-What is collected is one row for each shard.
+What is collected is one row for each shard, the frequent words among them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from .common import NON_SPACE, U64, flat_text, in_arrow, map_text, shared_folder
 
 #: Stands for the end of a text among word hashes.
 END = U64(0xE5D1A3B7C9F24680)
-#: Bigrams that a task merges before it sends them on, and those for which a shard is meant.
+#: Bigrams that a task merges before it sends them on, and those for which a shard is meant; a context that stands more
+#: often has shards of its own.
 RUN, SHARD = 1_500_000, 2_000_000
 _LOW = U64(0xFFFFFFFF)
 #: A bigram's key holds two word ids of 32 bits, and one id stands for the start: beyond that, learning refuses to go on.
 MAX_WORDS = (1 << 32) - 2
 #: What a shard of bigrams, and of words, has to say.
 _RUN = pa.struct([("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-MERGED = pa.schema([("n", pa.int64()), ("classes", pa.list_(pa.int64())), ("runs", pa.list_(_RUN))])
+MERGED = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("classes", pa.list_(pa.int64())), ("part", pa.list_(pa.int64())), ("runs", pa.list_(_RUN))])
 WORDS = pa.schema([("classes", pa.list_(pa.int64())), ("more", pa.int64())])
 
 
@@ -98,13 +100,17 @@ def _local(uri: str) -> str:
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes in shards (files), the first hash and first id of each, and their counts."""
+    """Sorted hashes in shards (files), the first hash and first id of each, and their counts.
+
+    often: ids of the words that stand more than SHARD times, in order, and how often.
+    """
 
     folder: str
     first_hash: np.ndarray
     first_id: np.ndarray
     size: int
     total: int
+    often: tuple[np.ndarray, np.ndarray]
 
     def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of sorted distinct hashes, -1 for those not known, and their counts (0)."""
@@ -124,6 +130,8 @@ class Vocabulary:
 
 
 def _vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
+    most = SHARD
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, n = _counted(tokens(batch.column("text"))[0])
         return pa.RecordBatch.from_arrays([pa.array((h ^ U64(1 << 63)).view(np.int64)), pa.array(n)], names=["h", "n"])
@@ -138,20 +146,25 @@ def _vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
             n = np.concatenate([x for _, x in got])
             _save(f"{folder}/hash-p{part}.npy", h)
             _save(f"{folder}/count-p{part}.npy", n)
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([int(h[0]) >> 1]), pa.array([len(h)]), pa.array([int(n.sum())])], names=["part", "first", "size", "total"])
+            often = np.flatnonzero(n > most)
+            told = [pa.array([x]) for x in (part, int(h[0]) >> 1, len(h), int(n.sum()))] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (often, n[often])]
+            yield pa.RecordBatch.from_arrays(told, names=["part", "first", "size", "total", "often", "times"])
 
     os.makedirs(folder, exist_ok=True)
     # shifted by 2**63, signed order is the order of the hashes
     counts = map_text(docs.select("text"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     ordered = counts.repartitionByRange("h").sortWithinPartitions("h")
-    shards = sorted(ordered.mapInArrow(save, "part long, first long, size long, total long").collect(), key=lambda r: r["part"])
+    shards = sorted(ordered.mapInArrow(save, "part long, first long, size long, total long, often array<long>, times array<long>").collect(), key=lambda r: r["part"])
     first = []
     for s, r in enumerate(shards):
         for kind in ("hash", "count"):
             os.replace(f"{folder}/{kind}-p{r['part']}.npy", f"{folder}/{kind}-{s:05d}.npy")
         first.append(_Mapped.get(f"{folder}/hash-{s:05d}.npy")[0])
     sizes = [r["size"] for r in shards]
-    return Vocabulary(folder, np.array(first, U64), np.concatenate(([0], np.cumsum(sizes)))[: len(sizes)].astype(np.int64), sum(sizes), sum(r["total"] for r in shards))
+    first_id = np.concatenate(([0], np.cumsum(sizes)))[: len(sizes)].astype(np.int64)
+    often = [(at + int(i), n) for i, r in zip(first_id, shards, strict=True) for at, n in zip(r["often"], r["times"], strict=True)]
+    often = tuple(np.array(x, np.int64) for x in zip(*often, strict=True)) if often else (np.empty(0, np.int64),) * 2
+    return Vocabulary(folder, np.array(first, U64), first_id, sum(sizes), sum(r["total"] for r in shards), often)
 
 
 def _bigrams(text: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -170,20 +183,61 @@ def _of_shard(ids: np.ndarray, shards: int, size: int) -> np.ndarray:
     return np.minimum(ids * shards // (size + 1), shards - 1)
 
 
+@dataclass
+class Dealt:
+    """The shard of a bigram: by its context, and by its word too where the context is one of `often` (sorted), which
+    has `parts` shards from `first` on."""
+
+    size: int
+    shards: int
+    often: np.ndarray
+    parts: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Dealt:
+        ids, times = vocabulary.often
+        # the end is no context, and stands as often as the start, which is one
+        end = vocabulary.ids(np.array([END]))[0][0]
+        start = ids == end
+        ids, times = np.append(ids[~start], ids[start] * 0 + vocabulary.size), np.append(times[~start], times[start])
+        parts = -(-times // SHARD)
+        shards = max(1, -(-vocabulary.total // SHARD))
+        return cls(vocabulary.size, shards, ids, parts, shards + np.cumsum(parts) - parts)
+
+    @property
+    def total(self) -> int:
+        return self.shards + int(self.parts.sum())
+
+    def frequent(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the frequent contexts stand, and which of `often` they are."""
+        at = np.searchsorted(self.often, context)
+        where = np.flatnonzero(np.append(self.often, -1)[at] == context)
+        return where, at[where]
+
+    def of_bigrams(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = _of_shard(context, self.shards, self.size)
+        where, k = self.frequent(context)
+        out[where] = self.first[k] + np.maximum(word[where], 0) * self.parts[k] // (self.size + 1)
+        return out
+
+
 def _emit(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(keys) else []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         yield int(shard[a]), _planes(keys[a:b]), _planes(counts[a:b].astype(np.int64))
 
 
-def _runs(docs: DataFrame, vocabulary: Vocabulary, shards: int) -> DataFrame:
+def _runs(docs: DataFrame, vocabulary: Vocabulary, dealt: Dealt) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             keys, counts = _counted(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
             waiting[:] = [(keys, counts)]
-            rows = list(_emit(keys, counts, _of_shard((keys >> U64(32)).astype(np.int64), shards, vocabulary.size)))
+            to = dealt.of_bigrams((keys >> U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64))
+            order = np.argsort(to, kind="stable")
+            rows = list(_emit(keys[order], counts[order], to[order]))
             shard, k, n = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], names=["shard", "keys", "counts"])
 
@@ -249,7 +303,8 @@ class Model:
 
     vocabulary: Vocabulary
     folder: str
-    shards: int
+    dealt: Dealt
+    totals: np.ndarray  # of the frequent contexts, what stats has of others
     ranges: int
     discount: tuple[float, float, float]
     lower: tuple[float, float, float]
@@ -277,25 +332,27 @@ class Model:
         at = np.flatnonzero(context >= 0)
         key, back = np.unique((context[at].astype(U64) << U64(32)) | (ids[at] + 1).astype(U64), return_inverse=True)
         u, w = (key >> U64(32)).astype(np.int64), (key & _LOW).astype(np.int64) - 1
-        direct, left = np.zeros(len(key)), np.ones(len(key))
-        shard = _of_shard(u, self.shards, self.vocabulary.size)
-        d = np.array((0.0, *self.discount))
-        for s in np.unique(shard):
-            a, b = np.searchsorted(shard, (s, s + 1))
-            load = lambda name, s=s: _Mapped.get(f"{self.folder}/{name}-{s:05d}.npy")
+        shard = self.dealt.of_bigrams(u, w)
+        order = np.argsort(shard, kind="stable")
+        used, cut = np.unique(shard[order], return_index=True)
+        n, stats = np.zeros(len(key), np.int64), np.zeros((len(key), 4), np.int64)
+        for s, mine in zip(used, np.split(order, cut[1:]), strict=False):
             if not os.path.exists(f"{self.folder}/key-{s:05d}.npy"):
                 continue
-            contexts = load("context")
-            i = np.minimum(np.searchsorted(contexts, u[a:b]), len(contexts) - 1)
-            known = contexts[i] == u[a:b]
-            stats = load("stats")[i]
-            total = np.where(known, stats[:, 0], 1).astype(float)
+            load = lambda name, s=s: _Mapped.get(f"{self.folder}/{name}-{s:05d}.npy")
+            if s < self.dealt.shards:
+                contexts = load("context")
+                i = np.minimum(np.searchsorted(contexts, u[mine]), len(contexts) - 1)
+                stats[mine] = np.where((contexts[i] == u[mine])[:, None], load("stats")[i], 0)
             keys = load("key")
-            asked = (u[a:b].astype(U64) << U64(32)) | np.maximum(w[a:b], 0).astype(U64)
+            asked = (u[mine].astype(U64) << U64(32)) | np.maximum(w[mine], 0).astype(U64)
             j = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            n = np.where((keys[j] == asked) & (w[a:b] >= 0), load("count")[j].astype(np.int64), 0)
-            direct[a:b] = np.where(known, (n - d[np.minimum(n, 3)]) / total, 0.0)
-            left[a:b] = np.where(known, (stats[:, 1:] * d[1:]).sum(1) / total, 1.0)
+            n[mine] = np.where((keys[j] == asked) & (w[mine] >= 0), load("count")[j].astype(np.int64), 0)
+        where, k = self.dealt.frequent(u)
+        stats[where] = self.totals[k]
+        d, total = np.array((0.0, *self.discount)), np.maximum(stats[:, 0], 1).astype(float)
+        direct = (n - d[np.minimum(n, 3)]) / total
+        left = np.where(stats[:, 0] > 0, (stats[:, 1:] * d[1:]).sum(1) / total, 1.0)
         p = low.copy()
         p[at] = direct[back] + left[back] * low[at]
         return np.log10(p)
@@ -308,7 +365,7 @@ def train(docs: DataFrame) -> Model:
     size = vocabulary.size
     if size >= MAX_WORDS:
         raise ValueError(f"{size} distinct words: word ids have 32 bits")
-    shards = max(1, -(-vocabulary.total // SHARD))
+    dealt = Dealt.of(vocabulary)
     ranges = max(1, -(-size // SHARD))
     os.makedirs(f"{folder}/model", exist_ok=True)
 
@@ -317,15 +374,21 @@ def train(docs: DataFrame) -> Model:
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         stats = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
         small = counts.astype(next(t for t in (np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(t).max))
-        for name, x in (("key", keys), ("count", small), ("context", context[first]), ("stats", stats)):
+        known = () if shard >= dealt.shards else (("context", context[first]), ("stats", stats))
+        for name, x in (("key", keys), ("count", small), *known):
             _save(f"{folder}/model/{name}-{shard:05d}.npy", x)
         words, seen = _counted((keys & _LOW).astype(np.int64))
         rows = list(_emit(words.astype(np.uint32), seen, _of_shard(words, ranges, size)))
-        return {"n": len(keys), "classes": _classes(counts).tolist(), "runs": [{"shard": s, "keys": k, "counts": c} for s, k, c in rows]}
+        part = [] if known else stats[0].tolist()
+        return {"shard": shard, "n": len(keys), "classes": _classes(counts).tolist(), "part": part, "runs": [{"shard": s, "keys": k, "counts": c} for s, k, c in rows]}
 
-    runs = _runs(docs, vocabulary, shards)
-    merged = written(_by_shard(runs, shards, U64, finish, MERGED))
-    told = merged.select("n", "classes").collect()
+    runs = _runs(docs, vocabulary, dealt)
+    merged = written(_by_shard(runs, dealt.total, U64, finish, MERGED))
+    told = merged.select("shard", "n", "classes", "part").collect()
+    totals = np.zeros((len(dealt.often), 4), np.int64)
+    for r in told:
+        if r["part"]:
+            totals[np.searchsorted(dealt.first, r["shard"], side="right") - 1] += r["part"]
 
     def finish_words(part: int, words: np.ndarray, seen: np.ndarray) -> dict:
         _save(f"{folder}/model/word-{part:05d}.npy", words.astype(np.int64))
@@ -339,7 +402,7 @@ def train(docs: DataFrame) -> Model:
     classes = total(lower)
     low = _discounts(classes)
     rest = (low[0] * classes[0] + low[1] * classes[1] + low[2] * sum(r["more"] for r in lower)) / bigrams if bigrams else 1.0
-    return Model(vocabulary, f"{folder}/model", shards, ranges, _discounts(total(told)), low, float(rest), bigrams)
+    return Model(vocabulary, f"{folder}/model", dealt, totals, ranges, _discounts(total(told)), low, float(rest), bigrams)
 
 
 def scored(df: DataFrame, model: Model) -> DataFrame:

@@ -128,8 +128,9 @@ def test_language_model(spark):
     assert len(rows(lm_scoring.lm_report(table(spark)))) == len(documents())
 
 
-def test_language_model_in_shards(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SHARD", 500)
+@pytest.mark.parametrize("size", [500, 40])
+def test_language_model_in_shards(spark, monkeypatch, size):
+    monkeypatch.setattr(lm_scoring, "SHARD", size)
     docs = [(d, t) for d, t in documents()[:22]]
     assert np.allclose([r[6] for r in rows(lm_scoring.lm_report(table(spark, docs)))], [r[6] for r in ordered(brute.lm(docs))])
 
