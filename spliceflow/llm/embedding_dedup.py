@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, written
+from .common import in_arrow, joined_with_hot_keys, written
 from .components import components
 
 LEAST_COSINE = 0.93
@@ -93,8 +93,9 @@ def _lists(described: DataFrame, nearest: int) -> DataFrame:
     described = described.withColumn("dims", F.size("v")).withColumn("posted", F.slice(F.array_sort(F.array_distinct("near")), 1, nearest - SHARED + 1))
     key = ["label", "dims", "pivot"]
     rows = described.withColumn("pivot", F.explode("posted"))
-    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rows = rows.withColumn("list", F.struct(*key))
+    sizes = written(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("places")).where("places > 1"))
+    rows = joined_with_hot_keys(rows, sizes, "list", F.xxhash64("cls"), BLOCK).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own, other = F.col("own"), F.col("other")
     return rows.select(*key, F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own <= other).alias("left"), (own >= other).alias("right"), "cls", "weight", "v", "near", "posted")
