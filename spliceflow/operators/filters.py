@@ -1,11 +1,13 @@
 """Butterworth filters: design in closed form, zero-phase filtering of whole streams, block-wise filtering with state.
 
-An infinite response has no finite halo, so a stream is filtered by one task, in order; streams and channels run in
-parallel. Long streams are filtered in pieces with overlap: the response has died down after `settle` samples.
+Long streams are filtered in pieces with overlap: an infinite response has no finite halo, but it has died down below
+rounding after as many samples as the largest pole says.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,8 +105,19 @@ def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return run_sections(sos, y[::-1], start * y[-1])[0][::-1][pad:-pad]
 
 
-def filtered(signal: DataFrame, sos: np.ndarray, channel: str | None = None, piece: int = 1 << 20, settle: int = 1 << 14) -> DataFrame:
-    """stream_id, (channel,) idx, x after zero-phase filtering, in pieces of `piece` samples with `settle` more around."""
+def settling(sos: np.ndarray, left: float = 1e-15) -> int:
+    """Samples after which the response to what came before is `left` of itself, with a margin for close poles."""
+    radius = max(float(np.abs(np.roots(section[3:])).max()) for section in sos)
+    return 64 + (math.ceil(1.5 * math.log(left) / math.log(radius)) if radius > 0 else 0)
+
+
+def filtered(signal: DataFrame, sos: np.ndarray, channel: str | None = None, piece: int | None = None, settle: int | None = None) -> DataFrame:
+    """stream_id, (channel,) idx, x after zero-phase filtering, in pieces of `piece` samples with `settle` more around.
+
+    By default, settle follows the filter, and a piece is at least four times as long.
+    """
+    settle = settle or settling(sos)
+    piece = piece or max(1 << 20, 4 * settle)
     keys = ["stream_id", *([channel] if channel else [])]
     own = F.floor(F.col("idx") / piece)
     at = F.col("idx") - own * piece

@@ -69,6 +69,14 @@ def test_filtering_in_pieces(spark):
     assert filters.zero_phase(sos, np.ones(5)).tolist() == [1.0] * 5
 
 
+def test_response_has_died_down_after_settling():
+    for order, cutoff, kind in [(4, (80.0, 12000.0), "band"), (4, 1.0, "low"), (5, 3000.0, "low"), (4, 1.0, "high")]:
+        sos = filters.butterworth(order, cutoff, 44100, kind)
+        n = filters.settling(sos)
+        x = np.random.default_rng(1).normal(size=3 * n + 2000)
+        assert np.allclose(filters.zero_phase(sos, x)[n // 2 + n :], filters.zero_phase(sos, x[n // 2 :])[n:], rtol=0, atol=1e-9)
+
+
 def test_windows_over_chunks_are_exact(spark):
     s = stream(spark, np.abs(NOISE))
     for method in ("CA", "OS", "SO"):
