@@ -8,8 +8,9 @@ seed stands once in the corpus are unique.
 2. Documents send the windows of those seeds to the seed, packed as the runs in which they stand. There each window
    meets its equals and learns its first source (document, start). Seeds with very many places are dealt out by hash and
    their windows are counted with map-side combining, then joined.
-3. Where neighbouring edges have sources that advance in step, the path between them doesn't branch: it is compacted to
-   one span (start, words, source, source start).
+3. Runs meet at the nodes between them (K - 1 words at a coordinate). Where a node is left as often as it is reached, by
+   runs whose sources advance in step, the path doesn't branch: the node goes, and each path becomes one span (start,
+   words, source, source start). Both sides of that join share one exchange, as a grouping by node.
 4. Both ends of each span are read again at their coordinates, and spans whose words differ are given up.
 """
 
@@ -130,21 +131,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (uid, start)] + [pa.array(length)] + [pa.array(x[at]) for x in (src, src_start)], names=["uid", "start", "n", "src", "src_start"])
 
 
-def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of each document -> spans of words, neighbouring runs with sources in step made one."""
-    for batch in batches:
-        runs = batch.column("runs")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
-        start, n, src, src_start = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
-        order = np.lexsort((start, row))
-        row, start, n, src, src_start = row[order], start[order], n[order], src[order], src_start[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + n[:-1]) | (src[1:] != src[:-1]) | (start[1:] - src_start[1:] != start[:-1] - src_start[:-1])
-        at = np.flatnonzero(new)
-        end = np.maximum.reduceat(start + n, at) if len(at) else at
-        spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start[at], end - start[at] + K - 1, src[at], src_start[at])], names=["start", "n", "src", "src_start"])
-        offsets = np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["uid", "spans"])
+def _compacted(runs: DataFrame) -> DataFrame:
+    """Runs of edges -> uid, spans: the words of nonbranching paths.
+
+    A run reaches from one node (K - 1 words at a coordinate) to another. Runs of one document that take the same step
+    ahead to the same source meet at their nodes: a node that is left as often as it is reached lies inside a path, which
+    doesn't branch there, and is compacted away. What stays are the first and the last nodes of paths, in turn. Repeated
+    rows of a document leave and reach nodes equally often, so they change nothing.
+    """
+    ends = F.array(F.struct(F.col("start").alias("place"), F.lit(1).alias("way")), F.struct((F.col("start") + F.col("n")).alias("place"), F.lit(-1).alias("way")))
+    # one exchange by document serves both groupings
+    halves = runs.repartition("uid").select("uid", "src", (F.col("src_start") - F.col("start")).alias("ahead"), F.inline(ends))
+    nodes = halves.groupBy("uid", "src", "ahead", "place").agg(F.sum("way").alias("degree")).where("degree <> 0")
+    per_doc = nodes.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("src", "ahead", "place"))).alias("ends"))
+    path = "'start', ends[2 * i].place, 'n', ends[2 * i + 1].place - ends[2 * i].place + words, 'src', ends[2 * i].src, 'src_start', ends[2 * i].place + ends[2 * i].ahead"
+    spans = F.expr(f"transform(sequence(0, cast(size(ends) / 2 as int) - 1), i -> named_struct({path}))")
+    return per_doc.withColumn("words", F.lit(K - 1).cast("long")).select("uid", spans.alias("spans"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -165,8 +167,7 @@ def spans(docs: DataFrame) -> DataFrame:
         firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
         later = hot.withColumn("salt", F.pmod(F.col("uid"), F.lit(COPIES)).cast("int")).join(firsts, ["h", "salt"]).where("uid <> f.uid or p <> f.p").select("uid", F.col("p").alias("start"), F.lit(1).cast("long").alias("n"), F.col("f.uid").alias("src"), F.col("f.p").alias("src_start"))
         runs = runs.unionByName(later)
-    per_doc = runs.groupBy("uid").agg(F.collect_list(F.struct("start", "n", "src", "src_start")).alias("runs"))
-    return in_arrow(per_doc, _compacted, "uid long, spans array<struct<start:long,n:long,src:long,src_start:long>>")
+    return _compacted(runs)
 
 
 def _cut(words: list[bytes], found: list[dict]) -> list[bytes]:

@@ -476,6 +476,20 @@ def test_stages_on_empty_tables(spark, tmp_path):
     assert license_scans.license_report(docs).count() == 0
 
 
+def test_compaction_of_paths(spark):
+    runs = [
+        (1, 0, 3, 9, 10), (1, 3, 2, 9, 13),  # in step: one path
+        (1, 5, 1, 9, 40),  # the source jumps
+        (1, 6, 4, 8, 41),  # another source
+        (1, 20, 2, 9, 30),  # a gap, at the step of the first path
+        (2, 7, 1, 1, 0), (2, 7, 1, 1, 0), (2, 8, 5, 1, 1), (2, 8, 5, 1, 1),  # a repeated row
+    ]
+    df = spark.createDataFrame(runs, f"uid long, {substring_dedup._SPAN}").repartition(5)
+    got = {r.uid: sorted(map(tuple, r.spans)) for r in substring_dedup._compacted(df).collect()}
+    more = substring_dedup.K - 1
+    assert got == {1: [(0, 5 + more, 9, 10), (5, 1 + more, 9, 40), (6, 4 + more, 8, 41), (20, 2 + more, 9, 30)], 2: [(7, 6 + more, 1, 0)]}
+
+
 def test_null_ids_in_substring_dedup(spark):
     passage = " ".join(f"p{i}" for i in range(30))
     got = {(r.doc_id, r.n_removed) for r in substring_dedup.without_repeats(table(spark, [(None, passage), (1, passage), (None, None)])).collect()}
