@@ -3,8 +3,8 @@
 Every n-gram is filed under one of its words, its anchor: the word that the fewest n-grams share. Documents are scanned
 word by word against the broadcast table; at an anchor, the window that the n-gram would take is cut out, hashed, and a
 hit is verified word by word. So each window of a document that is a test n-gram is found, and windows without an
-anchor, nearly all, cost one probe. What is broadcast at once has at most MAX_NGRAMS rows: the n-grams are counted, and
-a larger benchmark is probed in several passes, each with its share of them.
+anchor, nearly all, cost one probe. What is broadcast at once has about MAX_NGRAMS rows and MAX_BYTES bytes: the n-grams
+are counted, and a larger benchmark is probed in several passes, each with its share of them.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 N = 10
-MAX_NGRAMS = 1_000_000
+#: What one pass broadcasts: n-grams, and bytes of them and of their items.
+MAX_NGRAMS, MAX_BYTES = 1_000_000, 256 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[\p{Alnum}\P{ASCII}]+"  # digits, letters and all beyond ASCII; A-Z not yet lowered
 
@@ -52,8 +55,9 @@ def ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """Per document with a hit (key: see keyed): hit_spans as sorted, merged struct(s, e) of word positions, and items."""
     table = ngrams(benchmark, n)
-    table = table.select(F.lower("anchor").alias("key"), "back", "size", "gram", "gram_hash", "items").cache()
-    passes = max(1, -(-table.count() // MAX_NGRAMS))
+    table = written(table.select(F.lower("anchor").alias("key"), "back", "size", "gram", "gram_hash", "items"))
+    size = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("gram") + 8 * F.size("items") + 64), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["rows"] // MAX_NGRAMS), -(-size["bytes"] // MAX_BYTES))
     # lower() may merge more than A-Z does; that only adds candidates, which the verification drops
     at = docs.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", "w", F.posexplode("w").alias("p", "word"))
     parts = [table if passes == 1 else table.where(F.pmod(F.xxhash64("gram", F.lit(1)), F.lit(passes)) == i) for i in range(passes)]
@@ -83,8 +87,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """All of docs (with text_hash) and hit_spans, items: null for documents without a hit. Null ids match null ids."""
-    found = hits(docs, benchmark, n).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    """All of docs (with text_hash) and hit_spans, items: null for documents without a hit. Null ids match null ids.
+
+    Hits are few and written first, so that Spark knows their size: where it is small, documents stay where they are.
+    """
+    found = written(hits(docs, benchmark, n)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["text_hash"] == F.col("__hash")), "left").drop("__id", "__hash")
 
 
@@ -95,7 +102,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     slim = keyed(docs.select("doc_id", "text"))
     counted = slim.select("doc_id", "text_hash", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    found = hits(slim, benchmark).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    found = written(hits(slim, benchmark)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     joined = counted.join(found, counted["doc_id"].eqNullSafe(F.col("__id")) & (counted["text_hash"] == F.col("__hash")), "left")
     n_hit = F.coalesce(F.aggregate("hit_spans", F.lit(0), lambda a, x: a + x["e"] - x["s"]), F.lit(0)).cast("long")
     ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))
@@ -109,7 +116,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
     and clean documents stay as they are.
     """
     cols = docs.columns
-    found = matched(keyed(docs.select(F.struct(*cols).alias("__row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))), benchmark, n)
+    found = matched(keyed(docs.select("doc_id", "text", F.struct(*[c for c in cols if c != "text"]).alias("__row"))), benchmark, n)
     w = words(F.col("text"))
     n_hit = F.aggregate("hit_spans", F.lit(0), lambda a, x: a + x["e"] - x["s"])
     gaps = F.split(F.col("text"), WORD, -1)
