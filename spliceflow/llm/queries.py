@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, license_scans, lm_scoring, near_dedup, packing, pii, secret_scans, substring_dedup, toxicity
+from . import decontamination, embedding_dedup, fill_in_middle, filter_audit, license_scans, lm_scoring, near_dedup, packing, pii, secret_scans, substring_dedup, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_report(_table(spark, sf_dir, "pages"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_secret_scans, op2_substring_dedup, op3_benchmark_decontamination, op4_lm_scoring, op5_toxicity, op6_pii, op7_license_scans, op8_packing, op9_embedding_near_dedup, op10_near_dedup]
+    found += [op11_url_filters, op12_fill_in_middle, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_url_filters": url_filters.ORACLE_SQL, "op12_fill_in_middle": fill_in_middle.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
