@@ -77,11 +77,10 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     count = lambda s, has: F.coalesce(F.sum(F.when((F.col("fails") == s) & has, F.col("n"))), F.lit(0))
     sets = rows.groupBy("part").agg(*[count(s, has).alias(f"{kind}_{s}") for kind, has in kinds.items() for s in range(32)])
     sets = sets.select("part", *[F.array(*[f"{kind}_{s}" for s in range(32)]).alias(kind) for kind in kinds])
-    bit = {f: 1 << i for i, f in enumerate(FILTERS)}
     removed = lambda of, f, before: _sum_where(F.col(of), lambda s: (s.bitwiseAND(f) != 0) & (s.bitwiseAND(before) == 0))
-    steps = [(order, i + 1, bit[f], sum(bit[x] for x in order[:i])) for order in ORDERS for i, f in enumerate(order)]
-    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("filter_order", "step", "f", "before"), s)]) for s in steps])
-    each = sets.withColumn("x", F.explode(steps)).select("*", "x.*")
+    bits = lambda letters: F.aggregate(F.filter(F.split(letters, ""), lambda x: x != ""), F.lit(0), lambda acc, x: acc + F.pow(F.lit(2), F.ascii(x) - ord("A")).cast("int"))
+    each = sets.select("*", F.explode(F.lit(ORDERS)).alias("filter_order")).select("*", F.explode(F.lit([1, 2, 3, 4, 5])).alias("step"))
+    each = each.withColumns({"f": bits(F.substring("filter_order", F.col("step"), F.lit(1))), "before": bits(F.substring("filter_order", F.lit(1), F.col("step") - 1))})
     f, before = F.col("f"), F.col("before")
     # of the filters that a document fails, each goes first in an equal share of the orders
     shares = F.transform("all", lambda n, s: F.when(s.bitwiseAND(f) != 0, n * (F.lit(len(ORDERS)) / F.bit_count(s)).cast("long")).otherwise(0))
