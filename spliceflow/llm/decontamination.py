@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .secret_scans import let, scanned
 
 N = 10
 #: What one pass broadcasts: n-grams, and bytes of them and of their items.
@@ -70,15 +71,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted spans with those that overlap or touch made one."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    """Sorted spans with those that overlap or touch made one: a span begins anew where it starts beyond all ends so far."""
+    span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), joined).otherwise(F.array_append(acc, x))
+    def joined(all_: Column) -> Column:
+        reach = scanned(F.transform(all_, lambda x: x["e"]), F.lit(-1), lambda a, e: F.greatest(a, e))
+        first = F.filter(F.zip_with(all_, reach, lambda x, r: F.struct(x["s"].alias("s"), r.alias("r"))), lambda x: x["s"] > x["r"])
+        # a span ends where the ends had come to when the next one begins
+        ends = lambda f: F.array_append(F.slice(F.transform(f, lambda x: x["r"]), 2, F.greatest(F.size(f) - 1, F.lit(0))), F.array_max(F.transform(all_, lambda x: x["e"])))
+        return let(first, lambda f: F.zip_with(f, ends(f), lambda x, e: span(x["s"], e)))
 
-    return F.aggregate(spans, none, step)
+    return let(spans, joined)
+
+
+def _between(spans: Column, n: Column) -> Column:
+    """What merged spans leave of 0 to n, as struct(s, e)."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["e"]))
+    return F.zip_with(starts, F.array_append(F.transform(spans, lambda x: x["s"]), n), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -98,7 +107,8 @@ def matched(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: its words, the words inside a test n-gram, the items hit and a digest of their ids.
 
-    Null and empty texts have no words; an empty benchmark hits nothing; equal rows get equal results.
+    Null and empty texts have no words; an empty benchmark hits nothing; equal rows get equal results. Other columns play
+    no part. A text's words are met one by one, so its length adds to time only in proportion.
     """
     slim = keyed(docs.select("doc_id", "text"))
     counted = slim.select("doc_id", "text_hash", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
@@ -112,8 +122,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.8, n: int = N) -> DataFrame:
     """docs without test n-grams: words inside a hit go, and a document goes of which at least drop_share would.
 
-    What stands between removed words (blanks, marks) goes with them; n_chars, where there is one, is set anew. Columns
-    and clean documents stay as they are.
+    What stands between removed words (blanks, marks) goes with them; n_chars, where there is one, is set anew. Columns,
+    whatever their names, and clean documents stay as they are. Null and empty texts stay, a null doc_id is an id of its
+    own, equal rows get equal results; an empty benchmark removes nothing. Time grows with a text's length and with the
+    number of its hits in proportion.
     """
     cols = docs.columns
     found = matched(keyed(docs.select("doc_id", "text", F.struct(*[c for c in cols if c != "text"]).alias("__row"))), benchmark, n)
@@ -122,7 +134,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, drop_share: floa
     gaps = F.split(F.col("text"), WORD, -1)
     # each word with what follows it; both arrays are made once, not once for each word
     pieces = F.zip_with(w, F.slice(gaps, 2, 1 << 30), lambda word, after: F.concat(word, after))
-    keep = F.filter(pieces, lambda _, i: ~F.exists("hit_spans", lambda x: (x["s"] <= i) & (i < x["e"])))
+    keep = let(pieces, lambda p: F.flatten(F.transform(_between(F.col("hit_spans"), F.size(p)), lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))))
     kept = F.concat(F.get(gaps, F.lit(0)), F.array_join(keep, ""))
     found = found.where(F.col("hit_spans").isNull() | (n_hit < drop_share * F.size(w)))
     text = F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(kept)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import math
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +33,49 @@ ALLOW = (
 )
 
 
+#: Elements that one fold appends to; a scan goes over blocks of so many.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element, op folded over all elements before it, from zero.
+
+    A fold that appends copies its array at each step, so it goes over blocks: first over each block's own fold, then
+    within the blocks from what lies before them. Time grows nearly in proportion with the array.
+    """
+
+    def running(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.array(start), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)), lambda acc: F.slice(acc, 1, F.size(block)))
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    starts = lambda bs: running(F.transform(bs, lambda block: F.aggregate(block, zero, op)), zero)
+    each = lambda bs: let(starts(bs), lambda st: F.flatten(F.zip_with(bs, st, running)))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), each)).otherwise(F.slice(v, 1, 0)))
+
+
 def _spans(text: Column, pattern: str, may: Column) -> Column:
     """Matches as array<struct<s, e, m>> in code points, from what lies between them. may: false where no match is possible."""
-    none = F.array().cast("array<string>")
-    found = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    between = F.when(may, F.split(text, pattern, -1)).otherwise(none)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
+    steps = lambda p: F.transform(p, lambda x: x["gap"] + F.length(x["m"]))
+    placed = lambda p: F.zip_with(p, scanned(steps(p), F.lit(0), lambda a, n: a + n), lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))
+    # split gives one string more than there are matches
+    return F.when(may, let(F.filter(pairs, lambda x: x["m"].isNotNull()), placed)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _outside(runs: Column, base: Column) -> Column:
+    """The runs that no base span holds: as they come from the left, those that reach beyond all base spans begun so far."""
+    none = F.lit("")
+    events = F.concat(F.transform(base, lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("run"), b["e"].alias("e"), none.alias("m"))), F.transform(runs, lambda r: F.struct(r["s"].alias("s"), F.lit(1).alias("run"), r["e"].alias("e"), r["m"].alias("m"))))
+    reach = lambda ev: scanned(F.transform(ev, lambda x: F.when(x["run"] == 0, x["e"]).otherwise(0)), F.lit(0), lambda a, e: F.greatest(a, e))
+    marked = lambda ev: F.zip_with(ev, reach(ev), lambda x, r: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), ((x["run"] == 1) & (r < x["e"])).alias("free")))
+    left = let(F.array_sort(events), lambda ev: F.transform(F.filter(marked(ev), lambda x: x["free"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))))
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), left).otherwise(runs)
 
 
 def _least_sums(chars: Column) -> Column:
@@ -88,7 +118,7 @@ def window_entropy(chars: Column) -> Column:
 def _is_secret(m: Column) -> Column:
     chars = F.transform(F.split(m, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     # one element, so that the fold is written once
-    sums = F.array(_least_sums(chars))
+    sums = F.array(let(chars, _least_sums))
     random = F.exists(sums, lambda x: functools.reduce(operator.or_, (_entropy(x[k]) >= bits for k, _, bits in CLASSES)))
     allowed = F.lit(False)
     for pattern in ALLOW:
@@ -101,7 +131,8 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """Add `base` and `added`: arrays of struct(s, kind, e) with kind a position in KINDS, code points, end exclusive.
 
     Null text is empty text and has no spans. Every row is judged alone, so repeated rows get equal spans; other columns
-    stay. A string of the entropy kind is left out where a base span holds it.
+    stay. A string of the entropy kind is left out where a base span holds it. Time and memory grow with a text's length,
+    and with the number of its spans, in proportion; an empty table gives no rows. Columns base and added are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     run = "[A-Za-z0-9+/_=-]"
@@ -118,9 +149,9 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
     }
     as_kind = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), x["e"].alias("e")))
     df = df.withColumn("base", F.array_sort(F.concat(*[as_kind(v, k) for k, v in kept.items()])))
-    free = F.filter("__run", lambda x: ~F.exists("base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    df = df.withColumn("added", as_kind(F.filter(free, lambda x: _is_secret(x["m"])), "entropy"))
-    return df.drop("__assign", "__access", "__hex", "__run")
+    df = df.withColumn("__free", _outside(F.col("__run"), F.col("base")))
+    df = df.withColumn("added", as_kind(F.filter("__free", lambda x: _is_secret(x["m"])), "entropy"))
+    return df.drop("__assign", "__access", "__hex", "__run", "__free")
 
 
 def spans_text(spans: Column) -> Column:
@@ -130,7 +161,10 @@ def spans_text(spans: Column) -> Column:
 
 
 def secret_report(df: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, a digest of the base spans, and all spans as text."""
+    """One row per document: counts of the base kinds, a digest of the base spans, and all spans as text.
+
+    Only doc_id (null too) and text are looked at. Equal rows give equal rows; all else is as in secret_spans.
+    """
     found = secret_spans(df.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select(

@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from itertools import permutations
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spliceflow.llm import fill_in_middle, filter_audit, url_filters
+from spliceflow.llm import decontamination, fill_in_middle, filter_audit, secret_scans, url_filters
+
+from . import brute
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PAGES = "page_id long, url string, html string, rule string, host string, address string, row string, token string, judgement string"
@@ -206,3 +209,48 @@ def test_sql_of_new_operators(spark, tmp_path, module):
     exp = con.execute(module.ORACLE_SQL)
     names = [c[0] for c in exp.description]
     assert rows(df.select(*names)) == ordered(map(tuple, exp.fetchall()))
+
+
+def seconds(df):
+    began = time.perf_counter()
+    return df.collect(), time.perf_counter() - began
+
+
+@pytest.mark.parametrize("what", ["secrets", "entropy", "contamination"])
+def test_many_spans_in_one_text(spark, what):
+    """Through Spark: a text of 5 MB full of spans takes far less than the square of the time of a short one."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    unit = {"secrets": "token=abcdefgh1 ", "entropy": "api_key=q7Rk2Zp9Xw4Lm8Tb3Vn6 q7Rk2Zp9Xw4Lm8Tb3Vn6 ", "contamination": "one two three four five six seven eight nine ten pad word and this stays "}[what]
+    run = {"secrets": secret_scans.secret_report, "entropy": secret_scans.secret_report, "contamination": lambda df: decontamination.remove_contamination(df, bench, drop_share=2.0)}[what]
+    size = 250_000 if what == "entropy" else 5_000_000
+    table = lambda n: spark.createDataFrame([(1, n)], "doc_id long, n long").select("doc_id", F.expr(f"repeat('{unit}', n)").alias("text"))
+    short, long = (size // 50 // len(unit), size // len(unit))
+    seconds(run(table(2)))
+    _, few = seconds(run(table(short)))
+    got, many = seconds(run(table(long)))
+    assert many < 120 * few and many < 100
+    if what == "secrets":
+        assert got[0].n_assign == long and got[0].spans.endswith(f",assign:{16 * long - 16}:{16 * long - 1}")
+    elif what == "entropy":
+        one, n = len(unit), min(3, long)
+        assert got[0].spans.split(",")[: 2 * n] == [x for i in range(n) for x in (f"assign:{one * i}:{one * i + 28}", f"entropy:{one * i + 29}:{one * i + 49}")]
+    else:
+        assert got[0].text == "pad word and this stays " * long
+
+
+def test_scan_over_blocks(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 127, 128, 129, 1000):
+        values = [rng.randrange(100) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = df.select(secret_scans.scanned(F.col("v"), F.lit(0), lambda a, b: a + b), secret_scans.scanned(F.col("v"), F.lit(-1), F.greatest)).first()
+        assert sums == [sum(values[:i]) for i in range(n)] and tops == [max(values[:i], default=-1) for i in range(n)]
+
+
+def test_merging_and_removing_spans(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(60))) for i in range(60)]
+    bench = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(3))) for i in range(4)]
+    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert rows(decontamination.contamination_report(*given)) == ordered(brute.contamination(docs, bench))
+    assert rows(decontamination.remove_contamination(*given)) == ordered(brute.decontaminated(docs, bench))
