@@ -17,22 +17,30 @@ FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 #: Fewest words, least percent of distinct words, most percent of A-Z, and characters of markup.
 WORDS, DISTINCT, CAPITALS, MARKUP = 200, 50, 3, "[#$%&*|]"
+#: A word, and what names a document: its id and a hash of its text, as ids may be null or stand for several texts.
 WORD = r"[^\x20\x09-\x0D]++"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEY = ["doc_id", "h"]
+#: Characters of a text whose words one task counts.
+SHARE = 1_000_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, h, text): n_words and n_distinct by (doc_id, h). Rows of one key have one text and count once.
 
-    A null word marks each row, so that documents without words stay and repeated rows can be told by their marks. Both
-    groupings begin in the tasks that read the texts; the first is dealt by word as well, so no text is too long for it.
+    A null word marks each row, so that documents without words stay and repeated rows can be told by their marks. Words
+    are dealt out by document, where they lie next to each other and compress well; those of a text longer than SHARE
+    characters are dealt out by word too, into a share for each SHARE characters, so that no text is too long for a task.
     """
-    found = F.array_append(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), F.lit(None).cast("string"))
-    each = docs.select(*KEY, F.explode(found).alias("word")).groupBy(*KEY, "word").agg(F.count("*").alias("places"))
+    text = F.coalesce("text", F.lit(""))
+    found = F.array_append(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(None).cast("string"))
+    each = docs.select(*KEY, F.floor(F.length(text) / SHARE).alias("shares"), F.explode(found).alias("word"))
+    share = F.when(F.col("shares") > 0, F.pmod(F.xxhash64("word"), F.col("shares") + 1)).otherwise(0)
+    dealt = each.select(*KEY, "word", share.alias("share")).repartition(*KEY, "share")
+    places = dealt.groupBy(*KEY, "share", "word").agg(F.count("*").alias("places"))
     mark = F.col("word").isNull()
     rows = F.sum(F.when(mark, F.col("places")))
-    return each.groupBy(*KEY).agg((F.coalesce(F.sum(F.when(~mark, F.col("places"))), F.lit(0)) / rows).cast("long").alias("n_words"), F.count("word").alias("n_distinct"))
+    return places.groupBy(*KEY).agg((F.coalesce(F.sum(F.when(~mark, F.col("places"))), F.lit(0)) / rows).cast("long").alias("n_words"), F.count("word").alias("n_distinct"))
 
 
 def failures(docs: DataFrame) -> DataFrame:
