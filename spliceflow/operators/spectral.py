@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceflow.functions.signal import rms, zero_crossings
-from spliceflow.helpers import interval_join, last_before
+from spliceflow.helpers import cut, interval_join, last_before, near, running_sum
+from spliceflow.operators import fourier
 from spliceflow.operators.frames import taper
 
 #: Share of the energy below the roll-off frequency; borders of the four bands in Hz.
 ROLLOFF, BANDS = 0.85, (1000.0, 3000.0, 6000.0)
+#: Samples of a segment that are put into one row.
+LONGEST = 1 << 18
 _COLUMNS = ("centroid", "centroid_magnitude", "rolloff", "bandwidth", "flatness")
 
 
@@ -90,13 +93,15 @@ def frame_features(frames: DataFrame, rate: float, hop: int, min_amplitude: floa
     return out.withColumn("t", F.col("frame_id") * hop / F.lit(float(rate)))
 
 
-def segment_features(signal: DataFrame, segs: DataFrame, rate: float, quiet: float = 0.0, least: int = 10) -> DataFrame:
+def segment_features(signal: DataFrame, segs: DataFrame, rate: float, quiet: float = 0.0, least: int = 10, longest: int = LONGEST) -> DataFrame:
     """stream_id, seg_id, centroid, rms, rolloff, zcr, power_std, bandwidth of each segment (seg_id, i0, i1).
 
     The spectrum is that of the whole tapered segment. Segments of fewer than `least` samples, or of an rms below `quiet`,
-    have zeros.
+    have zeros. Segments of more than `longest` samples are never put into one row: see long_segment_features.
     """
-    inside = interval_join(signal, segs.select("stream_id", "seg_id", "i0", "i1"), 4096)
+    segs = segs.select("stream_id", "seg_id", "i0", "i1")
+    short = F.col("i1") - F.col("i0") <= longest
+    inside = interval_join(signal, segs.where(short), 4096)
     packed = inside.groupBy("stream_id", "seg_id").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s")).select("stream_id", "seg_id", F.col("s.x").alias("samples"))
     packed = packed.withColumn("rms", rms(F.col("samples"))).where((F.size("samples") >= least) & (F.col("rms") >= quiet))
     out = with_spectrum(packed, rate)
@@ -104,9 +109,34 @@ def segment_features(signal: DataFrame, segs: DataFrame, rate: float, quiet: flo
     mean = F.aggregate(power, F.lit(0.0), lambda a, v: a + v) / F.size("spectrum")
     power_std = F.sqrt(F.aggregate(power, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size("spectrum"))
     out = out.select("stream_id", "seg_id", "centroid", "rms", "rolloff", zero_crossings(F.col("samples")).alias("zcr"), power_std.alias("power_std"), "bandwidth")
+    if not segs.where(~short).isEmpty():
+        out = out.unionByName(long_segment_features(signal, segs.where(~short), rate, quiet, least))
     return segs.select("stream_id", "seg_id").join(out, ["stream_id", "seg_id"], "left").na.fill(0.0)
 
 
+def long_segment_features(signal: DataFrame, segs: DataFrame, rate: float, quiet: float = 0.0, least: int = 10, local: int = fourier.LOCAL) -> DataFrame:
+    """As segment_features, for segments of any length: a row for each sample and for each bin of the transform, and sums over these."""
+    name = F.to_json(F.struct("stream_id", "seg_id"))
+    inside = interval_join(signal, segs.select("stream_id", "seg_id", "i0", "i1"), 4096)
+    rows = cut(inside.select("stream_id", "seg_id", name.alias("seg"), (F.col("idx") - F.col("i0")).alias("idx"), F.col("x").cast("double").alias("x")))
+    level = rows.groupBy("stream_id", "seg_id", "seg").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms")).where((F.col("n") >= least) & (F.col("rms") >= quiet))
+    level = cut(level)
+    rows = rows.join(level.select("seg", "n"), "seg").select(F.col("seg").alias("stream_id"), "idx", "x", "n")
+    crossed = near(rows, 1, 0, {"d": lambda w: F.abs(F.signum("x") - F.lag(F.signum("x")).over(w))}).groupBy("stream_id").agg((F.coalesce(F.sum("d"), F.lit(0.0)) / (2 * F.max("n"))).alias("zcr"))
+    tapered = rows.withColumn("x", F.col("x") * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("idx") / (F.col("n") - 1))))
+    bins = fourier.transform(tapered.select("stream_id", "idx", "x"), local)
+    bins = cut(bins.select("stream_id", F.col("k").alias("idx"), (F.col("k") * rate / F.col("n")).alias("hz"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("p")))
+    total = bins.groupBy("stream_id").agg(F.sum("p").alias("all"), F.sum(F.col("hz") * F.col("p")).alias("moment"), F.stddev_pop("p").alias("power_std"))
+    total = cut(total.withColumn("centroid", F.when(F.col("all") > 1e-10, F.col("moment") / F.col("all")).otherwise(0.0)))
+    upto = running_sum(bins, F.col("p"), "upto").join(total.select("stream_id", "all", "centroid"), "stream_id")
+    spread = upto.groupBy("stream_id").agg(
+        F.min(F.when(F.col("upto") >= ROLLOFF * F.col("all"), F.col("hz"))).alias("rolloff"), F.sqrt(F.sum((F.col("hz") - F.col("centroid")) ** 2 * F.col("p")) / F.max("all")).alias("bandwidth")
+    )
+    out = level.join(total, level["seg"] == total["stream_id"]).drop(total["stream_id"]).join(spread.withColumnRenamed("stream_id", "seg"), "seg").join(crossed.withColumnRenamed("stream_id", "seg"), "seg")
+    loud = lambda c: F.when(F.col("all") > 1e-10, F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0).alias(c)
+    return out.select("stream_id", "seg_id", "centroid", "rms", loud("rolloff"), "zcr", "power_std", loud("bandwidth"))
+
+
 def block_features(frames: DataFrame, rate: float, window: int, kind: str = "hann") -> DataFrame:
     """stream_id, frame_id, centroid, rms, rolloff, bandwidth of blocks, each filled up with zeros or cut to `window` samples."""
     n = F.size("samples")
@@ -132,19 +162,13 @@ def display_spectrum(frames: DataFrame, rate: float, n: int, upto: float) -> Dat
     return out.withColumn("peak", F.array_max(F.slice("shown", 1, max(1, min(bins, int(upto * bins / (rate / 2)))))))
 
 
-def whole_spectrum(signal: DataFrame, rate: float, low: float, high: float) -> DataFrame:
-    """stream_id, k, hz, magnitude: the transform of each whole stream (N samples) in the bins k * rate / N from low to high.
-
-    Sums of products per bin, combined before they are shuffled: a stream's length doesn't matter to a task, the number of
-    bins asked for does.
-    """
-    n = signal.groupBy("stream_id").agg(F.count("*").alias("n"))
-    top = F.least(F.floor(F.lit(min(high, rate / 2)) * F.col("n") / rate), F.floor(F.col("n") / 2))
-    wanted = n.withColumn("ks", F.when(F.ceil(F.lit(low) * F.col("n") / rate) <= top, F.sequence(F.ceil(F.lit(low) * F.col("n") / rate), top)))
-    rows = signal.join(wanted, "stream_id").select("stream_id", "idx", "x", "n", F.explode("ks").alias("k"))
-    angle = 2 * math.pi * ((F.col("k") * F.col("idx")) % F.col("n")) / F.col("n")
-    sums = rows.groupBy("stream_id", "n", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    return sums.select("stream_id", "k", (F.col("k") * rate / F.col("n")).alias("hz"), F.hypot("re", "im").alias("magnitude"))
+def whole_spectrum(signal: DataFrame, rate: float, low: float = 0.0, high: float = math.inf) -> DataFrame:
+    """stream_id, k, hz, magnitude: the transform of each whole stream (n samples) in the bins k * rate / n from low to high."""
+    k, n = F.col("k"), F.col("n")
+    bins = fourier.transform(signal.select("stream_id", "idx", "x"))
+    if low > 0 or high < rate / 2:
+        bins = bins.where((k >= F.ceil(F.lit(float(low)) * n / rate)) & (k <= F.floor(F.lit(float(min(high, rate / 2))) * n / rate)))
+    return bins.select("stream_id", "k", (k * rate / n).alias("hz"), F.hypot("re", "im").alias("magnitude"))
 
 
 def dft_power(frames: DataFrame, n: int) -> DataFrame:

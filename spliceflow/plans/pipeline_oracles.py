@@ -97,7 +97,7 @@ ORACLES: dict[str, str] = {
     "centroid_eps": sql("frm ex dft spc", f"SELECT stream_id, frame_id, {r6('sum(hz * power) / (sum(power) + 1e-12)', 'centroid')} FROM spc GROUP BY 1, 2"),
     "display_spectrum": f"WITH {_SHOWN} SELECT stream_id, frame_id, {r6('min(v) FILTER (k = 0)', 'shown0')}, {r6('min(v) FILTER (k = 9)', 'shown9')}, {r6('max(v) FILTER (k < 8)', 'peak')} FROM sh GROUP BY 1, 2",
     "whole_spectrum": sql("sig cen len", f"""SELECT stream_id, k, {r6('k * 8000.0 / n', 'hz')}, {r6('sqrt(pow(sum(x * cos(2 * pi() * ((k * idx) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((k * idx) % n) / n)), 2))', 'magnitude')}
-        FROM cen JOIN (SELECT stream_id, n, unnest(range(CAST(ceil(100.0 * n / 8000) AS BIGINT), CAST(floor(200.0 * n / 8000) AS BIGINT) + 1)) AS k FROM len) USING (stream_id) GROUP BY stream_id, k, n"""),
+        FROM cen JOIN (SELECT stream_id, n, unnest(range(0, n // 2 + 1)) AS k FROM len) USING (stream_id) GROUP BY stream_id, k, n"""),
     "removed_head": sql("sig sil0 sil", "SELECT * FROM sil ORDER BY stream_id, i0 LIMIT 10"),
     "raw_samples": sql("feat", "SELECT stream_id, idx * 2 + channel AS idx, CAST(trunc(least(greatest(CASE channel WHEN 0 THEN zcr ELSE centroid * 10 END, -32768.0), 32767.0)) AS INTEGER) AS x FROM feat, (VALUES (0), (1)) v(channel)"),
     "stereo_copy": sql("sig", "SELECT stream_id, idx, round(x, 6) AS left, round(x, 6) AS right FROM sig").replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'),

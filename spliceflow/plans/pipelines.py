@@ -252,7 +252,7 @@ def display_spectrum(spark, sf_dir):
 
 @query
 def whole_spectrum(spark, sf_dir):
-    return q._rounded(spectral.whole_spectrum(t.centred(spark, sf_dir), q.RATE, 100.0, 200.0), "hz", "magnitude")
+    return q._rounded(spectral.whole_spectrum(cut(t.centred(spark, sf_dir)), q.RATE), "hz", "magnitude")
 
 
 @query
