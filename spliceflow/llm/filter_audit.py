@@ -28,19 +28,17 @@ SHARE = 1_000_000
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, h, text): n_words and n_distinct by (doc_id, h). Rows of one key have one text and count once.
 
-    A null word marks each row, so that documents without words stay and repeated rows can be told by their marks. Words
-    are dealt out by document, where they lie next to each other and compress well; those of a text longer than SHARE
-    characters are dealt out by word too, into a share for each SHARE characters, so that no text is too long for a task.
+    A row's equal words are made one as they are exploded, next to the number of all, and a null word keeps rows without
+    any. So what is dealt out is what (document, word) still has to bring together, dealt by document, where the words lie
+    next to each other and compress well whatever the number of tasks. The words of a text longer than SHARE characters
+    are dealt out by word too, into a share for each SHARE characters, so that no text is too long for a task.
     """
     text = F.coalesce("text", F.lit(""))
-    found = F.array_append(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(None).cast("string"))
-    each = docs.select(*KEY, F.floor(F.length(text) / SHARE).alias("shares"), F.explode(found).alias("word"))
+    found = docs.select(*KEY, F.floor(F.length(text) / SHARE).alias("shares"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    each = found.select(*KEY, F.size("words").cast("long").alias("n_words"), "shares", F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("word"))
     share = F.when(F.col("shares") > 0, F.pmod(F.xxhash64("word"), F.col("shares") + 1)).otherwise(0)
-    dealt = each.select(*KEY, "word", share.alias("share")).repartition(*KEY, "share")
-    places = dealt.groupBy(*KEY, "share", "word").agg(F.count("*").alias("places"))
-    mark = F.col("word").isNull()
-    rows = F.sum(F.when(mark, F.col("places")))
-    return places.groupBy(*KEY).agg((F.coalesce(F.sum(F.when(~mark, F.col("places"))), F.lit(0)) / rows).cast("long").alias("n_words"), F.count("word").alias("n_distinct"))
+    dealt = each.select(*KEY, "n_words", share.alias("share"), "word").repartition(*KEY, "share")
+    return dealt.groupBy(*KEY, "share", "n_words", "word").count().groupBy(*KEY, "n_words").agg(F.count("word").alias("n_distinct"))
 
 
 def failures(docs: DataFrame) -> DataFrame:
