@@ -8,7 +8,10 @@ through one row for each chunk.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,47 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that cut() made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[-1].startswith("cut-"):
+            raise ValueError(f"not a table of cut(): {folder}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def in_order(df: DataFrame, position: str, start: Callable[[], Any], schema: str) -> DataFrame:
+    """Rows of each stream one after the other, through an object that start() makes for the stream.
+
+    For definitions that are sequential: each stream goes to one task, in batches and by what the object holds, so memory
+    doesn't grow with a stream. stream_id is df's first column. The object has next(row) and end(), which give lists of
+    tuples of the schema's columns.
+    """
+    names = [f.name for f in df.schema]
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, types[t]) for v, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, stream = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or row[0] != stream:
+                    out += [] if held is None else held.end()
+                    held, stream = start(), row[0]
+                out += held.next(dict(zip(names, row, strict=True)))
+            if out:
+                yield packed(out)
+        if held is not None and (out := list(held.end())):
+            yield packed(out)
+
+    return df.repartition("stream_id").sortWithinPartitions("stream_id", position).mapInArrow(run, schema)
+
+
 def with_index(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "idx") -> DataFrame:
     """Number rows from 0 by `order` within keys. bucket: a coarse value that grows with the order, such as the day.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceflow.config import Cfar
-from spliceflow.helpers import cut, last_before, near, percentiles
+from spliceflow.helpers import CHUNK, cut, discard, in_order, last_before, near, percentiles
 from spliceflow.operators.normalize import robust_minmax
 
 
@@ -143,33 +146,126 @@ def _near_groups(candidates: DataFrame, gap: float, position: str) -> DataFrame:
     return last_before(prev, F.when(new, F.col("idx")), "__run", inclusive=True).drop("__prev")
 
 
-def earliest_first(candidates: DataFrame, gap: float, position: str = "idx", start: float | None = 0.0) -> DataFrame:
+def _jumps(p: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each sorted place, the first one at least gap on (len(p): none), and the last one that is kept if it is."""
+    # the test itself is p[j] - p[i] >= gap; the search may be off by one where a sum is rounded
+    to = np.maximum(np.searchsorted(p, p + gap), np.arange(1, len(p) + 1))
+    to -= (to > 0) & (p[np.maximum(to - 1, 0)] - p >= gap) & (to - 1 > np.arange(len(p)))
+    short = to < len(p)
+    to[short] += p[to[short]] - p[short] < gap
+    last, jump = np.arange(len(p)), to
+    while (jump < len(p)).any():  # twice as far each time
+        on = jump < len(p)
+        last[on] = last[jump[on]]
+        jump = np.where(on, jump[np.minimum(jump, len(p) - 1)], jump)
+    return to, last
+
+
+class Carried:
+    """The last place kept, from chunk to chunk of a stream."""
+
+    def __init__(self, start: float, gap: float):
+        self.last, self.gap = start, gap
+
+    def next(self, row: dict) -> list[tuple]:
+        out = [(row["stream_id"], row["chunk"], self.last)]
+        # the first place that is far enough from the last one leads to this chunk's last one
+        for reach, end in zip(row["reach"], row["ends"], strict=True):
+            if reach - self.last >= self.gap:
+                self.last = end
+                break
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def earliest_first(candidates: DataFrame, gap: float, position: str = "idx", start: float | None = 0.0, chunk: int = CHUNK) -> DataFrame:
     """Greedy from the left: keep a candidate at least `gap` after the last one kept, `start` counting as kept.
 
-    Only candidates closer than gap to their predecessor depend on it, so each run of such ones is folded alone.
+    Each chunk of idx finds by itself, for each candidate it could begin with, where it would end (chains of jumps soon
+    meet, so there are few different ends). Through one row for each chunk its true beginning is known; then each chunk
+    keeps its own, wherever candidates stand close together.
     """
     candidates = cut(candidates)
-    rows = _near_groups(candidates, gap, position)
-    if start is not None:
-        rows = rows.withColumn("__start", F.lit(float(start)))
-    grouped = rows.groupBy("stream_id", "__run").agg(F.array_sort(F.collect_list(F.struct(F.col(position).cast("double").alias("p"), "idx"))).alias("c"))
-    low = F.lit(float("-inf") if start is None else float(start))
-    zero = F.struct(low.alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda acc, x: F.when(x["p"] - acc["last"] >= gap, F.struct(x["p"].alias("last"), F.array_append(acc["kept"], x["idx"]).alias("kept"))).otherwise(acc)
-    kept = grouped.select("stream_id", F.explode(F.aggregate("c", zero, step, lambda acc: acc["kept"])).alias("idx"))
+    low = float("-inf") if start is None else float(start)
+    rows = candidates.where(f"{position} is not null").select("stream_id", F.floor(F.col("idx") / chunk).alias("chunk"), "idx", F.col(position).cast("double").alias("p"))
+
+    def ends(table: pa.Table) -> pa.Table:
+        p = np.unique(table["p"].to_numpy())
+        last = p[_jumps(p, gap)[1]]
+        # of candidates that lead to the same end, the last one says how far a beginning reaches it
+        own = np.append(last[1:] != last[:-1], True)
+        one = lambda v: pa.array([v.tolist()], pa.list_(pa.float64()))
+        return pa.Table.from_arrays([table["stream_id"][:1], table["chunk"][:1], one(p[own]), one(last[own])], ["stream_id", "chunk", "reach", "ends"])
+
+    found = rows.groupBy("stream_id", "chunk").applyInArrow(ends, "stream_id string, chunk long, reach array<double>, ends array<double>")
+    begins = in_order(found, "chunk", lambda: Carried(low, gap), "stream_id string, chunk long, last double")
+
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("p", "ascending"), ("idx", "ascending")])
+        p = table["p"].to_numpy()
+        to, i, kept = _jumps(p, gap)[0], int(np.argmax(p - table["last"][0].as_py() >= gap)), []
+        while i < len(p) and (kept or p[i] - table["last"][0].as_py() >= gap):
+            kept.append(i)
+            i = int(to[i])
+        return table.select(["stream_id", "idx"]).take(pa.array(kept, pa.int64()))
+
+    kept = rows.join(begins, ["stream_id", "chunk"]).groupBy("stream_id", "chunk").applyInArrow(keep, "stream_id string, idx long")
     return candidates.join(kept, ["stream_id", "idx"], "left_semi")
 
 
-def strongest_first(candidates: DataFrame, gap: float, score: str, position: str = "idx") -> DataFrame:
-    """Greedy by score, the earlier first among equals: keep a candidate at least `gap` from all kept ones."""
+def _decided(p: np.ndarray, score: np.ndarray, state: np.ndarray, mine: np.ndarray, gap: float) -> np.ndarray:
+    """New states (0 open, 1 kept, 2 gone) of the candidates that are mine, as far as these and their surroundings tell.
+
+    By score, the earlier first among equals: near a kept one a candidate goes; near an open one that is stronger it stays
+    open; else it is kept. Kept and open places are held in order, so only the nearest ones on both sides are looked at.
+    """
+    state = state.copy()
+    kept, still = np.sort(p[state == 1]).tolist(), []
+    near = lambda held, x: (i := bisect.bisect_left(held, x)) < len(held) and abs(held[i] - x) < gap or i > 0 and abs(x - held[i - 1]) < gap
+    for i in np.lexsort((p, -score)):
+        if state[i]:
+            continue
+        x = float(p[i])
+        if near(kept, x):
+            state[i] = 2
+        elif not mine[i] or near(still, x):
+            bisect.insort(still, x)
+        else:
+            state[i] = 1
+            bisect.insort(kept, x)
+    return state
+
+
+def strongest_first(candidates: DataFrame, gap: float, score: str, position: str = "idx", chunk: int = CHUNK) -> DataFrame:
+    """Greedy by score, the earlier first among equals: keep a candidate at least `gap` from all kept ones.
+
+    In rounds: each chunk of places, with what stands up to gap beyond its ends, decides what it can, in order of score.
+    Only what depends on an open candidate beyond an end waits for the next round, so there is mostly a second one for
+    the borders; a slope of scores over many chunks takes one for each of them.
+    """
     candidates = cut(candidates)
-    rows = _near_groups(candidates, gap, position)
-    one = F.struct((-F.col(score)).alias("s"), F.col(position).cast("double").alias("p"), "idx")
-    grouped = rows.groupBy("stream_id", "__run").agg(F.array_sort(F.collect_list(one)).alias("c"))
-    zero = F.array().cast("array<struct<p:double,idx:bigint>>")
-    step = lambda acc, x: F.when(F.forall(acc, lambda k: F.abs(x["p"] - k["p"]) >= gap), F.array_append(acc, F.struct(x["p"].alias("p"), x["idx"].alias("idx")))).otherwise(acc)
-    kept = grouped.select("stream_id", F.explode(F.aggregate("c", zero, step)).alias("k")).select("stream_id", "k.idx")
-    return candidates.join(kept, ["stream_id", "idx"], "left_semi")
+    step = float(chunk) if position == "idx" else candidates.select((F.max(position) / F.greatest(F.max("idx"), F.lit(1)) * chunk)).first()[0]
+    width = max(step or 1.0, 2 * gap)
+    rows = cut(candidates.where(f"{position} is not null").select("stream_id", "idx", F.col(position).cast("double").alias("p"), F.col(score).cast("double").alias("s"), F.lit(0).alias("state")))
+
+    def decide(table: pa.Table) -> pa.Table:
+        col = lambda c: table[c].to_numpy()
+        own = col("own") == col("chunk")
+        state = _decided(col("p"), col("s"), col("state"), own, gap)
+        return pa.Table.from_arrays([table["stream_id"], table["idx"], table["p"], table["s"], pa.array(state.astype("int32"))], ["stream_id", "idx", "p", "s", "state"]).filter(pa.array(own & (state < 2)))
+
+    while True:
+        own = F.floor(F.col("p") / width)
+        at = F.col("p") - own * width
+        places = F.array(own, F.when(at < gap, own - 1), F.when(at >= width - gap, own + 1))
+        dealt = rows.withColumn("own", own).withColumn("chunk", F.explode(F.filter(places, lambda x: x.isNotNull())))
+        nxt = cut(dealt.groupBy("stream_id", "chunk").applyInArrow(decide, "stream_id string, idx long, p double, s double, state int"))
+        discard(rows)
+        rows = nxt
+        if rows.where("state = 0").isEmpty():
+            return candidates.join(rows, ["stream_id", "idx"], "left_semi")
 
 
 def consolidated(candidates: DataFrame, window: int, score: str) -> DataFrame:

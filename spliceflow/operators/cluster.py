@@ -1,71 +1,24 @@
 """Clustering the segments of a stream: k-means with given seeds, leader clustering, merging, band classification.
 
-Segments are few where samples are many. Sequential methods fold or group one stream's segments; streams run in parallel.
+K-means runs in rounds over Spark (kmeans). Merging short segments and leader clustering are sequential by definition:
+they pass through a stream's segments in order, in memory that doesn't grow with them; streams run in parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spliceflow.helpers import cut
+from spliceflow.helpers import cut, in_order
+from spliceflow.operators import kmeans
 
 FEATURES = ["centroid", "rms", "rolloff", "zcr", "power_std", "bandwidth"]
 
 
-def _per_stream(df: DataFrame, extra: list[T.StructField], fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    return df.groupBy("stream_id").applyInPandas(lambda p: fn(p.sort_values("seg_id", kind="stable").reset_index(drop=True)), T.StructType([*df.schema.fields, *extra]))
-
-
-def _lloyd(x: np.ndarray, centers: np.ndarray, rounds: int, on_empty: Callable[[], np.ndarray] | None = None) -> np.ndarray:
-    labels = np.zeros(len(x), int)
-    for _ in range(rounds):
-        new = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(2).argmin(1)
-        if (new == labels).all():
-            break
-        labels = new
-        for k in range(len(centers)):
-            if (labels == k).any():
-                centers[k] = x[labels == k].mean(0)
-            elif on_empty:
-                centers[k] = on_empty()
-    return labels
-
-
-def _by_mean(labels: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Renumber labels that occur by the mean of values, from 0."""
-    used = np.unique(labels)
-    order = used[np.argsort([values[labels == k].mean() for k in used], kind="stable")]
-    return np.array([int(np.flatnonzero(order == k)[0]) for k in labels], int)
-
-
-def kmeans_labels(x: np.ndarray, clusters: int | None = None) -> np.ndarray:
-    """k-means++ on min-max scaled rows (first column: centroid, fourth: zero crossings), labels by mean centroid.
-
-    Seeded with 42 in the legacy generator. As many clusters as rows or more give one label per row; rows that are all
-    equal give one label.
-    """
-    span = np.ptp(x, axis=0)
-    scaled = np.where(span > 0, (x - x.min(0)) / np.where(span > 0, span, 1), x)
-    if clusters is None:
-        clusters = 3 if span[0] > 3000 or (x.shape[1] > 3 and span[3] > 0.1) else 2
-    if clusters >= len(x):
-        return np.arange(len(x))
-    rng = np.random.RandomState(42)
-    centers = [scaled[rng.randint(len(x))]]
-    while len(centers) < clusters:
-        d = np.min([((scaled - c) ** 2).sum(1) for c in centers], axis=0)
-        if not d.sum() > 0:
-            break
-        centers.append(scaled[rng.choice(len(x), p=d / d.sum())])
-    return _by_mean(_lloyd(scaled, np.array(centers), 100), x[:, 0])
-
-
 def choose_clusters(segs: DataFrame, wide: float = 3000.0, noisy: float = 0.1) -> DataFrame:
     """Per stream: 3 clusters if centroids span more than `wide` or zero crossings more than `noisy`, else 2."""
     span = lambda c: F.max(c) - F.min(c)
@@ -74,109 +27,139 @@ def choose_clusters(segs: DataFrame, wide: float = 3000.0, noisy: float = 0.1) -
 
 def kmeans_pp(segs: DataFrame, columns: list[str] | None = None, clusters: int | None = None) -> DataFrame:
     """Add label. segs: stream_id, seg_id and the feature columns."""
-    names = columns or FEATURES
-
-    def label(p: pd.DataFrame) -> pd.DataFrame:
-        return p.assign(label=kmeans_labels(p[names].to_numpy(float), clusters).astype("int32"))
-
-    return _per_stream(segs, [T.StructField("label", T.IntegerType())], label)
-
-
-def merged_small(x: np.ndarray, labels: np.ndarray, least: int = 3, units: tuple[float, float] = (500.0, 6.0), near: float = 1.8) -> np.ndarray:
-    """Clusters of fewer than `least` rows join the nearest other one, if it is near in units of the two features."""
-    labels = labels.copy()
-    for _ in range(len(np.unique(labels)) + 1):
-        used, counts = np.unique(labels, return_counts=True)
-        means = {k: x[labels == k].mean(0) for k in used}
-        for k, n in zip(used, counts, strict=True):
-            others = [(np.linalg.norm((means[k] - means[o]) / np.array(units)), o) for o in used if o != k and (labels == o).any()]
-            if n < least and others and min(others)[0] < near:
-                labels[labels == k] = min(others)[1]
+    return kmeans.labelled_pp(segs, columns or FEATURES, clusters)
+
+
+def kmeans_levels(segs: DataFrame, columns: tuple[str, str] = ("centroid", "rms_db"), clusters: int | None = None, least: int = 3) -> DataFrame:
+    """Add label: k-means over level and centroid, small clusters merged, labels by centroid."""
+    return merge_small_clusters(kmeans.labelled_levels(segs, columns, clusters), columns, least)
+
+
+def merged_small(counts: np.ndarray, means: np.ndarray, least: int, units: tuple[float, float] = (500.0, 6.0), near: float = 1.8) -> np.ndarray:
+    """For each cluster, the number of the one that it ends in. Again and again, the first of fewer than `least` rows joins
+    the nearest other one, if that is near in units of the two features."""
+    ends, counts, means = np.arange(len(counts)), counts.copy(), means.copy()
+    alive = list(range(len(counts)))
+    while True:
+        for k in alive:
+            others = [(np.linalg.norm((means[k] - means[o]) / np.array(units)), o) for o in alive if o != k] if counts[k] < least else []
+            if others and min(others)[0] < near:
+                o = min(others)[1]
+                means[o] = (means[o] * counts[o] + means[k] * counts[k]) / (counts[o] + counts[k])
+                counts[o] += counts[k]
+                ends[ends == k] = o
+                alive.remove(k)
                 break
         else:
-            break
-    return labels
-
-
-def level_labels(x: np.ndarray, clusters: int | None = None, seed: int = 7, rounds: int = 60, least: int = 3) -> np.ndarray:
-    """k-means on (centroid in Hz, level in dB) in robust units, random start, empty clusters started anew; then small
-    clusters are merged and labels ordered by centroid."""
-    mid = np.median(x, axis=0)
-    scaled = (x - mid) / (1.4826 * np.median(np.abs(x - mid), axis=0) + 1e-9)
-    if clusters is None:
-        clusters = 3 if np.percentile(x[:, 0], 90) - np.percentile(x[:, 0], 10) > 1500 else 2
-    rng = np.random.default_rng(seed)
-    centers = scaled[rng.choice(len(x), min(clusters, len(x)), replace=False)].copy()
-    labels = _lloyd(scaled, centers, rounds, lambda: scaled[rng.integers(0, len(x))])
-    return _by_mean(merged_small(x, labels, least), x[:, 0])
-
-
-def kmeans_levels(segs: DataFrame, columns: tuple[str, str] = ("centroid", "rms_db"), clusters: int | None = None) -> DataFrame:
-    """Add label by level_labels()."""
-
-    def label(p: pd.DataFrame) -> pd.DataFrame:
-        return p.assign(label=level_labels(p[list(columns)].to_numpy(float), clusters).astype("int32"))
-
-    return _per_stream(segs, [T.StructField("label", T.IntegerType())], label)
+            return ends
 
 
 def merge_small_clusters(labelled: DataFrame, columns: tuple[str, str], least: int = 3) -> DataFrame:
-    """Replace label after merged_small() and ordering by the first column."""
+    """Replace label after merged_small() and ordering by the first column. Only counts and means of clusters are looked at together."""
+    labelled = cut(labelled)
+    clusters = labelled.groupBy("stream_id", "label").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])
 
-    def label(p: pd.DataFrame) -> pd.DataFrame:
-        x = p[list(columns)].to_numpy(float)
-        return p.assign(label=_by_mean(merged_small(x, p["label"].to_numpy(), least), x[:, 0]).astype("int32"))
+    def ends(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("label", ignore_index=True)
+        found = merged_small(p["n"].to_numpy(), p[["m0", "m1"]].to_numpy(float), least)
+        return pd.DataFrame({"stream_id": p["stream_id"], "label": p["label"], "into": p["label"].to_numpy()[found]})
 
-    return _per_stream(labelled, [], label)
+    into = clusters.groupBy("stream_id").applyInPandas(ends, "stream_id string, label int, into int")
+    merged = labelled.join(into, ["stream_id", "label"]).drop("label").withColumnRenamed("into", "label")
+    return kmeans.by_mean(merged, columns[0]).select(*labelled.columns)
 
 
-def merged_short(t0: list[float], t1: list[float], x: np.ndarray, shortest: float) -> tuple[list[float], list[float], np.ndarray]:
-    """Again and again, the first short segment joins the neighbour that is nearer in features (the left one among
-    equals); features are means by length. Two segments are left at least."""
-    spans, feats = list(zip(t0, t1, strict=True)), list(x)
-    while len(spans) > 2:
-        i = next((k for k, (a, b) in enumerate(spans) if b - a < shortest), None)
-        if i is None:
-            break
-        sides = [j for j in (i - 1, i + 1) if 0 <= j < len(spans)]
-        j = min(sides, key=lambda k: np.linalg.norm(feats[i] - feats[k]))
-        w = [spans[k][1] - spans[k][0] for k in (i, j)]
-        a, b = min(i, j), max(i, j)
-        feats[a] = (feats[i] * w[0] + feats[j] * w[1]) / max(sum(w), 1e-9)
-        spans[a] = (spans[a][0], spans[b][1])
-        del spans[b], feats[b]
-    return [a for a, _ in spans], [b for _, b in spans], np.array(feats)
+class Merging:
+    """Segments of a stream in order; the first short one joins its nearer neighbour, again and again, two being left.
 
+    All before the current segment are long, so only the last of them can still change, and one row is looked ahead.
+    """
 
-def merge_short(segs: DataFrame, columns: list[str], shortest: float) -> DataFrame:
-    """stream_id, seg_id (renumbered), t0, t1 and the feature columns after merged_short()."""
+    def __init__(self, columns: list[str], shortest: float):
+        self.columns, self.shortest = columns, shortest
+        self.left = self.here = None
+        self.n, self.gone, self.put = None, 0, 0
+
+    def _short(self, seg: list) -> bool:
+        return self.n - self.gone > 2 and seg[1] - seg[0] < self.shortest
+
+    def _joined(self, a: list, b: list) -> list:
+        self.gone += 1
+        u, v = a[1] - a[0], b[1] - b[0]
+        return [a[0], b[1], (a[2] * u + b[2] * v) / max(u + v, 1e-9)]
+
+    def _out(self, seg: list | None) -> list[tuple]:
+        if seg is None:
+            return []
+        self.put += 1
+        return [(self.stream, self.put - 1, seg[0], seg[1], *map(float, seg[2]))]
+
+    def next(self, row: dict) -> list[tuple]:
+        self.stream, self.n = row["stream_id"], row["n"]
+        new = [row["t0"], row["t1"], np.array([row[c] for c in self.columns], float)]
+        if self.here is not None and self._short(self.here):
+            to_left = self.left is not None and np.linalg.norm(self.here[2] - self.left[2]) <= np.linalg.norm(self.here[2] - new[2])
+            if not to_left:
+                self.here = self._joined(self.here, new)
+                return []
+            self.left, self.here = self._joined(self.left, self.here), None
+        if self.here is None:
+            self.here = new
+            return []
+        out = self._out(self.left)
+        self.left, self.here = self.here, new
+        return out
+
+    def end(self) -> list[tuple]:
+        if self.left is not None and self.here is not None and self._short(self.here):
+            self.left, self.here = self._joined(self.left, self.here), None
+        return self._out(self.left) + self._out(self.here)
 
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        t0, t1, x = merged_short(p["t0"].tolist(), p["t1"].tolist(), p[columns].to_numpy(float), shortest)
-        out = pd.DataFrame({"stream_id": p["stream_id"].iloc[0], "seg_id": np.arange(len(t0)), "t0": t0, "t1": t1})
-        return out.assign(**{c: x[:, i] for i, c in enumerate(columns)})
 
-    kept = segs.select("stream_id", F.col("seg_id").cast("long").alias("seg_id"), "t0", "t1", *[F.col(c).cast("double").alias(c) for c in columns])
-    return _per_stream(kept, [], merge)
+def merge_short(segs: DataFrame, columns: list[str], shortest: float) -> DataFrame:
+    """stream_id, seg_id (renumbered), t0, t1 and the feature columns, which are means by length, after Merging."""
+    n = segs.groupBy("stream_id").agg(F.count("*").alias("n"))
+    kept = segs.join(n, "stream_id").select("stream_id", "seg_id", F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1"), "n", *[F.col(c).cast("double").alias(c) for c in columns])
+    schema = "stream_id string, seg_id long, t0 double, t1 double" + "".join(f", {c} double" for c in columns)
+    return in_order(kept, "seg_id", lambda: Merging(columns, shortest), schema)
+
+
+class Leaders:
+    """Running means in order of size, each with its cluster's number and count; a value looks at both neighbours only."""
+
+    def __init__(self, radius: float):
+        self.radius, self.means, self.ids, self.counts = radius, [], [], []
+
+    def next(self, row: dict) -> list[tuple]:
+        v, means = row["v"], self.means
+        i = bisect.bisect_left(means, v)
+        # of equal means the one of the lower number is the nearest
+        sides = [(abs(means[j] - v), j) for j in {bisect.bisect_left(means, means[i - 1]) if i else i, i} if 0 <= j < len(means)]
+        best = min(((d, self.ids[j], j) for d, j in sides), default=None)
+        if best is None or not best[0] <= self.radius:
+            mean, number, count = v, len(means), 1
+        else:
+            j = best[2]
+            mean, number, count = means.pop(j), self.ids.pop(j), self.counts[best[1]] + 1
+            mean += (v - mean) / count
+        at = bisect.bisect_left(means, mean)
+        while at < len(means) and means[at] == mean and self.ids[at] < number:
+            at += 1
+        means.insert(at, mean)
+        self.ids.insert(at, number)
+        if number == len(self.counts):
+            self.counts.append(count)
+        self.counts[number] = count
+        return [(row["stream_id"], row["seg_id"], number)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def leaders(segs: DataFrame, column: str, radius: float) -> DataFrame:
     """Add cluster_id: each segment, in order, joins the nearest running mean within radius, or starts a cluster."""
-    rows = segs.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seg_id", F.col(column).cast("double").alias("v")))).alias("s"))
-    kind = "struct<means:array<double>,counts:array<int>,out:array<struct<seg_id:bigint,cluster_id:int>>>"
-    zero = F.from_json(F.lit('{"means":[],"counts":[],"out":[]}'), kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        far = F.transform(acc["means"], lambda m: F.abs(m - x["v"]))
-        best = F.array_position(far, F.array_min(far)).cast("int") - 1
-        joins = (F.size(far) > 0) & (F.array_min(far) <= radius)
-        n = F.get(acc["counts"], best) + 1
-        means = F.when(joins, F.transform(acc["means"], lambda m, i: F.when(i == best, m + (x["v"] - m) / n).otherwise(m))).otherwise(F.array_append(acc["means"], x["v"]))
-        counts = F.when(joins, F.transform(acc["counts"], lambda c, i: F.when(i == best, n).otherwise(c))).otherwise(F.array_append(acc["counts"], F.lit(1)))
-        mine = F.struct(x["seg_id"].cast("bigint").alias("seg_id"), F.when(joins, best).otherwise(F.size(far)).alias("cluster_id"))
-        return F.struct(means.alias("means"), counts.alias("counts"), F.array_append(acc["out"], mine).alias("out")).cast(kind)
-
-    found = rows.select("stream_id", F.explode(F.aggregate("s", zero, step, lambda acc: acc["out"])).alias("o")).select("stream_id", "o.*")
+    rows = segs.select("stream_id", F.col("seg_id").cast("long").alias("seg_id"), F.col(column).cast("double").alias("v"))
+    found = in_order(rows, "seg_id", lambda: Leaders(radius), "stream_id string, seg_id long, cluster_id int")
     return segs.join(found, ["stream_id", "seg_id"])
 
 

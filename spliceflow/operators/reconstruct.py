@@ -20,6 +20,14 @@ def masked(signal: DataFrame, segs: DataFrame, labels: list[int]) -> DataFrame:
     return rows.select("stream_id", "idx", "label", F.when(F.col("__own") == F.col("label"), F.col("x")).otherwise(0.0).alias("x"))
 
 
+def masked_by_label(signal: DataFrame, segs: DataFrame) -> DataFrame:
+    """As masked, for the labels that occur in each stream's own segments. A stream without segments gives nothing."""
+    own = interval_join(signal, segs.select("stream_id", "seg_id", "i0", "i1", F.col("label").alias("__own")), 4096, "left")
+    labels = segs.groupBy("stream_id").agg(F.array_sort(F.collect_set("label")).alias("__labels"))
+    rows = own.join(labels, "stream_id").withColumn("label", F.explode("__labels"))
+    return rows.select("stream_id", "idx", "label", F.when(F.col("__own") == F.col("label"), F.col("x")).otherwise(0.0).alias("x"))
+
+
 def _by_label(segs: DataFrame, place: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """segs with the columns that place() adds to each label's segments in line, as though a label were a stream."""
     rows = in_line(segs.withColumn("stream_id", F.struct("stream_id", "label")), "i0")

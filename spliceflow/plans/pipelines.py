@@ -57,8 +57,9 @@ def labelled_segments(signal: DataFrame, cfar: Cfar | None = None, quiet: float
 
 
 def deinterleaved(signal: DataFrame, cfar: Cfar | None = None, quiet: float = QUIET) -> DataFrame:
-    """stream_id, idx, label, x: for each source the whole stream, 0 where others sound."""
-    return reconstruct.masked(signal, labelled_segments(signal, cfar, quiet), [0, 1, 2])
+    """stream_id, idx, label, x: for each source that occurs in a stream the whole stream, 0 where others sound."""
+    signal = cut(signal)
+    return reconstruct.masked_by_label(signal, labelled_segments(signal, cfar, quiet))
 
 
 @query
@@ -132,16 +133,25 @@ def frame_fused_boundaries(spark, sf_dir):
     return fused_boundaries(detector_rows(t.centred(spark, sf_dir)))
 
 
-@query
-def deinterleave_fused(spark, sf_dir):
+def fused_tracks(signal: DataFrame, share: float = 0.85) -> DataFrame:
     """One track a source from fused boundaries; sources by k-means over mean centroid and level of each segment's frames."""
-    signal = cut(t.centred(spark, sf_dir))
+    signal = cut(signal)
+    return reconstruct.masked_by_label(signal, fused_segments(signal, share))
+
+
+def fused_segments(signal: DataFrame, share: float = 0.85) -> DataFrame:
+    """stream_id, seg_id, i0, i1 (samples), label."""
     rows = detector_rows(signal)
-    segs = cut(segments.as_rows(segments.segments(fused_boundaries(rows))))
+    segs = cut(segments.as_rows(segments.segments(fused_boundaries(rows, share))))
     means = segments.segment_means(rows, segs, ["hz", "db"]).withColumnsRenamed({"mean_hz": "centroid", "mean_db": "rms_db"})
     found = cluster.kmeans_levels(means.select("stream_id", "seg_id", "centroid", "rms_db"))
     segs = segs.withColumns({"i0": F.col("i0") * WINDOW, "i1": F.col("i1") * WINDOW}).join(found.select("stream_id", "seg_id", "label"), ["stream_id", "seg_id"])
-    return q._rounded(reconstruct.masked(signal, cut(segs), [0, 1, 2]), "x")
+    return cut(segs)
+
+
+@query
+def deinterleave_fused(spark, sf_dir):
+    return q._rounded(fused_tracks(t.centred(spark, sf_dir)), "x")
 
 
 @query

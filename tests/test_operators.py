@@ -16,6 +16,8 @@ from spliceflow.sources import wav
 from spliceflow.streaming import jobs
 from spliceflow.streaming.online import Settings
 
+from . import plain
+
 
 def stream(spark, values, name="s"):
     return spark.createDataFrame([(name, i, float(v)) for i, v in enumerate(values)], "stream_id string, idx long, x double")
@@ -92,14 +94,14 @@ def test_carried_values_over_chunks(spark):
     assert by_idx(helpers.last_before(s, value, "v", chunk=7), "v") == by_idx(helpers.last_before(s, value, "v"), "v")
     assert np.allclose(by_idx(helpers.running_sum(s, F.col("x"), "v", chunk=7), "v"), np.cumsum(NOISE))
     quiet = [r[1:] for r in sorted(silence.silent_regions(s, 0.8, 2).collect())]
-    plain, start = [], None
+    runs, start = [], None
     for i, v in enumerate([*(np.abs(NOISE) <= 0.8), False]):
         if v and start is None:
             start = i
         if not v and start is not None:
-            plain += [(start, i)] * (i - start >= 2)
+            runs += [(start, i)] * (i - start >= 2)
             start = None
-    assert quiet == plain
+    assert quiet == runs
 
 
 @pytest.mark.parametrize("values", [NOISE, [1.0], [2.0] * 9, [1.0, 2.0], NOISE.round(0)])
@@ -124,17 +126,38 @@ def candidates(spark, places):
 
 def test_greedy_choices(spark):
     places = sorted(random.Random(2).sample(range(400), 120))
-    last, plain = 0, []
-    for i in places:
-        if i - last >= 9:
-            plain.append(i)
-            last = i
-    assert by_idx(cp.earliest_first(candidates(spark, places), 9), "idx") == plain
-    kept = []
-    for i in sorted(places, key=lambda i: (-(i % 7), i)):
-        if all(abs(i - k) >= 9 for k in kept):
-            kept.append(i)
-    assert by_idx(cp.strongest_first(candidates(spark, places), 9, "score"), "idx") == sorted(kept)
+    assert by_idx(cp.earliest_first(candidates(spark, places), 9), "idx") == plain.earliest_first(places, 9, 0.0)
+    assert by_idx(cp.strongest_first(candidates(spark, places), 9, "score"), "idx") == plain.strongest_first([(i, i % 7) for i in places], 9)
+
+
+@pytest.mark.parametrize(("gap", "chunk"), [(9, 16), (9, 5), (3, 64), (40, 7), (0, 16), (2.5, 16)])
+def test_greedy_choices_over_chunks(spark, gap, chunk):
+    """Dense, sparse and tied candidates of two streams; scores on a slope depend on one another along the whole stream."""
+    rng = random.Random(gap * 100 + chunk)
+    streams = {"dense": [(i, rng.randrange(5)) for i in range(300)], "slope": [(i, i) for i in range(200)], "down": [(i, -i) for i in range(0, 200, 2)], "sparse": [(i, rng.random()) for i in sorted(rng.sample(range(2000), 60))], "one": [(5, 1.0)]}
+    df = spark.createDataFrame([(s, i, float(v), i / 3) for s, rows in streams.items() for i, v in rows], "stream_id string, idx long, score double, t double").repartition(3)
+    take = lambda d, c: {s: [r[c] for r in d.where(F.col("stream_id") == s).orderBy("idx").collect()] for s in streams}
+    assert take(cp.earliest_first(df, gap, chunk=chunk), "idx") == {s: plain.earliest_first([i for i, _ in r], gap, 0.0) for s, r in streams.items()}
+    assert take(cp.earliest_first(df, gap / 3, "t", None, chunk), "t") == {s: plain.earliest_first([i / 3 for i, _ in r], gap / 3, float("-inf")) for s, r in streams.items()}
+    assert take(cp.strongest_first(df, gap, "score", chunk=chunk), "idx") == {s: plain.strongest_first(r, gap) for s, r in streams.items()}
+
+
+def test_a_million_candidates_closer_than_the_gap(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("s").alias("stream_id"), F.col("id").alias("idx"), (F.xxhash64("id") % 1000).cast("double").alias("score"))
+    kept = cp.earliest_first(df, 10)
+    assert kept.count() == (n - 1) // 10 and kept.where("idx % 10 <> 0 or idx = 0").isEmpty()
+    strong = {r.idx for r in cp.strongest_first(df, 10, "score").select("idx").collect()}
+    # none is close to another, and each one left out is close to one that is at least as strong
+    places = np.array(sorted(strong))
+    assert np.diff(places).min() >= 10
+    score = np.array([r.score for r in df.orderBy("idx").select("score").collect()])
+    best = np.full(n, -1e9)
+    for d in range(-9, 10):
+        at = places + d
+        ok = (at >= 0) & (at < n)
+        best[at[ok]] = np.maximum(best[at[ok]], score[places[ok]])
+    assert (best >= score).all()
 
 
 def test_one_candidate_is_none(spark):
@@ -151,30 +174,93 @@ def test_frames(spark, window, hop):
     assert Frames().samples(44100) == (88, 22)
 
 
-def test_kmeans_finds_groups():
+def segment_rows(spark, streams, names):
+    """streams: name -> matrix; shuffled rows of stream_id, seg_id and the columns."""
+    rows = [(s, i, *map(float, v)) for s, x in streams.items() for i, v in enumerate(x)]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, "stream_id string, seg_id long, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+
+
+def labels_of(df):
+    got = {}
+    for r in df.orderBy("seg_id").collect():
+        got.setdefault(r.stream_id, []).append(r.label)
+    return got
+
+
+def test_kmeans_is_the_plain_one(spark):
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(c, 5, (12, 6)) for c in (200, 3000, 9000)])
-    labels = cluster.kmeans_labels(x, 3)
-    assert labels.tolist() == [0] * 12 + [1] * 12 + [2] * 12
-    assert cluster.kmeans_labels(x[:2], 3).tolist() == [0, 1]
-    assert set(cluster.kmeans_labels(np.ones((5, 6)), 2).tolist()) == {0}
-    levels = cluster.level_labels(np.stack((x[:, 0], x[:, 1]), 1))
-    assert len(set(levels[:12])) == 1 and levels[0] < levels[-1]
+    groups = lambda n, centers, spread: np.concatenate([rng.normal(c, spread, (n, 6)) for c in centers])
+    streams = {
+        "far": groups(12, (200, 3000, 9000), 5), "noise": rng.normal(size=(300, 6)), "near": groups(100, (10, 12, 15), 2.0), "few": rng.normal(size=(2, 6)), "one": rng.normal(size=(1, 6)),
+        "same": np.ones((5, 6)), "two": np.repeat([[1.0] * 6, [2.0] * 6], 4, 0), "flat": np.concatenate((rng.normal(size=(40, 3)), np.ones((40, 3))), 1),
+    }
+    for clusters in (None, 3, 5):
+        got = labels_of(cluster.kmeans_pp(segment_rows(spark, streams, cluster.FEATURES), clusters=clusters))
+        assert got == {s: plain.kmeans_labels(x, clusters).tolist() for s, x in streams.items()}
+    assert labels_of(cluster.kmeans_pp(segment_rows(spark, {"far": streams["far"]}, cluster.FEATURES)))["far"] == [0] * 12 + [1] * 12 + [2] * 12
+    assert cluster.kmeans_pp(segment_rows(spark, streams, cluster.FEATURES).limit(0)).count() == 0
+
+
+def test_kmeans_of_levels_is_the_plain_one(spark):
+    rng = np.random.default_rng(2)
+    pairs = lambda n, at, spread: np.stack([rng.normal(a, s, n) for a, s in zip(at, spread, strict=True)], 1)
+    streams = {
+        "three": np.concatenate((pairs(30, (500, -20), (50, 1)), pairs(30, (4000, -10), (50, 1)), pairs(2, (4400, -11), (5, 0.1)))), "noise": pairs(200, (1000, -20), (300, 5)), "one": pairs(1, (1, 1), (1, 1)),
+        "same": np.ones((7, 2)), "two": np.repeat([[100.0, -3.0], [9000.0, -4.0]], [1, 40], 0),
+    }
+    df = segment_rows(spark, streams, ["centroid", "rms_db"])
+    for clusters in (None, 4):
+        assert labels_of(cluster.kmeans_levels(df, clusters=clusters)) == {s: plain.level_labels(x, clusters).tolist() for s, x in streams.items()}
 
 
 def test_labels_do_not_depend_on_partitions(spark):
-    rng = np.random.default_rng(2)
-    rows = [(s, i, *map(float, rng.normal(size=6))) for s in ("a", "b") for i in range(30)]
-    df = spark.createDataFrame(rows, "stream_id string, seg_id long, " + ", ".join(f"{c} double" for c in cluster.FEATURES))
+    df = segment_rows(spark, {s: np.random.default_rng(2).normal(size=(30, 6)) for s in "ab"}, cluster.FEATURES)
     pick = lambda d: sorted((r.stream_id, r.seg_id, r.label) for r in cluster.kmeans_pp(d, clusters=3).collect())
     assert pick(df.repartition(1)) == pick(df.repartition(7).orderBy(F.rand(3)))
 
 
-def test_merging():
-    t0, t1, x = cluster.merged_short([0, 10, 12, 30], [10, 12, 30, 31], np.array([[1.0], [2.0], [9.0], [9.0]]), 5)
+def test_merging(spark):
+    t0, t1, x = plain.merged_short([0, 10, 12, 30], [10, 12, 30, 31], np.array([[1.0], [2.0], [9.0], [9.0]]), 5)
     assert (t0, t1) == ([0, 12], [12, 31]) and np.allclose(x[:, 0], [(10 + 2 * 2) / 12, 9])
     x = np.array([[1000.0, -20]] * 5 + [[1200.0, -21]] + [[5000.0, -5]] * 5)
-    assert cluster.merged_small(x, np.array([0] * 5 + [1] + [2] * 5)).tolist() == [0] * 6 + [2] * 5
+    assert plain.merged_small(x, np.array([0] * 5 + [1] + [2] * 5)).tolist() == [0] * 6 + [2] * 5
+    rng = np.random.default_rng(5)
+    given = {f"s{n}": (np.cumsum([0.0, *rng.choice([1.0, 2.0, 7.0, 30.0], n, p=[0.4, 0.3, 0.2, 0.1])]), rng.normal(size=(n, 2)).round(1)) for n in (1, 2, 3, 4, 5, 9, 60, 61, 400)}
+    rows = [(s, i, float(t[i]), float(t[i + 1]), *map(float, f[i])) for s, (t, f) in given.items() for i in range(len(f))]
+    df = spark.createDataFrame(rows, "stream_id string, seg_id long, t0 double, t1 double, a double, b double").repartition(4)
+    for shortest in (5.0, 1.5, 1e9):
+        got = {}
+        for r in cluster.merge_short(df, ["a", "b"], shortest).orderBy("seg_id").collect():
+            got.setdefault(r.stream_id, []).append(r[1:])
+        for s, (t, f) in given.items():
+            t0, t1, x = plain.merged_short(t[:-1].tolist(), t[1:].tolist(), f, shortest)
+            assert np.allclose(got[s], np.column_stack((np.arange(len(t0)), t0, t1, x)))
+
+
+def test_merging_small_clusters(spark):
+    rng = np.random.default_rng(6)
+    streams = {f"s{i}": (rng.normal((2000, -10), (600, 5), (40, 2)), rng.choice(9, 40, p=[0.3, 0.3, 0.2, 0.1, 0.02, 0.02, 0.02, 0.02, 0.02])) for i in range(12)}
+    rows = [(s, i, *map(float, x[i]), int(k[i])) for s, (x, k) in streams.items() for i in range(40)]
+    df = spark.createDataFrame(rows, "stream_id string, seg_id long, hz double, db double, label int")
+    got = labels_of(cluster.merge_small_clusters(df, ("hz", "db")))
+    assert got == {s: plain._by_mean(plain.merged_small(x, k), x[:, 0]).tolist() for s, (x, k) in streams.items()}
+
+
+def test_leaders_of_a_long_stream(spark):
+    rng = np.random.default_rng(7)
+    streams = {"a": rng.choice([1.0, 2.0, 5.0, 9.0], 500), "b": rng.normal(0, 50, 400).round(2), "c": [3.0]}
+    df = segment_rows(spark, {s: np.array(v)[:, None] for s, v in streams.items()}, ["v"])
+    for radius in (0.5, 3.0, 0.0):
+        got = {}
+        for r in cluster.leaders(df, "v", radius).orderBy("seg_id").collect():
+            got.setdefault(r.stream_id, []).append(r.cluster_id)
+        assert got == {s: plain.leaders(list(v), radius) for s, v in streams.items()}
+    n = 1_000_000
+    long = spark.range(n).select(F.lit("s").alias("stream_id"), F.col("id").alias("seg_id"), (F.col("id") % 7 * 100.0).alias("v"), F.col("id").cast("double").alias("t0"), (F.col("id") + 1.0).alias("t1"))
+    assert cluster.leaders(long, "v", 10.0).where("cluster_id <> seg_id % 7").isEmpty()
+    merged = cluster.merge_short(long, ["v"], 2.0)
+    assert merged.where("t1 - t0 < 2").isEmpty() and merged.agg(F.sum(F.col("t1") - F.col("t0"))).first()[0] == n
 
 
 def test_splicing_and_rebuilding(spark):
@@ -264,19 +350,19 @@ def test_deinterleaving_of_known_splices(spark, fused):
     x, owner = spliced(np.random.default_rng(6))
     signal = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "stream_id string, idx long, x double").repartition(4)
     truth = np.flatnonzero(np.diff(owner)) + 1
-    if fused:
-        rows = pipelines.detector_rows(signal)
-        found = np.array([r.t for r in pipelines.fused_boundaries(rows, 0.95).collect()]) * pipelines.WINDOW
-    else:
-        segs = pipelines.labelled_segments(signal, None, 0.01).toPandas()
-        found = np.concatenate((segs["i0"], segs["i1"]))
-        label = np.full(len(x), -1)
-        for r in segs.itertuples():
-            label[r.i0 : r.i1] = r.label
-        share = sum(np.bincount(owner[label == k], minlength=2).max() for k in set(label[label >= 0])) / len(x)
-        assert share > 0.95
-        tracks = pipelines.deinterleaved(signal, None, 0.01).groupBy("idx").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-        assert tracks.where("n <> 3").isEmpty()
+    labelled = pipelines.fused_segments(signal, 0.95) if fused else pipelines.labelled_segments(signal, None, 0.01)
+    segs = labelled.toPandas()
+    found = np.unique(np.concatenate((segs["i0"], segs["i1"])))
+    label = np.full(len(x), -1)
+    for r in segs.itertuples():
+        label[r.i0 : r.i1] = r.label
+    share = sum(np.bincount(owner[label == k], minlength=2).max() for k in set(label[label >= 0])) / len(x)
+    assert share > 0.95
+    tracks = (pipelines.fused_tracks(signal, 0.95) if fused else pipelines.deinterleaved(signal, None, 0.01)).groupBy("idx").agg(F.sum("x").alias("x"), F.count("*").alias("n"), F.collect_set("label").alias("labels"))
+    # one track for each label that occurs, and no sample twice
+    assert tracks.count() == len(x) and tracks.where(F.col("n") != segs["label"].nunique()).isEmpty()
+    heard = {r.idx: r.x for r in tracks.select("idx", "x").collect()}
+    assert all(heard[i] == (x[i] if label[i] >= 0 else 0.0) for i in range(0, len(x), 7))
     hit = [np.abs(found - t).min() <= 220 for t in truth]
     assert np.mean(hit) >= 0.9
     inner = [t for t in set(found.tolist()) if 0 < t < len(x) - 200]
@@ -289,5 +375,5 @@ def test_whole_spectrum_is_the_transform(spark):
     x = rng.normal(size=997)  # a prime length
     signal = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "stream_id string, idx long, x double").repartition(3)
     got = {r.k: r.magnitude for r in spectral.whole_spectrum(signal, 997.0, 100.0, 300.0).collect()}
-    plain = np.abs(np.fft.rfft(x))
-    assert sorted(got) == list(range(100, 301)) and np.allclose([got[k] for k in sorted(got)], plain[100:301])
+    whole = np.abs(np.fft.rfft(x))
+    assert sorted(got) == list(range(100, 301)) and np.allclose([got[k] for k in sorted(got)], whole[100:301])
