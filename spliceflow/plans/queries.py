@@ -14,6 +14,7 @@ from spliceflow.operators import changepoint as cp
 from spliceflow.operators import cluster, filters, frames, fusion, normalize, reconstruct, segments, silence, spectral
 from spliceflow.plans import tables as t
 from spliceflow.streaming import jobs
+from spliceflow.streaming.online import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -605,7 +606,14 @@ def stream_gate(spark, sf_dir):
     return rows.select("stream_id", "frame_id", (fn.rms(F.col("samples")) > 150 * fn.db_to_linear(F.lit(-9.0))).alias("present"))
 
 
+@query
+def stream_stats(spark, sf_dir):
+    """What the online processor tells of every ten blocks of a stream."""
+    settings = Settings(rate=8000, low=100.0, high=3000.0, every=10)
+    return _rounded(jobs.stats(jobs.replay(frames.tumbling(t.signal(spark, sf_dir), 64), settings)), "mean_rms")
+
+
 @query
 def stream_deinterleave(spark, sf_dir):
     """The online processor over blocks of the event signal, as a batch replay."""
-    return jobs.replay(frames.tumbling(t.signal(spark, sf_dir), 64)).drop("out")
+    return jobs.replay(frames.tumbling(t.signal(spark, sf_dir), 64)).drop("out", "stats")

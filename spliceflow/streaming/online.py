@@ -5,12 +5,13 @@ Times are sample times, so a replay gives what the live stream gave.
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, field
+import bisect
+from dataclasses import dataclass, field
 
 import numpy as np
 
 from spliceflow.operators.filters import butterworth, run_sections, steady_state
+from spliceflow.streaming.ring import Ring
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,7 @@ class Settings:
     gate_db: float = -40.0
     window_ms: float = 50.0
     delay_ms: float = 50.0
+    ring_ms: float = 600.0
     min_segment_ms: float = 10.0
     silence_ms: float = 200.0
     quiet: float = 0.001
@@ -33,14 +35,17 @@ class Settings:
     new_source: float = 0.4
     adapt: float = 0.1
     target: int = 0
+    #: Blocks between two rows of statistics.
+    every: int = 100
 
 
 @dataclass
 class State:
+    """What is kept of a stream: typed, of a size that doesn't grow with the stream."""
+
     filter: list = field(default_factory=list)
     present: bool = False
-    tail: list = field(default_factory=list)
-    waiting: list = field(default_factory=list)  # blocks (id, filtered samples) written and not yet put out
+    waiting: list = field(default_factory=list)  # (id, samples) of blocks in the ring that are not yet put out
     filled: int = 0
     centroids: list = field(default_factory=list)
     levels: list = field(default_factory=list)
@@ -50,12 +55,10 @@ class State:
     label: int = -1
     silent_blocks: int = 0
 
-    def to_json(self) -> str:
-        return json.dumps(asdict(self))
-
-    @classmethod
-    def from_json(cls, text: str | None) -> State:
-        return cls(**json.loads(text)) if text else cls()
+    blocks: int = 0
+    #: Since the last row of statistics: blocks, those with a source, changes, levels, and blocks that have a level.
+    counted: list = field(default_factory=lambda: [0, 0, 0, 0.0, 0])
+    ring: Ring | None = None
 
 
 def centroid_and_level(x: np.ndarray, rate: int) -> tuple[float, float]:
@@ -78,16 +81,21 @@ class Online:
         self.sos = butterworth(settings.order, (settings.low, settings.high), settings.rate, "band")
 
     def classify(self, st: State, centroid: float, level: float) -> int:
-        """The nearest source's number, by centroid; a far one is new while there is room; -1 if too quiet."""
+        """The nearest source's number; sources are numbered by centroid. -1 if too quiet.
+
+        Distance: eight tenths of the relative change in centroid, two of that in level. Nothing near and room left: a new
+        source, put in its place among the others, which may renumber them. Else the nearest one moves a little.
+        """
         if level < self.s.quiet:
             return -1
-        far = [0.8 * _relative(centroid, c, 100.0) + 0.2 * _relative(level, r, 0.01) for c, r in st.profiles]
-        if not far or (min(far) > self.s.new_source and len(far) < self.s.max_sources):
-            st.profiles.append([centroid, level])
-            st.profiles.sort(key=lambda p: p[0])
-            return st.profiles.index([centroid, level])
-        best = far.index(min(far))
-        st.profiles[best] = [p * (1 - self.s.adapt) + v * self.s.adapt for p, v in zip(st.profiles[best], (centroid, level), strict=True)]
+        distance = lambda p: 0.8 * _relative(centroid, p[0], 100.0) + 0.2 * _relative(level, p[1], 0.01)
+        near, best = min(((distance(p), i) for i, p in enumerate(st.profiles)), default=(np.inf, 0))
+        if near > self.s.new_source and len(st.profiles) < self.s.max_sources or not st.profiles:
+            best = bisect.bisect_right([p[0] for p in st.profiles], centroid)
+            st.profiles.insert(best, [centroid, level])
+            return best
+        old = st.profiles[best]
+        st.profiles[best] = [old[i] + self.s.adapt * (new - old[i]) for i, new in enumerate((centroid, level))]
         return best
 
     def changed(self, st: State, centroid: float, level: float) -> bool:
@@ -101,11 +109,26 @@ class Online:
             st.changed_at = st.clock
         return out
 
+    def _stats(self, st: State, out: dict) -> dict | None:
+        c = st.counted
+        st.counted = [c[0] + 1, c[1] + (out["label"] >= 0), c[2] + out["changed"], c[3] + (out["rms"] or 0.0), c[4] + (out["rms"] is not None)]
+        st.blocks += 1
+        if st.blocks % self.s.every:
+            return None
+        n, labelled, changes, levels, heard = st.counted
+        st.counted = [0, 0, 0, 0.0, 0]
+        return {"n_blocks": n, "n_labelled": labelled, "n_changes": changes, "mean_rms": levels / heard if heard else None}
+
     def block(self, st: State, block_id: int, samples: np.ndarray) -> dict:
         """Take one block; returns what is known after it and which block is put out now (null: silence), with its samples.
 
-        Blocks come out delay_ms after they came in, or as soon as a window is full where that is later.
+        Blocks come out delay_ms after they came in, or as soon as a window is full where that is later. Every `every`
+        blocks of a stream, `stats` tells of these; else it is null.
         """
+        out = self._decided(st, block_id, samples)
+        return out | {"stats": self._stats(st, out)}
+
+    def _decided(self, st: State, block_id: int, samples: np.ndarray) -> dict:
         state = np.array(st.filter) if st.filter else steady_state(self.sos)
         y, state = run_sections(self.sos, samples, state)
         st.filter = state.tolist()
@@ -116,23 +139,32 @@ class Online:
             if not st.present:
                 return out
             out["present"] = True
-        window = int(self.s.window_ms * self.s.rate / 1000)
+        size = lambda ms: int(ms * self.s.rate / 1000)
+        window = size(self.s.window_ms)
+        if st.ring is None:
+            st.ring = Ring(max(size(self.s.ring_ms), window, size(self.s.delay_ms) + 2 * len(y)))
         fresh = not st.waiting and not st.filled
-        st.tail = [*st.tail, *y.tolist()][-window:]
+        lost = st.ring.write(y)
         st.filled += len(y)
-        st.waiting.append([block_id, y.tolist()])
-        if fresh or st.filled < max(window, int(self.s.delay_ms * self.s.rate / 1000)):
+        st.waiting.append((block_id, len(y)))
+        while lost > 0:  # what was overwritten before it was read
+            first, n = st.waiting.pop(0)
+            lost -= n
+            if lost < 0:
+                st.waiting.insert(0, (first, -lost))
+        if fresh or st.filled < max(window, size(self.s.delay_ms)):
             return out
-        centroid, level = centroid_and_level(np.array(st.tail), self.s.rate)
+        centroid, level = centroid_and_level(st.ring.newest(window), self.s.rate)
         change = self.changed(st, centroid, level)
         if change:
             st.label = self.classify(st, centroid, level)
-        shown, samples = st.waiting.pop(0)
+        shown, n = st.waiting.pop(0)
+        heard = st.ring.read(n)
         audible = st.label == self.s.target
-        out |= {"out": samples if audible else [0.0] * len(samples), "centroid": centroid, "rms": level, "changed": change, "label": st.label, "n_sources": len(st.profiles), "out_block": shown if audible else None}
+        out |= {"out": heard.tolist() if audible else [0.0] * n, "centroid": centroid, "rms": level, "changed": change, "label": st.label, "n_sources": len(st.profiles), "out_block": shown if audible else None}
         st.silent_blocks = st.silent_blocks + 1 if level < self.s.quiet else 0
         if st.silent_blocks * len(y) * 1000 > self.s.silence_ms * self.s.rate:
-            # the session ends: all is forgotten but the clock
-            st.__dict__.update(State(clock=st.clock).__dict__)
-            out |= {"out_block": None, "out": [0.0] * len(samples)}
+            # the session ends: all is forgotten but the clock and the statistics
+            st.__dict__.update(State(clock=st.clock, blocks=st.blocks, counted=st.counted).__dict__)
+            out |= {"out_block": None, "out": [0.0] * n}
         return out

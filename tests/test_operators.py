@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +12,6 @@ from spliceflow.operators import changepoint as cp
 from spliceflow.operators import cluster, filters, frames, normalize, reconstruct, segments, silence, spectral
 from spliceflow.plans import pipelines
 from spliceflow.sources import wav
-from spliceflow.streaming import jobs
-from spliceflow.streaming.online import Settings
 
 from . import plain
 
@@ -298,41 +295,6 @@ def test_wav_files(spark, tmp_path):
     assert wav.read_wav(spark, str(tmp_path), 4000).agg(F.sum(F.size("samples"))).first()[0] == 1550
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    rate, block = 8000, 200
-    t = np.arange(16000) / rate
-    x = np.where((np.arange(16000) // 2000) % 2 == 0, np.sin(2 * np.pi * 300 * t), 0.6 * np.sin(2 * np.pi * 1800 * t))
-    blocks = pd.DataFrame({"stream_id": "s", "block_id": range(80), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(80) * 25, "ms"), "samples": [x[i * block : (i + 1) * block].tolist() for i in range(80)]})
-    table = spark.createDataFrame(blocks, jobs.BLOCKS)
-    for i in range(4):
-        table.where(f"block_id div 20 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    settings = Settings(rate=rate, low=100.0, high=3000.0)
-    jobs.save(jobs.deinterleave(jobs.read_blocks(spark, f"{tmp_path}/in", 1), settings), f"{tmp_path}/out", f"{tmp_path}/cp")
-    live = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select([f.name for f in jobs.OUT]).collect()), key=lambda r: r[1])
-    replay = sorted(map(tuple, jobs.replay(table.withColumnRenamed("block_id", "frame_id"), settings).collect()), key=lambda r: r[1])
-    assert live == replay and len(live) == 80
-    assert {0, 1} <= {r[6] for r in live[20:]}
-    decided = spark.read.parquet(f"{tmp_path}/out")
-    heard = {r.block_id: r.samples for r in jobs.sound(decided).collect()}
-    shown = [r for r in live if r[7] is not None]
-    assert shown and all(len(heard[r[1]]) == block and heard[r[1]][0][0] == heard[r[1]][0][1] for r in shown)
-    quiet = [b for b, samples in heard.items() if b not in {r[1] for r in shown}]
-    assert all(not np.any(heard[b]) for b in quiet) and any(np.any(heard[r[1]]) for r in shown)
-    told = {r.turn: r for r in jobs.stats(decided, 20).collect()}
-    assert [told[k].n_blocks for k in range(4)] == [20] * 4 and sum(r.n_changes for r in told.values()) == sum(r[5] for r in live)
-
-
-def test_delay_of_the_online_processor(spark):
-    x = np.sin(2 * np.pi * 300 * np.arange(8000) / 8000)
-    rows = [("s", i, x[i * 200 : (i + 1) * 200].tolist()) for i in range(40)]
-    frames_ = spark.createDataFrame(rows, "stream_id string, frame_id long, samples array<double>")
-    first = {}
-    for delay in (50.0, 200.0):
-        got = jobs.replay(frames_, Settings(rate=8000, low=100.0, high=3000.0, delay_ms=delay)).where("size(out) > 0").agg(F.min("block_id")).first()[0]
-        first[delay] = got
-    assert first[200.0] - first[50.0] == 6  # 150 ms in blocks of 25 ms
-
-
 def spliced(rng, rate=44100, blocks=24):
     """Blocks of a low and a high tone by turns, and the borders between them."""
     x, owner = [], []
