@@ -28,6 +28,8 @@ FEWEST, MOST = 64, 16_384
 #: Pivots that two classes share at least to be compared.
 SHARED = 3
 BLOCK = 1024
+#: Distances of vectors to pivots that a worker holds at a time.
+WORKED = 1 << 21
 #: Pivots have a cosine below this with each other.
 SPREAD = 0.6
 
@@ -69,13 +71,17 @@ def _described(classes: DataFrame, pivots: list[np.ndarray], sizes: list[int], n
             near = np.zeros((batch.num_rows, nearest), np.int32)
             for size in np.unique(n):
                 rows = np.flatnonzero(n == size)
-                own = [i for i, s in enumerate(sizes) if s == size]
-                x = flat[start[rows][:, None] + np.arange(size)]
-                like = (x / np.linalg.norm(x, axis=1)[:, None]) @ np.array([pivots[i] for i in own]).T
+                own = np.array([i for i, s in enumerate(sizes) if s == size])
+                to = np.array([pivots[i] for i in own]).T
                 take = min(nearest, len(own))
-                # equal distances by pivot number: sort is stable
-                best = np.argsort(-like, axis=1, kind="stable")[:, :take]
-                near[rows] = np.pad(np.array(own)[best], ((0, 0), (0, nearest - take)), mode="edge")
+                # a few rows at a time, so that rows times pivots stay small however many pivots there are
+                for part in np.array_split(rows, -(-len(rows) * len(own) // WORKED)):
+                    x = flat[start[part][:, None] + np.arange(size)]
+                    far = -((x / np.linalg.norm(x, axis=1)[:, None]) @ to)
+                    best = np.sort(np.argpartition(far, take - 1, axis=1)[:, :take], axis=1)
+                    # equal distances by pivot number: sort is stable
+                    best = np.take_along_axis(best, np.argsort(np.take_along_axis(far, best, 1), axis=1, kind="stable"), 1)
+                    near[part] = np.pad(own[best], ((0, 0), (0, nearest - take)), mode="edge")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * nearest), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "near"])
 
@@ -159,6 +165,19 @@ def _compared(lists: DataFrame, least: float) -> DataFrame:
     return lists.groupBy("label", "dims", "pivot", "i", "j").applyInArrow(compare, f"cls {kind}, n long, other {kind}")
 
 
+def _sample(classes: DataFrame, n: int, size: int) -> list[np.ndarray]:
+    """About `size` of n vectors, or all where there are fewer, as arrays: those with the smallest hashes, in their order.
+
+    Which hashes are small follows from n, so each task sends its own share and none has to order what others found.
+    """
+    h = F.xxhash64("cls", "v")
+    # six standard deviations more, of which the surplus is cut off
+    wanted = size + 6 * math.sqrt(size)
+    few = classes.select(h.alias("h"), "v") if n <= wanted else classes.select(h.alias("h"), "v").where(h < F.lit(int(-(1 << 63) + wanted / n * (1 << 64))))
+    table = few.toArrow().sort_by("h").slice(0, size)
+    return [x.values.to_numpy(zero_copy_only=False) for x in table.column("v")]
+
+
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, wanted: int | None = None) -> DataFrame:
     """One row per vector of (vec_id, embedding, label): n_links, component_id, kept.
 
@@ -175,10 +194,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, wanted: int |
     classes = written(valid.groupBy("label", "v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("weight")))
     n = classes.count()
     wanted = wanted or min(MOST, max(FEWEST, 1 << round(math.log2(max(2.0, math.sqrt(n) / 2)))))
-    sample = classes.select("cls", "label", "v").orderBy(F.xxhash64("cls", "v"), "cls").limit(4 * wanted).collect()  # at most 4 * MOST vectors
+    sample = _sample(classes, n, 4 * wanted)
     pivots: list[np.ndarray] = []
     for r in classes.select(F.size("v").alias("size")).distinct().orderBy("size").collect():
-        own = [x["v"] for x in sample if len(x["v"]) == r["size"]]
+        own = [x for x in sample if len(x) == r["size"]]
         pivots += _spread(np.array(own, float).reshape(len(own), r["size"]), r["size"], wanted)
     sizes = [len(p) for p in pivots]
     nearest = nearest_of(wanted)

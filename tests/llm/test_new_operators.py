@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 from itertools import permutations
 
@@ -10,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spliceflow.llm import decontamination, fill_in_middle, filter_audit, secret_scans, url_filters
+from spliceflow.llm import decontamination, embedding_dedup, fill_in_middle, filter_audit, secret_scans, url_filters
 
 from . import brute
 
@@ -254,3 +256,45 @@ def test_merging_and_removing_spans(spark):
     given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     assert rows(decontamination.contamination_report(*given)) == ordered(brute.contamination(docs, bench))
     assert rows(decontamination.remove_contamination(*given)) == ordered(brute.decontaminated(docs, bench))
+
+
+def test_memory_of_many_pivots(spark):
+    """A batch of vectors against 16,384 pivots, in a process of its own: no more than 0.6 GB beyond what it starts with."""
+    code = """
+import resource
+import numpy as np
+import pyarrow as pa
+from spliceflow.llm import embedding_dedup as e
+held = {}
+class Classes:
+    schema = {k: type('F', (), {'dataType': type('T', (), {'simpleString': lambda self: 'bigint'})()})() for k in ('cls', 'label')}
+    class sparkSession:
+        class sparkContext:
+            broadcast = staticmethod(lambda v: type('B', (), {'value': v})())
+    def select(self, *names):
+        return self
+e.in_arrow = lambda df, fn, schema: held.update(fn=fn)
+rng = np.random.default_rng(1)
+pivots = list(rng.normal(size=(16384, 64)))
+e._described(Classes(), pivots, [64] * 16384, 12)
+x = rng.normal(size=(7700, 64))
+batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(7701, dtype=np.int32) * 64, pa.array(x.ravel()))], ['v'])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(out,) = held['fn'](iter([batch]))
+near = np.array(out.column('near').to_pylist())
+for i in (0, 5000, 7699):
+    like = np.array(pivots) @ x[i]
+    assert near[i].tolist() == np.argsort(-like, kind='stable')[:12].tolist()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 600
+
+
+def test_sample_for_pivots(spark):
+    df = spark.range(20_000).select(F.col("id").alias("cls"), F.array(F.col("id").cast("double")).alias("v"))
+    got = embedding_dedup._sample(df, 20_000, 500)
+    assert len(got) == 500 and len({float(x[0]) for x in got}) == 500
+    assert [x.tolist() for x in embedding_dedup._sample(df.repartition(7), 20_000, 500)] == [x.tolist() for x in got]
+    assert len(embedding_dedup._sample(df.limit(40), 40, 500)) == 40
