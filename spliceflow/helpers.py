@@ -7,6 +7,8 @@ through one row for each chunk.
 
 from __future__ import annotations
 
+import functools
+import operator
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -142,32 +144,49 @@ def runs(df: DataFrame, name: str = "run") -> DataFrame:
     return last_before(marked, F.when(new, F.col("idx")), name, inclusive=True).drop("__prev")
 
 
-def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None, bins: int = 4096) -> DataFrame:
+def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Exact percentiles by linear interpolation: one row per key, one column for each name -> share (0 to 1).
 
-    Values are counted in bins; only those bins in which a wanted rank falls are looked at by value. So no task needs
-    the values of a key, and equal values count as one.
+    A mergeable sketch says between which two values each wanted rank lies, about a thousandth of a key's rows apart
+    whatever the distribution; the rows below are counted, and only those between are looked at by value. Equal values
+    count as one. Should a rank lie outside (the sketch promises that none does), the key is looked at more widely.
     """
     keys = ["stream_id"] if keys is None else keys
     df = cut(df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)"))
-    span = df.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
-    width = F.col("__hi") - F.col("__lo")
-    number = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    rows = df.join(span, keys).withColumn("__bin", number)
-    counts = rows.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-    share = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in wanted.items()]))
-    ranks = span.select(*keys, "__n", share.alias("w")).select(*keys, F.col("w.name").alias("__name"), ((F.col("__n") - 1) * F.col("w.p")).alias("__at"))
-    ranks = ranks.select(*keys, "__name", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__rank"))
-    # (key, rank) -> the bin that holds it; a bin that no rank falls into is left out
-    hit = ranks.join(counts, keys).where("__rank >= __before and __rank < __before + __c")
-    held = rows.join(hit.select(*keys, "__bin").distinct(), [*keys, "__bin"], "left_semi").groupBy(*keys, "__bin", "__v").agg(F.count("*").alias("__m"))
-    below = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("__below", F.coalesce(F.sum("__m").over(below), F.lit(0)))
-    found = hit.join(held, [*keys, "__bin"]).where("__rank - __before >= __below and __rank - __before < __below + __m")
-    part = F.when(F.col("__rank") == F.floor("__at"), 1 - (F.col("__at") - F.floor("__at"))).otherwise(F.col("__at") - F.floor("__at"))
-    return cut(found.groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == n, F.col("__v") * part)).alias(n) for n in wanted]))
+    names, shares = list(wanted), list(wanted.values())
+    found, left = None, None
+    for width in (0.0004, 0.02, 1.0):
+        # a bracket's ends are values; beyond the first and the last rank they are the least and the greatest one
+        rows = df if left is None else df.join(left, keys, "left_semi")
+        at = [max(p - width, 0.0) for p in shares] + [min(p + width, 1.0) for p in shares]
+        sketch = rows.groupBy(*keys).agg(F.percentile_approx("__v", at, 20_000).alias("q"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("*").alias("__n"))
+        low = lambda i: F.col("lo") if at[i] <= 0 else F.get("q", F.lit(i))  # noqa: B023, E731
+        high = lambda i: F.col("hi") if at[i + len(shares)] >= 1 else F.get("q", F.lit(i + len(shares)))  # noqa: B023, E731
+        brackets = F.array(*[F.struct(F.lit(i).alias("i"), low(i).alias("a"), high(i).alias("b")) for i in range(len(names))])
+        bounds = cut(sketch.select(*keys, "__n", brackets.alias("__brackets")))
+        # each row tells each bracket that it lies below it, or shows its value; the others say nothing
+        said = F.transform("__brackets", lambda x: F.when(F.col("__v") < x["a"], F.struct(x["i"].alias("i"), F.lit(None).cast("double").alias("v"))).when(F.col("__v") <= x["b"], F.struct(x["i"].alias("i"), F.col("__v").alias("v"))))
+        told = rows.join(bounds.select(*keys, "__brackets"), keys).select(*keys, F.explode(F.filter(said, lambda x: x.isNotNull())).alias("s"))
+        told = told.groupBy(*keys, F.col("s.i").alias("__i"), F.col("s.v").alias("__v")).agg(F.count("*").alias("__m"))
+        # null values, all that lies below, come first
+        upto = Window.partitionBy(*keys, "__i").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0)
+        told = told.withColumn("__upto", F.sum("__m").over(upto)).where("__v is not null")
+        rank = (F.col("__n") - 1) * F.get(F.array(*[F.lit(float(p)) for p in shares]), F.col("__i"))
+        told = told.join(bounds.select(*keys, "__n"), keys).withColumn("__at", rank)
+        under = F.col("__upto") - F.col("__m")
+        holds = lambda r: (r >= under) & (r < F.col("__upto"))  # noqa: B023, E731
+        part = F.col("__at") - F.floor("__at")
+        weight = F.when(holds(F.floor("__at")), 1 - part).otherwise(0.0) + F.when(holds(F.ceil("__at")) & (part > 0), part).otherwise(0.0)
+        mine = lambda i, c: F.sum(F.when(F.col("__i") == i, c))
+        sums = told.withColumn("__w", weight).where("__w > 0").groupBy(*keys).agg(*[mine(i, F.col("__v") * F.col("__w")).alias(n) for i, n in enumerate(names)], *[mine(i, F.col("__w")).alias(f"__w{i}") for i in range(len(names))])
+        whole = functools.reduce(operator.and_, (F.coalesce(F.abs(F.col(f"__w{i}") - 1) < 1e-9, F.lit(False)) for i in range(len(names))))
+        out = cut(bounds.select(*keys).join(sums, keys, "left").withColumn("__whole", whole))
+        good = out.where("__whole").select(*keys, *names)
+        found = good if found is None else found.unionByName(good)
+        left = out.where("not __whole").select(*keys)
+        if left.isEmpty():
+            break
+    return found
 
 
 def interval_join(points: DataFrame, spans: DataFrame, width: int, how: str = "inner") -> DataFrame:

@@ -103,10 +103,27 @@ def test_carried_values_over_chunks(spark):
 
 @pytest.mark.parametrize("values", [NOISE, [1.0], [2.0] * 9, [1.0, 2.0], NOISE.round(0)])
 def test_percentiles(spark, values):
-    got = helpers.percentiles(stream(spark, values), "x", {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.85, "e": 1.0}, bins=16).first()
+    got = helpers.percentiles(stream(spark, values), "x", {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.85, "e": 1.0}).first()
     assert np.allclose(got[1:], np.percentile(values, [0, 5, 50, 85, 100]))
 
 
+def test_percentiles_of_heavy_tails(spark):
+    """Log-normal values over hundreds of orders of size: what is looked at by value is a thousandth of the rows."""
+    n = 400_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("stream_id"), F.exp(20 * F.randn(5)).alias("x"))
+    held = helpers.cut(df)
+    got = {r.stream_id: r[1:] for r in helpers.percentiles(held, "x", {"a": 0.001, "b": 0.05, "c": 0.5, "d": 0.95, "e": 0.9999}).collect()}
+    table = held.toPandas()
+    for s, x in table.groupby("stream_id")["x"]:
+        assert np.allclose(got[s], np.percentile(x, [0.1, 5, 50, 95, 99.99]), rtol=1e-9, atol=0)
+    # the same with a third of all values equal, and with infinite ones
+    tied = held.withColumn("x", F.when(F.rand(1) < 0.33, 7.0).when(F.rand(2) < 0.01, float("inf")).otherwise(F.col("x")))
+    tied = helpers.cut(tied)
+    got = {r.stream_id: r[1:] for r in helpers.percentiles(tied, "x", {"a": 0.4, "b": 0.5, "c": 0.6, "d": 1.0}).collect()}
+    for s, x in tied.toPandas().groupby("stream_id")["x"]:
+        assert np.allclose(got[s][:3], np.percentile(x, [40, 50, 60]), rtol=1e-9, atol=0) and got[s][3] == np.inf
+
+
 def test_constant_and_empty_streams(spark):
     constant = stream(spark, [0.5] * 20)
     assert set(by_idx(normalize.robust_minmax(constant, ["x"]), "x")) == {0.5}
