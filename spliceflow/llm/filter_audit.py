@@ -17,9 +17,8 @@ FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 #: Fewest words, least percent of distinct words, most percent of A-Z, and characters of markup.
 WORDS, DISTINCT, CAPITALS, MARKUP = 200, 50, 3, "[#$%&*|]"
-#: A word, and what names a document: its id and a hash of its text, as ids may be null or stand for several texts.
-WORD = r"[^\x20\x09-\x0D]++"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What stands between words, and what names a document: its id and a hash of its text, as ids may be null or stand for several texts.
+SPACES = r"[\x20\x09-\x0D]+"
 KEY = ["doc_id", "h"]
 #: Characters of a text whose words one task counts.
 SHARE = 1_000_000
@@ -34,11 +33,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     are dealt out by word too, into a share for each SHARE characters, so that no text is too long for a task.
     """
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(*KEY, F.floor(F.length(text) / SHARE).alias("shares"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    each = found.select(*KEY, F.size("words").cast("long").alias("n_words"), "shares", F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("word"))
+    words = F.array_remove(F.split(text, SPACES), "")
+    found = docs.select(*KEY, F.floor(F.length(text) / SHARE).alias("shares"), words.alias("words"))
+    each = found.select(*KEY, F.size("words").cast("long").alias("n"), "shares", F.explode(F.array_append(F.array_distinct("words"), F.lit(None).cast("string"))).alias("word"))
     share = F.when(F.col("shares") > 0, F.pmod(F.xxhash64("word"), F.col("shares") + 1)).otherwise(0)
-    dealt = each.select(*KEY, "n_words", share.alias("share"), "word").repartition(*KEY, "share")
-    return dealt.groupBy(*KEY, "share", "n_words", "word").count().groupBy(*KEY, "n_words").agg(F.count("word").alias("n_distinct"))
+    dealt = each.select(*KEY, "n", share.alias("share"), "word").repartition(*KEY, "share")
+    once = dealt.groupBy(*KEY, "share", "word").agg(F.max("n").alias("n"))
+    return once.groupBy(*KEY).agg(F.max("n").alias("n_words"), F.count("word").alias("n_distinct"))
 
 
 def failures(docs: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def failures(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), "text", "lang")
-    c = 100 * (F.length(text) - F.length(F.translate(text, UPPER, ""))) > CAPITALS * F.length(text)
+    c = 100 * F.regexp_count(text, F.lit("[A-Z]")) > CAPITALS * F.length(text)
     flags = keyed.select(*KEY, F.coalesce("lang", F.lit("")).alias("part"), c.alias("c"), text.rlike(MARKUP).alias("d"), F.sha2(text, 256).alias("same"))
     flags = written(flags.groupBy(*KEY, "part", "c", "d", "same").agg(F.count("*").alias("n")))
     least = flags.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.lit(True).alias("first")).where("doc_id is not null")
