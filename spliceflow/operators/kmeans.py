@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from spliceflow.helpers import cut, discard, in_line, percentiles, running_sum
 
 POINT = "array<double>"
+#: Rounds that are planned as one job.
+AT_ONCE = 4
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -83,6 +85,29 @@ def seeded(rows: DataFrame, streams: DataFrame) -> DataFrame:
     return found.select("stream_id", "c")
 
 
+def _round(rows: DataFrame, state: DataFrame, size: int, points: DataFrame | None) -> DataFrame:
+    """state (stream_id, c: centers, used: those of the round before, drawn, rests) after one more round."""
+    pairs = rows.join(state.where("not rests").select("stream_id", "c", "used"), "stream_id")
+    label = _nearest(F.col("v"), F.col("c"))
+    before = F.coalesce(_nearest(F.col("v"), F.col("used")), F.lit(0))
+    each = pairs.select("stream_id", "v", label.alias("label"), (label != before).cast("long").alias("moved"))
+    sums = each.groupBy("stream_id", "label").agg(F.sum("moved").alias("moved"), *[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(size)])
+    mean = F.struct("label", F.array(*[f"m{i}" for i in range(size)]).alias("m"))
+    found = sums.groupBy("stream_id").agg(F.sum("moved").alias("moved"), F.collect_list(mean).alias("means"))
+    nxt = state.join(found, "stream_id", "left")
+    nxt = nxt.withColumn("empty", F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: ~F.exists("means", lambda m: m["label"] == i)))
+    old = lambda c, i: c
+    if points is not None:
+        nxt = nxt.join(points, "stream_id", "left")
+        old = lambda c, i: F.when(F.array_contains(F.col("empty"), i), F.get("points", (F.col("drawn") + F.array_position(F.col("empty"), i) - 1).cast("int"))).otherwise(c)
+    moved = F.transform("c", lambda c, i: F.coalesce(F.get(F.filter("means", lambda m: m["label"] == i), F.lit(0))["m"], old(c, i)))
+    goes = ~F.col("rests") & (F.col("moved") > 0)
+    return nxt.select(
+        "stream_id", F.when(goes, moved).otherwise(F.col("c")).alias("c"), F.when(F.col("rests"), F.col("used")).otherwise(F.col("c")).alias("used"),
+        F.when(goes, F.col("drawn") + F.size("empty")).otherwise(F.col("drawn")).cast("int").alias("drawn"), (~F.coalesce(goes, F.lit(False))).alias("rests"),
+    )
+
+
 def lloyd(rows: DataFrame, centers: DataFrame, rounds: int, size: int, reserve=None) -> DataFrame:
     """rows with label, the position of the nearest center after at most `rounds` rounds. centers: stream_id, c.
 
@@ -92,33 +117,16 @@ def lloyd(rows: DataFrame, centers: DataFrame, rounds: int, size: int, reserve=N
     """
     state = cut(centers.select("stream_id", "c", F.lit(None).cast(f"array<{POINT}>").alias("used"), F.lit(0).alias("drawn"), F.lit(False).alias("rests")))
     held, points = 0, None
-    for _ in range(rounds):
+    for turn in range(0, rounds, AT_ONCE):
         if reserve is not None:
-            need = state.where("not rests").agg(F.max(F.col("drawn") + F.size("c"))).first()[0] or 0
+            need = state.where("not rests").agg(F.max(F.col("drawn") + AT_ONCE * F.size("c"))).first()[0] or 0
             if need > held:
                 held = 2 * need
                 points = cut(reserve(held))
-        pairs = rows.join(state.where("not rests").select("stream_id", "c", "used"), "stream_id")
-        label = _nearest(F.col("v"), F.col("c"))
-        before = F.coalesce(_nearest(F.col("v"), F.col("used")), F.lit(0))
-        each = pairs.select("stream_id", "v", label.alias("label"), (label != before).cast("long").alias("moved"))
-        sums = each.groupBy("stream_id", "label").agg(F.sum("moved").alias("moved"), *[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(size)])
-        mean = F.struct("label", F.array(*[f"m{i}" for i in range(size)]).alias("m"))
-        found = sums.groupBy("stream_id").agg(F.sum("moved").alias("moved"), F.collect_list(mean).alias("means"))
-        nxt = state.join(found, "stream_id", "left")
-        empty = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: ~F.exists("means", lambda m: m["label"] == i))
-        nxt = nxt.withColumn("empty", empty)
-        old = lambda c, i: c
-        if points is not None:
-            nxt = nxt.join(points, "stream_id", "left")
-            old = lambda c, i: F.when(F.array_contains(F.col("empty"), i), F.get("points", (F.col("drawn") + F.array_position(F.col("empty"), i) - 1).cast("int"))).otherwise(c)
-        moved = F.transform("c", lambda c, i: F.coalesce(F.get(F.filter("means", lambda m: m["label"] == i), F.lit(0))["m"], old(c, i)))
-        goes = ~F.col("rests") & (F.col("moved") > 0)
-        nxt = nxt.select(
-            "stream_id", F.when(goes, moved).otherwise(F.col("c")).alias("c"), F.when(F.col("rests"), F.col("used")).otherwise(F.col("c")).alias("used"),
-            F.when(goes, F.col("drawn") + F.size("empty")).otherwise(F.col("drawn")).cast("int").alias("drawn"), (~goes).alias("rests"),
-        )
-        last, state = state, cut(nxt)
+        last, state = state, state
+        for _ in range(turn, min(turn + AT_ONCE, rounds)):
+            state = _round(rows, state, size, points)
+        state = cut(state)
         discard(last)
         if state.where("not rests").isEmpty():
             break

@@ -98,6 +98,11 @@ ORACLES: dict[str, str] = {
     "display_spectrum": f"WITH {_SHOWN} SELECT stream_id, frame_id, {r6('min(v) FILTER (k = 0)', 'shown0')}, {r6('min(v) FILTER (k = 9)', 'shown9')}, {r6('max(v) FILTER (k < 8)', 'peak')} FROM sh GROUP BY 1, 2",
     "whole_spectrum": sql("sig cen len", f"""SELECT stream_id, k, {r6('k * 8000.0 / n', 'hz')}, {r6('sqrt(pow(sum(x * cos(2 * pi() * ((k * idx) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((k * idx) % n) / n)), 2))', 'magnitude')}
         FROM cen JOIN (SELECT stream_id, n, unnest(range(0, n // 2 + 1)) AS k FROM len) USING (stream_id) GROUP BY stream_id, k, n"""),
+    "resampled": sql("sig cen len", f"""SELECT stream_id, m AS idx, {r6('sum(x * h)', 'x')} FROM (SELECT stream_id, unnest(range(0, (n * 3 + 3) // 4)) AS m FROM len) JOIN (
+        SELECT ph, d, h / sum(h) OVER (PARTITION BY ph) AS h FROM (SELECT ph, d, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * 0.69 * t) / (pi() * 0.69 * t) END * (0.35875 + 0.48829 * cos(a) + 0.14128 * cos(2 * a) + 0.01168 * cos(3 * a)) AS h
+        FROM (SELECT ph, d, ph / 3.0 - d AS t, pi() * least(greatest((ph / 3.0 - d) / 93, -1), 1) AS a FROM range(0, 3) u(ph), range(-92, 94) v(d)))) w ON (m * 4) % 3 = ph
+        JOIN cen USING (stream_id) WHERE cen.idx = (m * 4) // 3 + d GROUP BY stream_id, m"""),
+    "frame_bins_sql": sql("frm ex dft", f"SELECT stream_id, frame_id, CAST(k AS INTEGER) AS k, {r6('k * 8000.0 / 64', 'hz')}, {r6('power')} FROM dft"),
     "removed_head": sql("sig sil0 sil", "SELECT * FROM sil ORDER BY stream_id, i0 LIMIT 10"),
     "raw_samples": sql("feat", "SELECT stream_id, idx * 2 + channel AS idx, CAST(trunc(least(greatest(CASE channel WHEN 0 THEN zcr ELSE centroid * 10 END, -32768.0), 32767.0)) AS INTEGER) AS x FROM feat, (VALUES (0), (1)) v(channel)"),
     "stereo_copy": sql("sig", "SELECT stream_id, idx, round(x, 6) AS left, round(x, 6) AS right FROM sig").replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'),

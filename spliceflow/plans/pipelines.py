@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from spliceflow.config import CHANGE_WEIGHTS, Cfar, Fusion
 from spliceflow.functions import signal as fn
+from spliceflow.functions.tables import register
 from spliceflow.helpers import cut, last_before, near
 from spliceflow.operators import changepoint as cp
-from spliceflow.operators import cluster, frames, fusion, reconstruct, segments, silence, spectral
+from spliceflow.operators import cluster, frames, fusion, reconstruct, resample, segments, silence, spectral
 from spliceflow.plans import queries as q
 from spliceflow.plans import tables as t
 
@@ -265,6 +266,25 @@ def whole_spectrum(spark, sf_dir):
     return q._rounded(spectral.whole_spectrum(cut(t.centred(spark, sf_dir)), q.RATE), "hz", "magnitude")
 
 
+@query
+def frame_bins_sql(spark, sf_dir):
+    """The spectrum's bins of each frame, by a table function in SQL."""
+    register(spark)
+    t.frames(spark, sf_dir).createOrReplaceTempView("spliceflow_frames")
+    out = spark.sql(f"SELECT stream_id, frame_id, k, hz, power FROM frame_bins(TABLE(spliceflow_frames), {float(q.RATE)}D)")
+    return q._rounded(out, "hz", "power")
+
+
+@query
+def resampled(spark, sf_dir):
+    """The signal at three quarters of its rate."""
+    rows = t.centred(spark, sf_dir)
+    chunks = rows.groupBy("stream_id", F.floor(F.col("idx") / 4096).alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    chunks = cut(chunks.select("stream_id", "chunk_id", (F.col("chunk_id") * 4096).alias("start_idx"), F.lit(q.RATE).cast("int").alias("rate"), F.col("s.x").alias("samples")))
+    out = resample.resampled(chunks, int(q.RATE * 3 / 4))
+    return q._rounded(out.select("stream_id", "start_idx", F.posexplode("samples").alias("p", "x")).select("stream_id", (F.col("start_idx") + F.col("p")).alias("idx"), "x"), "x")
+
+
 @query
 def removed_head(spark, sf_dir):
     """The first ten silent regions, for a look."""

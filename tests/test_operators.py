@@ -11,7 +11,6 @@ from spliceflow.config import Cfar, Frames
 from spliceflow.operators import changepoint as cp
 from spliceflow.operators import cluster, filters, frames, normalize, reconstruct, segments, silence, spectral
 from spliceflow.plans import pipelines
-from spliceflow.sources import wav
 
 from . import plain
 
@@ -297,21 +296,6 @@ def test_splicing_and_rebuilding(spark):
     assert segments.truth_hits(segs.select("stream_id", F.col("t0").alias("t")), segs.select("stream_id", (F.col("t0") + 1).alias("t")), 2.0).first().hit_rate == 1.0
 
 
-def test_wav_files(spark, tmp_path):
-    x = (np.sin(np.arange(3000) / 9) * 0.9).astype(np.float32)
-    for name, data in (("a", x), ("b", x[:100])):
-        (tmp_path / f"{name}.wav").write_bytes(wav.encode(data, 8000))
-    chunks = wav.read_wav(spark, str(tmp_path))
-    signal = wav.as_signal(chunks)
-    got = {s: by_idx(signal.where(F.col("stream_id") == s), "x") for s in ("a", "b")}
-    assert np.allclose(got["a"], x, atol=1e-4) and len(got["b"]) == 100
-    wrote = {r.stream_id: r for r in wav.write_wav(wav.as_chunks(signal, 8000, 700), f"{tmp_path}-out").collect()}
-    assert {k: r.n_samples for k, r in wrote.items()} == {"a": 3000, "b": 100}
-    again, rate = wav.decode(open(wrote["a"].path, "rb").read())
-    assert rate == 8000 and np.allclose(again, x, atol=2e-4)
-    assert wav.read_wav(spark, str(tmp_path), 4000).agg(F.sum(F.size("samples"))).first()[0] == 1550
-
-
 def spliced(rng, rate=44100, blocks=24):
     """Blocks of a low and a high tone by turns, and the borders between them."""
     x, owner = [], []
