@@ -608,8 +608,8 @@ def stream_gate(spark, sf_dir):
 
 @query
 def stream_stats(spark, sf_dir):
-    """What the online processor tells of every ten blocks of a stream."""
-    settings = Settings(rate=8000, low=100.0, high=3000.0, every=10)
+    """What the online processor tells of every two blocks of a stream."""
+    settings = Settings(rate=8000, low=100.0, high=3000.0, every=2)
     return _rounded(jobs.stats(jobs.replay(frames.tumbling(t.signal(spark, sf_dir), 64), settings)), "mean_rms")
 
 
