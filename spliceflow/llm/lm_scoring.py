@@ -425,7 +425,8 @@ def lm_report(docs: DataFrame) -> DataFrame:
     """One row per document: held_out, token counts, the base score, and the score of a model learnt from the others.
 
     Null and empty texts are one token, the end. A null doc_id is not held out; repeated rows teach as often as they
-    stand. Without training texts all probabilities are uniform over one unknown word.
+    stand. Without training texts all probabilities are uniform over one unknown word. Very long texts are scored whole, in
+    proportion to their length; an empty table gives no rows, and other columns play no part.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     model = train(docs.where(~held).select("text"))

@@ -203,7 +203,8 @@ def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGM
 
     df: doc_id, text and, if only part of a document's tokens bears loss, a column that `loss_share` names (0 to 1, from
     the end; null: all).
-    Null text is empty: one token. Repeated rows are packed each. A sequence's id has its partition in the upper bits.
+    Null text is empty: one token. A very long text is tokenised whole, and cut where sequences end. Repeated rows are
+    packed each, an empty table gives no rows, and other columns play no part. A sequence's id has its partition in the upper bits.
     with_ids adds the piece's ids.
     """
     max_loss = capacity if max_loss is None else max_loss

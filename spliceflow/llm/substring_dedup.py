@@ -215,7 +215,8 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     A word goes if a window of K words that covers it also starts earlier: in a smaller doc_id (null is smallest), or
     earlier in its own document. Windows are judged on the input. Null and empty texts have no words; documents of fewer
     than K words lose none. Rows equal in doc_id and text are one document and get one result each; rows that differ in
-    text under one doc_id are ordered by a hash.
+    text under one doc_id are ordered by a hash. Very long texts are compared whole; an empty table gives no rows, and
+    other columns play no part.
     """
     texts = keyed(docs)
     found = spans(texts)
