@@ -9,9 +9,11 @@ into powers of two, which need no padding. Partitions pack alone, so there is no
 from __future__ import annotations
 
 import functools
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ REMEMBERED = 200_000
 
 #: The tokenizer's own way of cutting text, for texts of plain characters only.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-įı-ſ]*\Z")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-¬®-įı-ſ]*\Z")
 
 
 class Memory(dict):
@@ -42,18 +44,17 @@ class Memory(dict):
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
+    def missing(self, keys: set[str]) -> list[str]:
         """The keys that are not remembered. Room for all keys is made first, so that all stay until the next call."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         out = []
-        for k in keys:
-            if k not in self:
-                if k in self.old:
-                    self[k] = self.old[k]
-                else:
-                    out.append(k)
+        for k in keys.difference(self):
+            if k in self.old:
+                self[k] = self.old[k]
+            else:
+                out.append(k)
         return out
 
 
@@ -96,8 +97,8 @@ class WordTokenizer:
         parts = [_PIECE.findall(w) for w in words]
         self._learn(self.pieces.missing(set(chain.from_iterable(parts))), self.pieces)
         self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in zip(words, parts, strict=True))
-        known = self.words.__getitem__
-        return [self._ids(t) if c is None else np.frombuffer(b"".join(map(known, c)), "<u4") for t, c in zip(texts, cut, strict=True)]
+        known = lambda c: itemgetter(*c)(self.words) if len(c) > 1 else [self.words[w] for w in c]
+        return [self._ids(t) if c is None else np.frombuffer(b"".join(known(c)), "<u4") for t, c in zip(texts, cut, strict=True)]
 
 
 @functools.cache
