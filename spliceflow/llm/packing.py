@@ -12,7 +12,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 from operator import itemgetter
 
 import numpy as np
@@ -50,7 +50,7 @@ class Memory(dict):
             self.old = dict(self)
             self.clear()
         out = []
-        for k in keys.difference(self):
+        for k in list(filterfalse(self.__contains__, keys)):
             if k in self.old:
                 self[k] = self.old[k]
             else:
