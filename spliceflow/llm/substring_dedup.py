@@ -11,7 +11,8 @@ seed stands once in the corpus are unique.
 3. Runs meet at the nodes between them (K - 1 words at a coordinate). Where a node is left as often as it is reached, by
    runs whose sources advance in step, the path doesn't branch: the node goes, and each path becomes one span (start,
    words, source, source start). Both sides of that join share one exchange, as a grouping by node.
-4. Both ends of each span are read again at their coordinates, and spans whose words differ are given up.
+4. Both ends of each span are read again at their coordinates. Where the words differ, as two passages share a hash, the
+   windows of the span are compared by their words with all windows of that hash, and find their true first sources.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, flat_text, in_arrow, joined_with_hot_keys, map_text, window_hashes, word_hashes, word_spans, written
+from .common import NON_SPACE, U64, flat_text, in_arrow, joined_with_hot_keys, map_text, window_hashes, word_hashes, word_spans, written
 
 K, SEED = 20, 5
 #: Places of a seed from which its windows take the way for hot keys.
@@ -37,12 +38,12 @@ COPIES = 16
 _SPAN = "start long, n long, src long, src_start long"
 
 
-def _windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(text: pa.Array, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of K words within rows: row, start in the row, hash, word index of the seed, row's first words, seed hashes."""
     raw, at = flat_text(text)
     starts, ends, first = word_spans(raw, at, NON_SPACE)
     h = word_hashes(raw, starts, ends, lower=False)
-    w = window_hashes(h, K)
+    w = window_hashes(h, K) >> U64(64 - bits)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     p = np.flatnonzero(np.arange(len(w)) + K <= first[1:][row[: len(w)]]) if len(w) else np.empty(0, np.int64)
     s = window_hashes(h, SEED)
@@ -50,9 +51,17 @@ def _windows(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row[p], p - first[row[p]], w[p], seed_at, first, s
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, text. Rows equal in doc_id and text share a uid: they are one document."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+def keyed(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """uid, doc_id, text. Rows equal in doc_id and text share a uid: they are one document.
+
+    Where different rows meet in a uid, a second hash tells them apart, so no two documents are taken for one.
+    """
+    rows = docs.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - bits).alias("uid"), F.xxhash64("text", "doc_id").alias("__other"), "doc_id", "text")
+    twins = rows.groupBy("uid").agg((F.min("__other") != F.max("__other")).alias("__twins")).where("__twins")
+    if twins.isEmpty():
+        return rows.drop("__other")
+    rows = rows.join(written(twins), "uid", "left")
+    return rows.withColumn("uid", F.when(F.col("__twins"), F.xxhash64("uid", "__other")).otherwise(F.col("uid"))).drop("__other", "__twins")
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
@@ -66,11 +75,11 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return map_text(docs.select("uid", "text"), find, "seed long, uid long, pos int")
 
 
-def _edges(docs: DataFrame) -> DataFrame:
+def _edges(docs: DataFrame, bits: int) -> DataFrame:
     """docs with marks (2 * seed position + hot) -> one row for each marked seed place: its windows from p1 on."""
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, start, w, seed_at, first, s = _windows(batch.column("text"))
+        row, start, w, seed_at, first, s = _windows(batch.column("text"), bits)
         marks = batch.column("marks")
         values = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         of = np.repeat(first[:-1], np.diff(marks.offsets.to_numpy()))
@@ -149,14 +158,14 @@ def _compacted(runs: DataFrame) -> DataFrame:
     return per_doc.withColumn("words", F.lit(K - 1).cast("long")).select("uid", spans.alias("spans"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, bits: int = 64) -> DataFrame:
     """uid, spans: the words of each document that windows with an earlier equal cover. docs: as keyed() gives them."""
     seeds = _seeds(docs)
     counts = written(seeds.groupBy("seed").agg(F.count("*").alias("places")).where("places > 1"))
     has_hot = not counts.where(F.col("places") > HOT).isEmpty()
     placed = joined_with_hot_keys(seeds, counts, "seed", F.col("uid"), HOT) if has_hot else seeds.join(counts, "seed")
     marks = placed.groupBy("uid").agg(F.collect_list((F.col("pos") * 2 + (F.col("places") > HOT).cast("int"))).alias("marks"))
-    edges = _edges(docs.join(marks, "uid").select("uid", "doc_id", "text", "marks"))
+    edges = _edges(docs.join(marks, "uid").select("uid", "doc_id", "text", "marks"), bits)
     salt = F.when(F.col("hot"), F.pmod(F.col("uid"), F.lit(1024))).otherwise(0)
     dealt = edges.repartition("seed", salt)
     runs = in_arrow(dealt.where("not hot").sortWithinPartitions("seed", "doc_id", "uid", "p1"), _runs, f"uid long, {_SPAN}")
@@ -209,17 +218,55 @@ def _applied(rows: DataFrame, with_text: bool) -> DataFrame:
     return map_text(rows.select("uid", "doc_id", "text", "spans", "asked"), apply, schema)
 
 
-def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def _by_words(docs: DataFrame, wrong: DataFrame, bits: int) -> DataFrame:
+    """uid, found: windows of K words that also start earlier, for all windows that share a hash with one inside of the spans
+    `wrong` (uid, spans). Here windows are equal if their words are (by SHA-256)."""
+
+    def inside(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, w, seed_at, first, s = _windows(batch.column("text"), bits)
+        lists = batch.column("spans")
+        flat, of = lists.flatten(), np.repeat(first[:-1], np.diff(lists.offsets.to_numpy()))
+        a, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+        marks = np.zeros(first[-1] + 1, np.int64)
+        np.add.at(marks, of + a, 1)
+        np.add.at(marks, of + a + n - K + 1, -1)
+        keep = np.flatnonzero(np.cumsum(marks)[first[row] + start] > 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (s[seed_at], w)], names=["seed", "h"])
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], []]
+        for doc, uid, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "uid", "text", "places")), strict=True):
+            words = (text or "").encode("utf-8").split()
+            for p in places:
+                for column, value in zip(out, (doc, uid, p, hashlib.sha256(b" ".join(words[p : p + K])).digest()), strict=True):
+                    column.append(value)
+        kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "uid", "p", "said"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    asked = written(map_text(docs.join(wrong, "uid").select("text", F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"))).alias("spans")), inside, "seed long, h long").distinct())
+    marks = _seeds(docs).join(asked.select("seed").distinct(), "seed", "left_semi").groupBy("uid").agg(F.collect_list(F.col("pos") * 2).alias("marks"))
+    edges = _edges(docs.join(marks, "uid").select("uid", "doc_id", "text", "marks"), bits)
+    windows = edges.select("uid", "seed", (F.posexplode("hashes").alias("i", "h")), "p1").select("uid", "seed", "h", (F.col("p1") + F.col("i")).cast("long").alias("p"))
+    places = windows.join(asked, ["seed", "h"], "left_semi").groupBy("uid").agg(F.collect_set("p").alias("places"))
+    said = written(map_text(docs.join(places, "uid").select("doc_id", "uid", "text", "places"), read, f"doc_id {id_type}, uid long, p long, said binary"))
+    firsts = said.groupBy("said").agg(F.min(F.struct("doc_id", "uid", "p")).alias("f"))
+    later = said.join(firsts, "said").where("uid <> f.uid or p <> f.p")
+    span = F.struct(F.col("p").alias("start"), F.lit(K).cast("long").alias("n"), F.col("f.uid").alias("src"), F.col("f.p").alias("src_start"))
+    return later.groupBy("uid").agg(F.collect_set(span).alias("found"))
+
+
+def without_repeats(docs: DataFrame, with_text: bool = False, bits: int = 64) -> DataFrame:
     """One row per document: words, words removed and a digest of those kept (with_text: also the text of these).
 
     A word goes if a window of K words that covers it also starts earlier: in a smaller doc_id (null is smallest), or
     earlier in its own document. Windows are judged on the input. Null and empty texts have no words; documents of fewer
     than K words lose none. Rows equal in doc_id and text are one document and get one result each; rows that differ in
     text under one doc_id are ordered by a hash. Very long texts are compared whole; an empty table gives no rows, and
-    other columns play no part.
+    other columns play no part. bits: how many bits the hashes of documents and windows have; the result is the same.
     """
-    texts = keyed(docs)
-    found = spans(texts)
+    texts = keyed(docs, bits)
+    found = spans(texts, bits)
     asked = found.select(F.explode("spans").alias("x")).select(F.col("x.src").alias("uid"), F.col("x.src_start").alias("start"), F.col("x.n").alias("n")).distinct()
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
     result = written(_applied(texts.join(found, "uid", "left").join(asked, "uid", "left"), with_text))
@@ -229,9 +276,12 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     cols = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     if wrong.isEmpty():
         return result.select(*cols)
-    # two different passages had one hash: those spans are given up, in the documents that have them
+    # two different passages had one hash: the windows of these spans are looked at by their words
     bad = wrong.groupBy("uid").agg(F.collect_set(F.struct("src", "start", "n")).alias("bad"))
-    again = texts.join(found, "uid").join(bad, "uid")
-    good = F.filter("spans", lambda x: ~F.array_contains("bad", F.struct(x["src"].alias("src"), x["src_start"].alias("start"), x["n"].alias("n"))))
-    again = _applied(again.withColumn("spans", good).withColumn("asked", F.lit(None).cast("array<struct<start:long,n:long>>")), with_text)
+    held = found.join(bad, "uid")
+    is_bad = lambda x: F.array_contains("bad", F.struct(x["src"].alias("src"), x["src_start"].alias("start"), x["n"].alias("n")))
+    exact = _by_words(texts, held.select("uid", F.filter("spans", is_bad).alias("spans")), bits)
+    good = held.select("uid", F.filter("spans", lambda x: ~is_bad(x)).alias("good")).join(exact, "uid", "left")
+    mended = texts.join(good.select("uid", F.concat("good", F.coalesce("found", F.array().cast(found.schema["spans"].dataType))).alias("spans")), "uid")
+    again = _applied(mended.withColumn("asked", F.lit(None).cast("array<struct<start:long,n:long>>")), with_text)
     return result.join(bad, "uid", "left_anti").unionByName(again).select(*cols)

@@ -116,6 +116,26 @@ def test_substring_dedup(spark, monkeypatch, hot, most):
     assert kept[11] == "" or kept[11] == "x" and kept[10] == ""
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_substring_dedup_where_hashes_clash(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    words = lambda n: [f"w{rng.randrange(12)}" for _ in range(n)]
+    docs = [(d, t) for d, t in documents() if d is not None]
+    for d in range(100, 140):
+        a = rng.randrange(30)
+        docs.append((d, " ".join(words(rng.randrange(20)) + passage[a : a + rng.randrange(25, 31)] + words(rng.randrange(30)))))
+    exp = ordered(brute.substring_dedup(docs + docs[-3:]))
+    exp = ordered(next(r for r in exp if r[0] == d) for d, _ in docs)
+    clashes = []
+    by_words = substring_dedup._by_words
+    monkeypatch.setattr(substring_dedup, "_by_words", lambda *a: clashes.append(1) or by_words(*a))
+    assert rows(substring_dedup.without_repeats(table(spark, docs), bits=2)) == exp and clashes
+    clashes.clear()
+    assert rows(substring_dedup.without_repeats(table(spark, docs))) == exp and not clashes
+
+
 def test_language_model(spark):
     docs = [(d, t) for d, t in documents()[:22]]
     got, exp = rows(lm_scoring.lm_report(table(spark, docs))), ordered(brute.lm(docs))
