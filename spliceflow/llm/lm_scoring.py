@@ -1,14 +1,14 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays and memory-mapped.
 
 1. Words are counted by hash; the sorted hashes are the vocabulary, and a word's place among them is its id.
-2. Bigrams become 64-bit keys (context id, word id). Tasks merge their own, then send sorted runs to shards by context,
-   where they are merged; a shard holds all successors of its contexts, so it knows their totals and how many followed
+2. Bigrams become 64-bit keys of a shard: the context's place in its shard, and the word id. Tasks merge their own, then
+   send sorted runs to shards by context, where they are merged; a shard holds all successors of its contexts, so it knows their totals and how many followed
    once, twice, more often. A context that is frequent enough to fill a shard has several of its own, by the second word,
    and what these know of it is added up. Shards pass on in how many contexts each word was seen, the lower order's counts.
 3. Shards are NumPy files in the shared folder. Workers map them, so a model larger than memory costs page cache only.
    The folder (spark.checkpoint.dir) must be a mounted one (file:) for that.
 
-What is collected is one row for each shard, the frequent words among them.
+What is collected is one row for each shard of the vocabulary and for each frequent context, and sums over the others.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ END = U64(0xE5D1A3B7C9F24680)
 #: Bigrams that a task merges before it sends them on, and those for which a shard is meant; a context that stands more
 #: often has shards of its own.
 RUN, SHARD = 1_500_000, 2_000_000
-_LOW = U64(0xFFFFFFFF)
-#: A bigram's key holds two word ids of 32 bits, and one id stands for the start: beyond that, learning refuses to go on.
-MAX_WORDS = (1 << 32) - 2
+#: Tasks that merge shards at most, each one shard after the other, and shards whose files share a folder.
+MERGERS, IN_FOLDER = 20_000, 4096
 #: What a shard of bigrams, and of words, has to say.
 _RUN = pa.struct([("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 MERGED = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("classes", pa.list_(pa.int64())), ("part", pa.list_(pa.int64())), ("runs", pa.list_(_RUN))])
@@ -69,8 +68,13 @@ def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _file(folder: str, name: str, shard: int) -> str:
+    return f"{folder}/{shard // IN_FOLDER:05d}/{name}-{shard % IN_FOLDER:04d}.npy"
+
+
 def _save(path: str, x: np.ndarray) -> None:
     """Written aside and renamed: a task that runs twice leaves one whole file."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(temporary, "wb") as f:
         np.save(f, x)
@@ -167,29 +171,27 @@ def _vocabulary(docs: DataFrame, folder: str) -> Vocabulary:
     return Vocabulary(folder, np.array(first, U64), first_id, sum(sizes), sum(r["total"] for r in shards), often)
 
 
-def _bigrams(text: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids (-1: not known), their counts, context ids (vocabulary.size: the start), and each row's first token."""
+def _bigrams(text: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words' ids (-1: not known) and counts; each token's word and context among these (their number: the start),
+    and each row's first token."""
     h, first = tokens(text)
-    distinct, inverse = np.unique(h, return_inverse=True)
+    distinct, word = np.unique(h, return_inverse=True)
     ids, counts = vocabulary.ids(distinct)
-    ids, counts = ids[inverse], counts[inverse]
-    context = np.empty_like(ids)
-    context[1:] = ids[:-1]
-    context[first[:-1]] = vocabulary.size
-    return ids, counts, context, first
-
-
-def _of_shard(ids: np.ndarray, shards: int, size: int) -> np.ndarray:
-    return np.minimum(ids * shards // (size + 1), shards - 1)
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[first[:-1]] = len(distinct)
+    return ids, counts, word, context, first
 
 
 @dataclass
 class Dealt:
-    """The shard of a bigram: by its context, and by its word too where the context is one of `often` (sorted), which
-    has `parts` shards from `first` on."""
+    """The shard of a bigram: of its context, with `width` contexts each; by its word where the context is one of `often`
+    (sorted), which has `parts` shards from `first` on. A key has the context's place in the shard above the word's bits,
+    so that any number of words fits."""
 
     size: int
     shards: int
+    width: int
     often: np.ndarray
     parts: np.ndarray
     first: np.ndarray
@@ -201,25 +203,33 @@ class Dealt:
         end = vocabulary.ids(np.array([END]))[0][0]
         start = ids == end
         ids, times = np.append(ids[~start], ids[start] * 0 + vocabulary.size), np.append(times[~start], times[start])
-        parts = -(-times // SHARD)
-        shards = max(1, -(-vocabulary.total // SHARD))
-        return cls(vocabulary.size, shards, ids, parts, shards + np.cumsum(parts) - parts)
+        parts, size = -(-times // SHARD), vocabulary.size
+        width = max(1, min(-(-(size + 1) // max(1, -(-vocabulary.total // SHARD))), 1 << (63 - size.bit_length())))
+        shards = size // width + 1
+        return cls(size, shards, width, ids, parts, shards + np.cumsum(parts) - parts)
 
     @property
     def total(self) -> int:
         return self.shards + int(self.parts.sum())
 
+    @property
+    def bits(self) -> int:
+        return self.size.bit_length()
+
     def frequent(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the frequent contexts stand, and which of `often` they are."""
         at = np.searchsorted(self.often, context)
         where = np.flatnonzero(np.append(self.often, -1)[at] == context)
         return where, at[where]
 
-    def of_bigrams(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = _of_shard(context, self.shards, self.size)
+    def of_bigrams(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shards and keys. A word that is not known counts as the first one."""
+        word = np.maximum(word, 0)
+        shard, place = context // self.width, context % self.width
         where, k = self.frequent(context)
-        out[where] = self.first[k] + np.maximum(word[where], 0) * self.parts[k] // (self.size + 1)
-        return out
+        shard[where] = self.first[k] + word[where] // (-(-self.size // self.parts[k]))
+        place[where] = 0
+        return shard, (place.astype(U64) << U64(self.bits)) | word.astype(U64)
 
 
 def _emit(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
@@ -230,22 +240,23 @@ def _emit(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[t
 
 def _runs(docs: DataFrame, vocabulary: Vocabulary, dealt: Dealt) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            keys, counts = _counted(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
-            waiting[:] = [(keys, counts)]
-            to = dealt.of_bigrams((keys >> U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64))
-            order = np.argsort(to, kind="stable")
-            rows = list(_emit(keys[order], counts[order], to[order]))
-            shard, k, n = zip(*rows, strict=True) if rows else ((), (), ())
+            to, keys, counts = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.lexsort((keys, to))
+            to, keys, counts = to[order], keys[order], counts[order]
+            new = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (keys[1:] != keys[:-1]))))
+            rows = list(_emit(keys[new], np.add.reduceat(counts, new), to[new]))
+            shard, k, n = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], names=["shard", "keys", "counts"])
 
         for batch in batches:
             for part in slices(batch):
-                ids, _, context, _ = _bigrams(part.column("text"), vocabulary)
-                waiting.append(_counted((context.astype(U64) << U64(32)) | ids.astype(U64)))
-                if sum(len(k) for k, _ in waiting) > RUN:
+                ids, _, word, context, _ = _bigrams(part.column("text"), vocabulary)
+                pair, n = np.unique(context * len(ids) + word, return_counts=True)
+                waiting.append((*dealt.of_bigrams(np.append(ids, vocabulary.size)[pair // len(ids)], ids[pair % len(ids)]), n))
+                if sum(len(k) for _, k, _ in waiting) > RUN:
                     yield flush()
                     waiting.clear()
         if waiting:
@@ -276,7 +287,7 @@ def _by_shard(df: DataFrame, shards: int, kind: type, finish: Callable[[int, np.
         if waiting:
             yield done()
 
-    return df.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, from_arrow_schema(schema))
+    return df.repartition(min(shards, MERGERS), "shard").sortWithinPartitions("shard").mapInArrow(merge, from_arrow_schema(schema))
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -305,7 +316,7 @@ class Model:
     folder: str
     dealt: Dealt
     totals: np.ndarray  # of the frequent contexts, what stats has of others
-    ranges: int
+    range_width: int
     discount: tuple[float, float, float]
     lower: tuple[float, float, float]
     lower_left: float  # the lower order's weight for the uniform distribution
@@ -316,38 +327,44 @@ class Model:
         size = self.vocabulary.size
         p = np.full(len(ids), self.lower_left / (size + 1))
         if self.bigrams:
-            part = _of_shard(ids, self.ranges, size)
+            part = ids // self.range_width
             for r in np.unique(part[ids >= 0]):
                 mine = np.flatnonzero((part == r) & (ids >= 0))
-                known = _Mapped.get(f"{self.folder}/word-{r:05d}.npy")
+                known = _Mapped.get(_file(self.folder, "word", r))
                 at = np.minimum(np.searchsorted(known, ids[mine]), len(known) - 1)
-                n = np.where(known[at] == ids[mine], _Mapped.get(f"{self.folder}/seen-{r:05d}.npy")[at].astype(np.int64), 0)
+                n = np.where(known[at] == ids[mine], _Mapped.get(_file(self.folder, "seen", r))[at].astype(np.int64), 0)
                 p[mine] += (n - np.array((0.0, *self.lower))[np.minimum(n, 3)]) / self.bigrams
         return p
 
     def log10(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        distinct, inverse = np.unique(ids, return_inverse=True)
-        low = self._word(distinct)[inverse]
+        """Of tokens with these word ids (-1: not known) after these contexts (the vocabulary's size: the start)."""
+        words, word = np.unique(ids, return_inverse=True)
+        contexts, place = np.unique(context, return_inverse=True)
+        return self._log10(words, word, contexts, place)
+
+    def _log10(self, words: np.ndarray, word: np.ndarray, contexts: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """As log10, of words[word] after contexts[place]."""
+        sorted_words, back = np.unique(words, return_inverse=True)
+        low = self._word(sorted_words)[back][word]
         # tokens whose context is known, by distinct bigram
-        at = np.flatnonzero(context >= 0)
-        key, back = np.unique((context[at].astype(U64) << U64(32)) | (ids[at] + 1).astype(U64), return_inverse=True)
-        u, w = (key >> U64(32)).astype(np.int64), (key & _LOW).astype(np.int64) - 1
-        shard = self.dealt.of_bigrams(u, w)
+        at = np.flatnonzero(contexts[place] >= 0)
+        key, back = np.unique(place[at] * len(words) + word[at], return_inverse=True)
+        u, w = contexts[key // max(1, len(words))], words[key % max(1, len(words))]
+        shard, asked = self.dealt.of_bigrams(u, w)
         order = np.argsort(shard, kind="stable")
         used, cut = np.unique(shard[order], return_index=True)
         n, stats = np.zeros(len(key), np.int64), np.zeros((len(key), 4), np.int64)
         for s, mine in zip(used, np.split(order, cut[1:]), strict=False):
-            if not os.path.exists(f"{self.folder}/key-{s:05d}.npy"):
+            if not os.path.exists(_file(self.folder, "key", s)):
                 continue
-            load = lambda name, s=s: _Mapped.get(f"{self.folder}/{name}-{s:05d}.npy")
+            load = lambda name, s=s: _Mapped.get(_file(self.folder, name, s))
             if s < self.dealt.shards:
                 contexts = load("context")
                 i = np.minimum(np.searchsorted(contexts, u[mine]), len(contexts) - 1)
                 stats[mine] = np.where((contexts[i] == u[mine])[:, None], load("stats")[i], 0)
             keys = load("key")
-            asked = (u[mine].astype(U64) << U64(32)) | np.maximum(w[mine], 0).astype(U64)
-            j = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            n[mine] = np.where((keys[j] == asked) & (w[mine] >= 0), load("count")[j].astype(np.int64), 0)
+            j = np.minimum(np.searchsorted(keys, asked[mine]), len(keys) - 1)
+            n[mine] = np.where((keys[j] == asked[mine]) & (w[mine] >= 0), load("count")[j].astype(np.int64), 0)
         where, k = self.dealt.frequent(u)
         stats[where] = self.totals[k]
         d, total = np.array((0.0, *self.discount)), np.maximum(stats[:, 0], 1).astype(float)
@@ -363,46 +380,42 @@ def train(docs: DataFrame) -> Model:
     folder = _local(shared_folder(docs.sparkSession))
     vocabulary = _vocabulary(docs, f"{folder}/vocabulary")
     size = vocabulary.size
-    if size >= MAX_WORDS:
-        raise ValueError(f"{size} distinct words: word ids have 32 bits")
     dealt = Dealt.of(vocabulary)
-    ranges = max(1, -(-size // SHARD))
-    os.makedirs(f"{folder}/model", exist_ok=True)
+    range_width = SHARD
+    ranges = max(1, -(-size // range_width))
 
     def finish(shard: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-        context = (keys >> U64(32)).astype(np.int64)
+        context = (keys >> U64(dealt.bits)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         stats = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
         small = counts.astype(next(t for t in (np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(t).max))
-        known = () if shard >= dealt.shards else (("context", context[first]), ("stats", stats))
+        known = () if shard >= dealt.shards else (("context", context[first] + shard * dealt.width), ("stats", stats))
         for name, x in (("key", keys), ("count", small), *known):
-            _save(f"{folder}/model/{name}-{shard:05d}.npy", x)
-        words, seen = _counted((keys & _LOW).astype(np.int64))
-        rows = list(_emit(words.astype(np.uint32), seen, _of_shard(words, ranges, size)))
+            _save(_file(f"{folder}/model", name, shard), x)
+        words, seen = _counted((keys & U64((1 << dealt.bits) - 1)).astype(np.int64))
+        rows = list(_emit(words, seen, words // range_width))
         part = [] if known else stats[0].tolist()
         return {"shard": shard, "n": len(keys), "classes": _classes(counts).tolist(), "part": part, "runs": [{"shard": s, "keys": k, "counts": c} for s, k, c in rows]}
 
     runs = _runs(docs, vocabulary, dealt)
     merged = written(_by_shard(runs, dealt.total, U64, finish, MERGED))
-    told = merged.select("shard", "n", "classes", "part").collect()
     totals = np.zeros((len(dealt.often), 4), np.int64)
-    for r in told:
-        if r["part"]:
-            totals[np.searchsorted(dealt.first, r["shard"], side="right") - 1] += r["part"]
+    for r in merged.where("size(part) > 0").select("shard", "part").collect():
+        totals[np.searchsorted(dealt.first, r["shard"], side="right") - 1] += r["part"]
 
     def finish_words(part: int, words: np.ndarray, seen: np.ndarray) -> dict:
-        _save(f"{folder}/model/word-{part:05d}.npy", words.astype(np.int64))
-        _save(f"{folder}/model/seen-{part:05d}.npy", seen)
+        _save(_file(f"{folder}/model", "word", part), words)
+        _save(_file(f"{folder}/model", "seen", part), seen)
         return {"classes": _classes(seen).tolist(), "more": int((seen > 2).sum())}
 
     parts = merged.select(F.explode("runs").alias("r")).select("r.*")
-    lower = _by_shard(parts, ranges, np.uint32, finish_words, WORDS).collect()
-    bigrams = sum(r["n"] for r in told)
-    total = lambda rows: np.sum([r["classes"] for r in rows], 0) if rows else np.zeros(4)
-    classes = total(lower)
-    low = _discounts(classes)
-    rest = (low[0] * classes[0] + low[1] * classes[1] + low[2] * sum(r["more"] for r in lower)) / bigrams if bigrams else 1.0
-    return Model(vocabulary, f"{folder}/model", dealt, totals, ranges, _discounts(total(told)), low, float(rest), bigrams)
+    lower = written(_by_shard(parts, ranges, np.int64, finish_words, WORDS))
+    sums = lambda df, *more: df.agg(*[F.coalesce(F.sum(F.get("classes", F.lit(i))), F.lit(0)) for i in range(4)], *[F.coalesce(F.sum(c), F.lit(0)) for c in more]).first()
+    *classes, bigrams = sums(merged, "n")
+    *low_classes, more = sums(lower, "more")
+    low = _discounts(low_classes)
+    rest = (low[0] * low_classes[0] + low[1] * low_classes[1] + low[2] * more) / bigrams if bigrams else 1.0
+    return Model(vocabulary, f"{folder}/model", dealt, totals, range_width, _discounts(classes), low, float(rest), bigrams)
 
 
 def scored(df: DataFrame, model: Model) -> DataFrame:
@@ -410,11 +423,12 @@ def scored(df: DataFrame, model: Model) -> DataFrame:
     vocabulary = model.vocabulary
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, counts, context, first = _bigrams(batch.column("text"), vocabulary)
-        base = np.log10((counts + 1) / (vocabulary.total + vocabulary.size + 1))
+        ids, counts, word, context, first = _bigrams(batch.column("text"), vocabulary)
+        base = np.log10((counts + 1) / (vocabulary.total + vocabulary.size + 1))[word]
+        score = model._log10(ids, word, np.append(ids, vocabulary.size), context)
         of_row = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.empty(0)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(of_row((counts > 0).astype(np.int64)).astype(np.int64)), pa.array(of_row(base)), pa.array(of_row(model.log10(ids, context)))],
+            [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(of_row((counts > 0).astype(np.int64)[word]).astype(np.int64)), pa.array(of_row(base)), pa.array(of_row(score))],
             names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
         )
 
