@@ -46,9 +46,13 @@ DIGITS = {
 }
 _NUMBER = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r"|[0-9])(?![^\W\d_])"
 _PLUS = r"(?:\bplus[ ,-]+|\+ ?)"
-#: At least eight digits in a row, of which one is a word, with one separator or two between them.
-_SPELLED = re.compile(rf"{_PLUS}?(?<![^\W_]){_NUMBER}(?:[ ,;-]{{0,2}}(?:dot[ ,]+|point[ ,]+|\. ?)?(?<![^\W\d_]){_NUMBER}){{3,}}", re.I)
+#: At least four digits in a row, with one separator or two between them; a full stop and a blank end a sentence.
+_SPELLED = re.compile(rf"{_PLUS}?(?<![^\W_]){_NUMBER}(?:[ ,;-]{{0,2}}(?:dot[ ,]+|point[ ,]+|\.)?(?<![^\W\d_]){_NUMBER}){{3,}}", re.I)
 _WORD_OR_SIGN = re.compile(rf"(?P<plus>plus\b|\+)|(?P<dot>dot\b|point\b|\.)|(?P<n>{_NUMBER})", re.I)
+#: What announces a telephone number, in the languages of the corpus. Ten and more digit words without a
+#: plus are one only after such a word, or if digits stand among them; otherwise somebody is counting.
+_CUE = re.compile(r"(?<![^\W\d_])(?:phone|telephone|mobile|cell|call|tel|dial|fax|whatsapp|sms|text|number|reach|contact|telefon|telefonnummer|nummer|handy|anrufen|ruf|téléphone|numéro|appelez|appeler|portable|teléfono|telefono|número|llama|llame|llamar|móvil)(?![^\W\d_])", re.I)
+CUE_REACH = 60
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 #: Signs of a disguised address, without the white space around them: in brackets, in underscores, or as words.
 _AT = re.compile(rf"(?P<sure>{_OPEN}\s*(?:at|@)\s*{_CLOSE}|_at_)|(?<!\S)at(?!\S)|@", re.I)
@@ -255,7 +259,8 @@ def disguised_spans(text: str) -> list[Span]:
             out += [(k, *number.source(s, e)) for k, s, e in base_spans(number.text) if k != "email"]
             for m in re.finditer(r"(?<![+0-9.])[0-9]{10,15}(?![0-9.])", number.text):  # spelled out without a plus
                 s, e = number.source(*m.span())
-                if e - s > 2 * (m.end() - m.start()):
+                announced = any(c.isdigit() for c in text[s:e]) or _CUE.search(text, max(0, s - CUE_REACH), s)
+                if e - s > 2 * (m.end() - m.start()) and announced:
                     out.append(("phone", s, e))
     return out
 

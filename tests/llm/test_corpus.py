@@ -213,13 +213,18 @@ def test_disguises(text, kind, hit):
     ("text", "kind"),
     [
         ("plus four 9 one 5 two 0 three 4 six 7", "phone"), ("+4 nine 1 five 5 zero 1 two 3 four", "phone"), ("five five 5 one two 3 four five 6 seven", "phone"),
-        ("one dot two dot three dot four", "ip"), ("plus one ſıx 5 five 1 two three 4 fİve", "phone"),
+        ("one dot two dot three dot four", "ip"), ("one.two.three.four", "ip"), ("plus one ſıx 5 five 1 two three 4 fİve", "phone"),
     ],
 )
 def test_digits_and_words_mixed(text, kind):
     assert pii.redact(f"x: {text}!") == f"x: <{kind.upper()}>!"
 
 
+def test_spelled_numbers_that_are_announced():
+    text = "call me: five five five one two three four five six seven, thanks"
+    assert pii.redact(text) == "call me: <PHONE>, thanks" and pii.redact(text.replace("call me", "recall it")) == text.replace("call me", "recall it")
+
+
 def test_spelling_gate(monkeypatch):
     rng = random.Random(9)
     parts = [*pii.DIGITS, *map(str, range(10)), *"0123456789", "plus", "+", "dot", "point", ".", "Two", "SIX", "ſeven", "sİx", "at", "tone"]
@@ -230,7 +235,7 @@ def test_spelling_gate(monkeypatch):
     assert sum(bool(added) for _, added in gated) > 200
 
 
-@pytest.mark.parametrize("text", ["look at this. And dot the i", "meet at noon at the dot", "one two three", "", "at dot", "Привет мир, как дела"])
+@pytest.mark.parametrize("text", ["look at this. And dot the i", "meet at noon at the dot", "one two three", "", "at dot", "Привет мир, как дела", "I said one. Two. Three. Four. And left.", "seats: one one two two three three four four five five", "Punkt eins. zwei. drei. vier."])
 def test_no_disguise(text):
     assert pii.all_spans(text) == ([], [])
 
@@ -246,6 +251,52 @@ def test_licenses(spark):
     assert by[1].spans.startswith("mit:1:")
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("The code is licensed under the terms of the MIT License.", "mit"), ("Released under the permissive MIT license", "mit"),
+        ("Licensed under the 2-clause BSD license", "bsd"), ("Distributed under the Apache License, Version 2.0", "apache-2.0"),
+        ("licensed under the GNU Affero General Public License v3", "agpl,gpl"), ("You should have received a copy of the GNU Lesser General Public License along with this library", "gpl,lgpl"),
+        ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"), ("licensed under CC BY 4.0", "cc-by"), ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"), ("The MIT campus is under the bridge, the license office next to it", ""),
+        ("licensed under the law of the state and seven other acts, not the MIT license", ""), ("copy of the software under the terms", ""),
+    ],
+)
+def test_notices(text, labels):
+    assert ",".join(license_scans.scan(text)[5]) == labels
+
+
+def chained(template, doc, least, gap):
+    """The most words of a template that one chain of its maximal matches in a text covers, by trying all of them."""
+    matches = [(d, p, n) for d in range(len(doc)) for p in range(len(template)) for n in [next((n for n in range(min(len(doc) - d, len(template) - p), 0, -1) if doc[d : d + n] == template[p : p + n]), 0)] if n >= least and (not d or not p or doc[d - 1] != template[p - 1])]
+    best = {}
+    for d, p, n in sorted(matches):
+        best[d, p, n] = n
+        for (d0, p0, n0), c in list(best.items()):
+            over = max(0, d0 + n0 - d, p0 + n0 - p)
+            if (d0, p0, n0) != (d, p, n) and over < n and p + over >= p0 + n0 and d + over >= d0 + n0 and max(d - d0 - n0, p - p0 - n0) <= gap:
+                best[d, p, n] = max(best[d, p, n], c + n - over)
+    return max(best.values(), default=0)
+
+
+def test_chains_against_all_chains(monkeypatch):
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(20)]
+    monkeypatch.setattr(license_scans, "TEMPLATES", (("x", " ".join(template)),))
+    license_scans._built.cache_clear()
+    try:
+        for _ in range(300):
+            doc, at = [], 0
+            while at < 20:
+                n = rng.randrange(1, 9)
+                doc += template[at : at + n] + ["y"] * rng.choice([0, 1, 3, 11, 14])
+                at += n + rng.choice([0, 0, 1, 2, -2]) if at + n > 2 else n
+            got = max((share for _, share, _, _ in license_scans.chains([w.encode() for w in doc])), default=0)
+            assert got == pytest.approx(min(1.0, chained(template, doc, 4, 12) / 20))
+    finally:
+        license_scans._built.cache_clear()
+
+
 def test_suffix_automaton():
     rng = random.Random(5)
     texts = [[rng.randrange(4) for _ in range(40)] for _ in range(3)]
