@@ -79,7 +79,8 @@ def in_order(df: DataFrame, position: str, start: Callable[[], Any], schema: str
 
 
 def with_index(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "idx") -> DataFrame:
-    """Number rows from 0 by `order` within keys. bucket: a coarse value that grows with the order, such as the day.
+    """Number rows from 0 by `order` within keys. bucket: a coarse value that grows with the order, such as
+    the minute; few enough rows of a key share one to be ordered in one task.
 
     Rows are numbered within (keys, bucket); what lies in earlier buckets is added from a table of counts.
     """
@@ -126,17 +127,26 @@ def last_before(df: DataFrame, value: Column, name: str, inclusive: bool = False
     return out.drop("__chunk", "__value", "__carried")
 
 
-def running_sum(df: DataFrame, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Add the sum of value over the rows up to this one, in order of idx within stream_id."""
+def _running(df: DataFrame, value: Column, name: str, total: Callable[[str], Column], both: Callable[[Column, Column], Column], chunk: int) -> DataFrame:
     df = df.withColumns({"__chunk": F.floor(F.col("idx") / chunk), "__value": value})
-    sums = df.groupBy("stream_id", "__chunk").agg(F.sum("__value").alias("__sum"))
+    totals = df.groupBy("stream_id", "__chunk").agg(total("__value").alias("__total"))
     earlier = Window.partitionBy("stream_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("stream_id", "__chunk", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carried"))
+    totals = totals.select("stream_id", "__chunk", total("__total").over(earlier).alias("__carried"))
     w = Window.partitionBy("stream_id", "__chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(sums, ["stream_id", "__chunk"]).withColumn(name, F.sum("__value").over(w) + F.col("__carried"))
+    out = df.join(totals, ["stream_id", "__chunk"]).withColumn(name, both(total("__value").over(w), F.col("__carried")))
     return out.drop("__chunk", "__value", "__carried")
 
 
+def running_sum(df: DataFrame, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add the sum of value over the rows up to this one, in order of idx within stream_id."""
+    return _running(df, value, name, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)), chunk)
+
+
+def running_max(df: DataFrame, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add the greatest value of the rows up to this one, in order of idx within stream_id."""
+    return _running(df, value, name, F.max, F.greatest, chunk)
+
+
 def runs(df: DataFrame, name: str = "run") -> DataFrame:
     """Number gap-free runs of idx within stream_id by their first idx. df: rows that passed a filter; idx has holes."""
     marked = last_before(cut(df), F.col("idx"), "__prev")
@@ -144,12 +154,13 @@ def runs(df: DataFrame, name: str = "run") -> DataFrame:
     return last_before(marked, F.when(new, F.col("idx")), name, inclusive=True).drop("__prev")
 
 
-def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[str] | None = None, at_place: bool = False) -> DataFrame:
     """Exact percentiles by linear interpolation: one row per key, one column for each name -> share (0 to 1).
 
     A mergeable sketch says between which two values each wanted rank lies, about a thousandth of a key's rows apart
     whatever the distribution; the rows below are counted, and only those between are looked at by value. Equal values
     count as one. Should a rank lie outside (the sketch promises that none does), the key is looked at more widely.
+    at_place: no interpolation, but the value at place floor(share * rows), counted from 0.
     """
     keys = ["stream_id"] if keys is None else keys
     df = cut(df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)"))
@@ -171,7 +182,8 @@ def percentiles(df: DataFrame, value: str, wanted: dict[str, float], keys: list[
         # null values, all that lies below, come first
         upto = Window.partitionBy(*keys, "__i").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0)
         told = told.withColumn("__upto", F.sum("__m").over(upto)).where("__v is not null")
-        rank = (F.col("__n") - 1) * F.get(F.array(*[F.lit(float(p)) for p in shares]), F.col("__i"))
+        share = F.get(F.array(*[F.lit(float(p)) for p in shares]), F.col("__i"))
+        rank = F.least(F.floor(F.col("__n") * share), F.col("__n") - 1).cast("double") if at_place else (F.col("__n") - 1) * share
         told = told.join(bounds.select(*keys, "__n"), keys).withColumn("__at", rank)
         under = F.col("__upto") - F.col("__m")
         holds = lambda r: (r >= under) & (r < F.col("__upto"))  # noqa: B023, E731

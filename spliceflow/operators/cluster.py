@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.helpers import cut, in_order
+from spliceflow.helpers import cut, in_order, percentiles
 from spliceflow.operators import kmeans
 
 FEATURES = ["centroid", "rms", "rolloff", "zcr", "power_std", "bandwidth"]
@@ -179,10 +179,7 @@ def kmeans_1d(points: DataFrame, column: str, rounds: int = 20, margin: float =
     """
     rows = points.where(F.col(column).isNotNull()).select("stream_id", F.col(column).cast("double").alias("v"))
     values = cut(rows.groupBy("stream_id", "v").agg(F.count("*").alias("m")))
-    upto = Window.partitionBy("stream_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("upto", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(Window.partitionBy("stream_id")))
-    first = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * (i + 1) / 4), F.col("v"))).alias(f"c{i}") for i in range(3)]
-    centers = ranked.groupBy("stream_id").agg(*first)
+    centers = percentiles(rows, "v", {"c0": 0.25, "c1": 0.5, "c2": 0.75}, at_place=True)
     d = [F.abs(F.col("v") - F.col(f"c{i}")) for i in range(3)]
     nearest = F.when((d[0] <= d[1]) & (d[0] <= d[2]), 0).when(d[1] <= d[2], 1).otherwise(2)
 

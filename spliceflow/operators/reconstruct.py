@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.helpers import in_line, interval_join, near, running_sum
+from spliceflow.helpers import cut, in_line, interval_join, near, running_max, running_sum
 from spliceflow.operators.segments import within
 from spliceflow.operators.silence import regions, renumbered
 
@@ -89,6 +89,34 @@ def crossfaded(signal: DataFrame, segs: DataFrame, fade: int, curve: str = "line
     return rows.groupBy("stream_id", "label", "out_idx").agg(F.sum("x").alias("x"))
 
 
+def crossfaded_whole(signal: DataFrame, segs: DataFrame, fade: int, curve: str = "linear") -> DataFrame:
+    """As crossfaded, but a join takes `fade` samples, or all that the segment or what stands before it has.
+
+    Segments are joined one after the other to what the earlier ones gave, so a place may lie in several joins; its gains
+    then multiply. What stands before a join is never shorter than before the last one: its length n' = max(n' + max(n -
+    fade, 0), n) after a segment of n samples, which is a running sum and a running maximum.
+    """
+    n = F.col("i1") - F.col("i0")
+
+    def place(rows: DataFrame) -> DataFrame:
+        rows = running_sum(rows.withColumn("n", n), F.greatest(n - fade, F.lit(0)), "grown")
+        rows = running_max(rows, F.col("n") - F.col("grown"), "least").withColumn("length", F.col("grown") + F.col("least"))
+        rows = near(rows, 1, 0, {"before": lambda w: F.coalesce(F.lag("length").over(w), F.lit(0))})
+        rows = rows.withColumn("f", F.least(F.lit(fade), "before", "n"))
+        return rows.select("stream_id", "seg_id", "i0", "i1", "label", "f", (F.col("before") - F.col("f")).alias("offset"), F.col("idx").alias("turn"))
+
+    placed = cut(_by_label(segs, place))
+    line = F.struct("stream_id", "label").alias("stream_id")
+    points = interval_join(signal, placed.drop("f"), 4096).select(line, (F.col("offset") + F.col("idx") - F.col("i0")).cast("long").alias("idx"), "turn", "x")
+    joins = placed.where("f > 0").select(line, F.col("turn").alias("join"), F.col("offset").alias("i0"), (F.col("offset") + F.col("f")).alias("i1"))
+    at, size = F.col("idx") - F.col("i0"), F.col("i1") - F.col("i0")
+    gain = F.when(F.col("join") == F.col("turn"), ramp(at, size, curve)).when(F.col("join") > F.col("turn"), fall(at, size, curve)).otherwise(1.0)
+    gains = interval_join(points, joins, 4096, "left").select("stream_id", "idx", "turn", "x", gain.alias("gain")).repartition("stream_id", "idx")
+    # one exchange serves both groupings
+    parts = gains.groupBy("stream_id", "idx", "turn").agg((F.first("x") * F.product("gain")).alias("x"))
+    return parts.groupBy("stream_id", "idx").agg(F.sum("x").alias("x")).select("stream_id.stream_id", "stream_id.label", F.col("idx").alias("out_idx"), "x")
+
+
 def compacted(track: DataFrame, limit: float = 0.0) -> DataFrame:
     """A masked track without its silent samples: stream_id, idx, x, out_idx."""
     return renumbered(track.where(F.abs("x") > limit))

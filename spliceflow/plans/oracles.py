@@ -199,6 +199,13 @@ ORACLES: dict[str, str] = {
         g AS (SELECT o.stream_id, label, CAST(start + p.idx - i0 AS BIGINT) AS out_idx, p.x * CASE WHEN p.idx - i0 < f_in THEN (p.idx - i0) / f_in ELSE 1 END * CASE WHEN p.idx - i0 >= n - f_out THEN 1 - (p.idx - i0 - (n - f_out)) / f_out ELSE 1 END AS y
           FROM o JOIN sco p ON o.stream_id = p.stream_id AND p.idx >= i0 AND p.idx < i1)
         SELECT stream_id, label, out_idx, {r6('sum(y)', 'x')} FROM g GROUP BY 1, 2, 3""",
+    "crossfade_whole": sql(_LABELS, "").rstrip() + f""", n AS (SELECT *, i1 - i0 AS n, row_number() OVER (PARTITION BY stream_id, label ORDER BY i0) AS j FROM lab),
+        r AS (SELECT stream_id, label, i0, i1, j, 0::BIGINT AS f, 0::BIGINT AS start, CAST(n AS BIGINT) AS acc FROM n WHERE j = 1
+          UNION ALL SELECT n.stream_id, n.label, n.i0, n.i1, n.j, least(12, acc, n), acc - least(12, acc, n), acc + n - least(12, acc, n) FROM r JOIN n ON n.stream_id = r.stream_id AND n.label = r.label AND n.j = r.j + 1),
+        g AS (SELECT r.stream_id, label, j, CAST(start + p.idx - i0 AS BIGINT) AS out_idx, p.x FROM r JOIN sco p ON r.stream_id = p.stream_id AND p.idx >= i0 AND p.idx < i1),
+        h AS (SELECT g.stream_id, g.label, g.j, out_idx, any_value(x) * coalesce(product(CASE WHEN k.j = g.j THEN (out_idx - k.start) / k.f ELSE 1 - (out_idx - k.start) / k.f END), 1) AS y
+          FROM g LEFT JOIN r k ON k.stream_id = g.stream_id AND k.label = g.label AND k.j >= g.j AND k.f > 0 AND out_idx >= k.start AND out_idx < k.start + k.f GROUP BY ALL)
+        SELECT stream_id, label, out_idx, {r6('sum(y)', 'x')} FROM h GROUP BY 1, 2, 3""",
     "compact_masked": sql("sig", f"SELECT stream_id, idx, {r6('x')}, row_number() OVER (PARTITION BY stream_id ORDER BY idx) - 1 AS out_idx FROM sig WHERE x > 45"),
     "interleave_fixed": sql("trk short", "SELECT row_number() OVER (ORDER BY idx // 10, track, idx) - 1 AS out_idx, track, idx, x FROM trk, short WHERE idx < n"),
     "interleave_rounds": sql("trk short", """SELECT row_number() OVER (ORDER BY i0, track, idx) - 1 AS out_idx, track, idx, x FROM (SELECT track, idx, x, 120 * (idx // 120) + CASE WHEN idx % 120 < 13 THEN 0 WHEN idx % 120 < 20 THEN 13

@@ -534,6 +534,13 @@ def crossfade_compact(spark, sf_dir):
     return _rounded(reconstruct.crossfaded(rows, segs, 4), "x")
 
 
+@query
+def crossfade_whole(spark, sf_dir):
+    """Crossfades longer than most segments."""
+    rows, segs = _labelled(spark, sf_dir)
+    return _rounded(reconstruct.crossfaded_whole(rows, segs, 12), "x")
+
+
 @query
 def edge_fade(spark, sf_dir):
     rows, segs = _labelled(spark, sf_dir)

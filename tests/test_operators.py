@@ -23,6 +23,28 @@ def by_idx(df, column):
     return [r[column] for r in df.orderBy("stream_id", "idx").collect()]
 
 
+@pytest.mark.parametrize("curve", ["linear", "equal_power"])
+def test_whole_crossfades(spark, curve):
+    rng = random.Random(8)
+    lengths = [rng.choice([1, 2, 3, 5, 9, 20, 40]) for _ in range(60)]
+    ends = np.cumsum(lengths)
+    x = np.arange(1, ends[-1] + 1) % 17 + 1.0
+    segs = [("s", i, int(e - n), int(e), i % 2) for i, (n, e) in enumerate(zip(lengths, ends, strict=True))]
+    got = reconstruct.crossfaded_whole(stream(spark, x), spark.createDataFrame(segs, "stream_id string, seg_id long, i0 long, i1 long, label int"), 12, curve).orderBy("label", "out_idx").collect()
+    for label in (0, 1):
+        out = np.empty(0)
+        for _, _, a, b, own in segs:
+            if own == label:
+                f = min(12, len(out), b - a)
+                t = np.arange(f) / max(f, 1)
+                rise, fade = (t, 1 - t) if curve == "linear" else (np.sin(np.pi / 2 * t), np.cos(np.pi / 2 * t))
+                cut = len(out) - f
+                out = np.concatenate([out[:cut], out[cut:] * fade + x[a : a + f] * rise, x[a + f : b]])
+        mine = [(r.out_idx, r.x) for r in got if r.label == label]
+        assert [i for i, _ in mine] == list(range(len(out)))
+        assert np.allclose([v for _, v in mine], out)
+
+
 NOISE = np.random.default_rng(3).normal(size=500).round(3)
 
 
