@@ -53,7 +53,8 @@ def scanned(values: Column, zero: Column, op: Callable[[Column, Column], Column]
         return F.aggregate(block, F.array(start), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)), lambda acc: F.slice(acc, 1, F.size(block)))
 
     blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
-    starts = lambda bs: running(F.transform(bs, lambda block: F.aggregate(block, zero, op)), zero)
+    # op as a function of two named arguments: aggregate refuses variadic ones, as F.greatest
+    starts = lambda bs: running(F.transform(bs, lambda block: F.aggregate(block, zero, lambda acc, x: op(acc, x))), zero)
     each = lambda bs: let(starts(bs), lambda st: F.flatten(F.zip_with(bs, st, running)))
     return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), each)).otherwise(F.slice(v, 1, 0)))
 
