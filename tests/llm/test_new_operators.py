@@ -298,3 +298,24 @@ def test_sample_for_pivots(spark):
     assert len(got) == 500 and len({float(x[0]) for x in got}) == 500
     assert [x.tolist() for x in embedding_dedup._sample(df.repartition(7), 20_000, 500)] == [x.tolist() for x in got]
     assert len(embedding_dedup._sample(df.limit(40), 40, 500)) == 40
+
+
+def test_steps_of_components(spark, monkeypatch):
+    """Random links against a plain union, with no step once the links are stars."""
+    from spliceflow.llm import components
+
+    taken, step = [], components._step
+    monkeypatch.setattr(components, "_step", lambda edges: taken.append(1) or step(edges))
+    rng = random.Random(4)
+    stars = [(3 * i, 3 * i + j) for i in range(20) for j in (1, 2)]
+    chance = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    for links, steps in ((stars, 0), ([(b, a) for a, b in stars] + stars, 0), ([], 0), ([(1, 1), (None, 2)], 0), (chance, None), ([(i, i + 1) for i in range(30)], None)):
+        taken.clear()
+        root = {x: x for a, b in links if None not in (a, b) and a != b for x in (a, b)}
+        for _ in root:
+            for a, b in links:
+                if a in root and b in root:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == sorted(root.items())
+        assert len(taken) == steps if steps is not None else taken
