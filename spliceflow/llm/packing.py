@@ -11,94 +11,108 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain, filterfalse
-from operator import itemgetter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, slices
+from .common import BATCH, in_arrow, slices
 
 CAPACITY = 4096
 END_ID = 2
 MAX_SEGMENTS = 256
 #: Pieces that wait before a bin is closed, for the heuristic's choice; more of them wait where they don't fill a bin yet.
 WAITING = 128
-#: Distinct words whose ids a worker remembers: this many at least, twice as many at most.
+#: Distinct pieces of text whose ids a worker remembers: this many at least, twice as many and a batch's at most.
 REMEMBERED = 200_000
 
-#: The tokenizer's own way of cutting text, for texts of plain characters only.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: For texts of plain characters only: what the tokenizer's own way of cutting text takes for pieces, besides runs of letters.
+_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-¬®-įı-ſ]*\Z")
 
 
 class Memory(dict):
-    """Remembers at most twice `most` entries: when full, the older half goes, but for what is asked for meanwhile."""
+    """Remembers what was learned of keys. When there are more than `most`, the older go, but for what is asked for meanwhile."""
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that are not remembered. Room for all keys is made first, so that all stay until the next call."""
+    def values_of(self, keys: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The value of each key, given once each; learn gives the values of those that are not remembered."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        out = []
-        for k in list(filterfalse(self.__contains__, keys)):
-            if k in self.old:
-                self[k] = self.old[k]
-            else:
-                out.append(k)
+        out = list(map(self.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i in missing:
+            out[i] = self.old.get(keys[i])
+        new = [i for i in missing if out[i] is None]
+        for i, x in zip(new, learn([keys[i] for i in new]), strict=True):
+            out[i] = x
+        self.update((keys[i], out[i]) for i in missing)
         return out
 
 
 class WordTokenizer:
-    """Ids of texts. Words are looked up among those seen before; pieces of new ones go to the tokenizer together.
+    """Ids of texts. Pieces of texts are looked up among those seen before; new ones go to the tokenizer's model together.
 
     The tokenizer lowers case, cuts text by a pattern that never crosses white space, and encodes each piece alone, so
-    words and pieces may be kept. Texts with characters beyond Latin letters and common signs, or that may hold a special
-    token, go to it whole.
+    pieces may be kept, and new ones need only its map of bytes and its merges: their characters are normal and in lower
+    case. A piece ends with its only token of the kind that ends words. Arrow cuts texts, finds the distinct pieces, each of
+    which is looked up once, and puts the ids together. Texts with characters beyond Latin letters and common signs, or
+    that may hold a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str | None):
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 2)
+        path = path or public_tokenizers.path("word_bpe_49k.json")
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        self.pieces = Memory(REMEMBERED)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str], known: Memory) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
+        out = []
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            raw, word = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
-            cut = 4 * np.searchsorted(word, np.arange(len(part) + 1))
-            if not len(word) or word[-1] != len(part) - 1 or (np.diff(cut) == 0).any():
-                known.update((w, self._ids(w).tobytes()) for w in part)  # a piece was cut or joined: each alone
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            raw = ids.tobytes()
+            if len(cut) == len(part) + 1:
+                out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
             else:
-                cut = cut.tolist()
-                known.update((w, raw[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
+                out += [self._ids(w).tobytes() for w in part]  # ends are marked otherwise: each alone
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """As the tokenizer gives them, without special tokens around."""
-        cut = [t.lower().split() if _PLAIN.match(t) and "<|" not in t else None for t in texts]
-        words = self.words.missing(set(chain.from_iterable(c for c in cut if c)))
-        self._learn([w for w in words if w.isalpha()], self.words)  # one piece each
-        words = [w for w in words if not w.isalpha()]
-        parts = [_PIECE.findall(w) for w in words]
-        self._learn(self.pieces.missing(set(chain.from_iterable(parts))), self.pieces)
-        self.words.update((w, b"".join([self.pieces[p] for p in ps])) for w, ps in zip(words, parts, strict=True))
-        known = lambda c: itemgetter(*c)(self.words) if len(c) > 1 else [self.words[w] for w in c]
-        return [self._ids(t) if c is None else np.frombuffer(b"".join(known(c)), "<u4") for t, c in zip(texts, cut, strict=True)]
+        plain = [_PLAIN.match(t) is not None and "<|" not in t for t in texts]
+        lower = pa.array([t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.string())
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _SIGNS, r" \0 "))
+        found = cut.values.dictionary_encode()
+        pieces, which = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices
+        self.pieces[""] = b""  # at both ends of texts
+        known = self.pieces.values_of(pieces, self._learn)
+        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.frombuffer(b"".join(known), "<u4")))
+        ids = each.take(which).flatten().to_numpy()
+        ends = np.append(0, np.cumsum(n[which.to_numpy()]))[cut.offsets.to_numpy()].tolist()
+        spans = zip(ends, ends[1:], strict=False)
+        return [ids[slice(*next(spans))] if p else self._ids(t) for t, p in zip(texts, plain, strict=True)]
 
 
 @functools.cache
@@ -238,7 +252,7 @@ def packed(df: DataFrame, capacity: int = CAPACITY, max_segments: int = MAX_SEGM
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for part in slices(batch):
+            for part in slices(batch, most=BATCH):
                 done = []
                 encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 shares = part.column("loss_share").to_pylist() if has_share else [None] * len(encoded)

@@ -318,6 +318,23 @@ def test_packing(spark):
     assert packing.packed(table(spark, [])).count() == 0
 
 
+def test_plain_texts_need_no_whole_tokenizer():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = lambda texts: [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = [c for c in map(chr, range(0x180)) if packing._PLAIN.match(c)]
+    rng = random.Random(8)
+    texts = ["", " ", "</w>", "İ <|endoftext|> 詞", *plain] + ["".join(rng.choices(plain, k=rng.randrange(200))) for _ in range(300)]
+    texts += [" ".join("".join(rng.choices("aeßnöst.,'1", k=rng.randrange(1, 12))) for _ in range(3000))]
+    encoder = packing.WordTokenizer(None)
+    encoder.pieces.most = 20  # so that pieces are forgotten, and learned again
+    assert [e.tolist() for i in range(0, len(texts), 50) for e in encoder.encode(texts[i : i + 50])] == ids(texts)
+    encoder = packing.WordTokenizer(None)
+    encoder.tokenizer = None  # what is cut and in lower case already doesn't go through it again
+    texts = [t for t in texts if packing._PLAIN.match(t) and "<|" not in t]
+    assert len(texts) > 500 and [e.tolist() for e in encoder.encode(texts)] == ids(texts)
+    assert encoder.encode([]) == []
+
+
 def test_packing_limits():
     rng = random.Random(2)
     packer = packing.Packer(64, 5, 40)
