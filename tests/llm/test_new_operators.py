@@ -193,6 +193,20 @@ def test_words_of_a_very_long_text(spark):
     assert rows(got) == [(0, 1, 1_000_000, 70_000), (1, 1, 1_000_000, 70_000)]
 
 
+@pytest.mark.parametrize("share", [40, 300, 1_000_000])
+def test_words_are_exploded_where_they_are_counted(spark, monkeypatch, share):
+    """What is dealt out is a list of words for each ordinary text; results are the same where texts are dealt out by word."""
+    monkeypatch.setattr(filter_audit, "SHARE", share)
+    texts = [*{t or "" for _, t, _ in audited()}, " " * 500, " \t" * 20 + "x" + " " * 300]
+    docs = [(i % 50 or None, i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(docs + docs[:20] + [(1, -1, None)], "doc_id long, h long, text string").repartition(3)
+    got = filter_audit.word_counts(table)
+    words = [(d, h, WORDS.findall(t)) for d, h, t in docs] + [(1, -1, [])]
+    assert rows(got) == ordered((d, h, len(w), len(set(w))) for d, h, w in words)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"Generate explode[^\n]*\[word#.*REPARTITION_BY_COL", plan, re.S)
+
+
 @pytest.mark.parametrize("module", [url_filters, fill_in_middle, filter_audit])
 def test_sql_of_new_operators(spark, tmp_path, module):
     """The SQL too holds on the odd rows above."""
